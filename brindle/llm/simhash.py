@@ -134,12 +134,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = keep(fingerprints(docs, id_col, text_col, shingle_words, lanes))
     classes = rows.groupBy(*names).agg(F.min("id").alias("node"))
     index = Window.partitionBy("key")
-    shared = _variants(classes.where("node is not null"), lanes).select("*", F.count("*").over(index).alias("n"), F.min(F.struct("node", "f")).over(index).alias("hub")).where("n > 1")
-    shared = keep(shared.drop("n"))
+    near = f"bit_count(f ^ hub.f) <= {max_bits}"
+    shared = _variants(classes.where("node is not null"), lanes).select("*", F.count("*").over(index).alias("n"), F.min(F.struct("node", "f")).over(index).alias("hub"))
+    # a bucket of two has no pair but that with its smallest member
+    shared = keep(shared.where(f"node <> hub.node AND (n > 2 OR {near})"))
     verified = (lambda p: p) if min_jaccard is None else (lambda p: _similar(keep(p), docs, id_col, text_col, shingle_words, min_jaccard))
-    stars = verified(shared.where(f"node <> hub.node AND bit_count(f ^ hub.f) <= {max_bits}").select(F.col("node").alias("u"), F.col("hub.node").alias("v")).distinct())
+    stars = verified(shared.where(near).select(F.col("node").alias("u"), F.col("hub.node").alias("v")).distinct())
     part = keep(connected_components(stars))
-    member = shared.select("key", "node", "f").join(part, "node", "left").select("key", "node", "f", F.coalesce("component", "node").alias("c"))
+    member = shared.where("n > 2").select("key", "node", "f").join(part, "node", "left").select("key", "node", "f", F.coalesce("component", "node").alias("c"))
     a, b = member.alias("a"), member.alias("b")
     across = a.join(b, F.expr(f"a.key = b.key AND a.node < b.node AND a.c <> b.c AND bit_count(a.f ^ b.f) <= {max_bits} AND (shiftright(a.key, 32) % 64) = {_first_agreement()}"))
     if min_jaccard is None:
