@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, quality, simhash, substring
-from .common import crc_bucket
+from . import decontam, licenses, mixing, quality, simhash, substring, toxicity, warc
+from .common import crc_bucket, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,19 @@ def op1_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op2_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), use=crc_bucket("doc_id", 5) != 0)
+    return toxicity.score_toxicity(docs, model).select(F.col("id").alias("doc_id"), (crc_bucket("id", 5) == 0).alias("held_out"), "severity", "p_toxic", "grade", "toxic")
+
+
+def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark)
+    captures, shards = warc.write_archive(table(spark, sf_dir, "pages"), folder)
+    found = warc.read_archive(spark, folder, captures, shards)
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", F.col("payload_sha256").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.dedup_substrings(table(spark, sf_dir, "documents"), window=20)
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -38,5 +51,11 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pfair_mixing, op4_substring_dedup, op5_quality_rules, op7_benchmark_decontamination, op9_simhash_near_dedup)}
+def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    starts = F.col("base.start")
+    return found.select(F.col("id").alias("doc_id"), "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"), "base_labels", "labels", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_pfair_mixing, op2_toxicity_ordinal, op3_warc_index, op4_substring_dedup, op5_quality_rules, op7_benchmark_decontamination, op9_simhash_near_dedup, op10_license_rules)}
 ORACLE_SQL: dict[str, str] = {}

@@ -90,7 +90,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     block = (window + 1) // 2
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    total = size_bytes(docs.select(text_col)) * 2
+    total = size_bytes(docs) * 2
     if total > 1 << 58:  # no estimate
         total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunk = min(CHUNK_BYTES[1], int(CHUNK_BYTES[0] * max(1, (total / 2**30) ** (1 / 3))))
