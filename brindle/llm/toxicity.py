@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM, text_bytes
 
-BITS = 18
+BITS = 20
 PREFIXES = (4, 5)
 #: No more labelled rows than this are taken for fitting, those with the least hash of their id.
-FIT_ROWS = 20_000
+FIT_ROWS = 16_000
 GRADES = 4
 
 
@@ -53,16 +53,35 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - margin[:, None], -30, 30)))
 
 
-def grades_of(flat: np.ndarray, owner: np.ndarray, toxic: np.ndarray, grades: int) -> np.ndarray:
+#: Rows that are summed at once while fitting; bounds the driver's memory.
+CHUNK_ROWS = 1_000
+
+
+def _chunks(parts: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """First row, end, features and their rows, from the first one on."""
+    for at in range(0, len(parts), CHUNK_ROWS):
+        some = parts[at : at + CHUNK_ROWS]
+        yield at, at + len(some), np.concatenate(some), np.repeat(np.arange(len(some)), [len(x) for x in some])
+
+
+def _margins(parts: list[np.ndarray], w: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.empty(0), *(np.bincount(own, weights=w[flat], minlength=b - a) for a, b, flat, own in _chunks(parts))])
+
+
+def _sums(parts: list[np.ndarray], per_row: np.ndarray, size: int) -> np.ndarray:
+    total = np.zeros(size)
+    for a, b, flat, own in _chunks(parts):
+        total += np.bincount(flat, weights=per_row[a:b][own], minlength=size)
+    return total
+
+
+def grades_of(parts: list[np.ndarray], toxic: np.ndarray, grades: int) -> np.ndarray:
     """0 for rows that are not toxic; 1 .. grades - 1 for toxic ones, by equal shares of them in the order of
     how many of their features stand out among toxic rows (the labels have no grades of their own)."""
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    seen = np.unique(np.stack([owner, flat]), axis=1)
-    with_tox = np.bincount(seen[1][toxic[seen[0]] == 1], minlength=1 << BITS)
-    without = np.bincount(seen[1][toxic[seen[0]] == 0], minlength=1 << BITS)
+    with_tox, without = (_sums(parts, np.asarray(x, np.float64), 1 << BITS) for x in (toxic, 1 - toxic))
     odds = np.log((with_tox + 0.5) / (n1 + 1)) - np.log((without + 0.5) / (n0 + 1))
-    strong = (odds > 2) & (with_tox >= 3)
-    marks = np.bincount(seen[0], weights=strong[seen[1]], minlength=len(toxic))
+    marks = _margins(parts, ((odds > 2) & (with_tox >= 3)).astype(np.float64))
     grade = np.zeros(len(toxic), np.int64)
     rows = np.flatnonzero(toxic == 1)
     order = rows[np.argsort(marks[rows], kind="stable")]
@@ -74,35 +93,48 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_ordinal(flat: np.ndarray, owner: np.ndarray, grade: np.ndarray, grades: int = GRADES, penalty: float = 5e-4, rate: float = 0.1, steps: int = 120) -> OrdinalModel:
+def _slopes(grade: np.ndarray, z: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the mean log likelihood: times n by each row's margin, and by each cut."""
+    top = len(cuts)
+    edge = np.concatenate([[-30.0], cuts, [30.0]])
+    a = np.where(grade == top, 1.0, _sigmoid(edge[grade + 1] - z))
+    b = np.where(grade == 0, 0.0, _sigmoid(edge[grade] - z))
+    p = np.maximum(a - b, 1e-9)
+    by_cut = [np.sum((grade == k) * a * (1 - a) / p) - np.sum((grade == k + 1) * b * (1 - b) / p) for k in range(top)]
+    return a + b - 1, np.array(by_cut) / len(grade)
+
+
+def fit_ordinal(parts: list[np.ndarray], grade: np.ndarray, grades: int = GRADES, penalty: float = 5e-4, rate: float = 0.1, steps: int = 120) -> OrdinalModel:
     """Lasso-penalised maximum likelihood by adaptive proximal gradient steps over all rows.
 
-    flat: features, owner: the row of each. Without rows, or with one grade, weights are zero and the
-    cuts give the smoothed shares of the grades.
+    parts: the features of each row. Features whose slope is within half the penalty before the first
+    step are screened out. Without rows, or with one grade, weights are zero and the cuts give the
+    smoothed shares of the grades.
     """
     n, tops = len(grade), np.arange(grades - 1)
     share = np.array([(np.sum(grade > k) + 0.5) / (n + 1) for k in tops])
     cuts = np.maximum.accumulate(-np.log(share / (1 - share)) + 1e-3 * tops)
-    w = np.zeros(1 << BITS)
+    out = np.zeros(1 << BITS, np.float32)
     if n < 20 or grade.max() == grade.min():
-        return OrdinalModel(w.astype(np.float32), cuts)
+        return OrdinalModel(out, cuts)
     penalty += 3 / n  # a few rows alone give a feature no weight
-    squares, cut_squares = np.full(1 << BITS, 1e-12), np.full(grades - 1, 1e-12)
+    first = _sums(parts, _slopes(grade, np.zeros(n), cuts)[0], 1 << BITS) / n
+    used = np.flatnonzero(np.abs(first) > penalty / 2)
+    place = np.full(1 << BITS, -1)
+    place[used] = np.arange(len(used))
+    parts = [x[x >= 0] for x in (place[x] for x in parts)]
+    w, squares, cut_squares = np.zeros(len(used)), np.full(len(used), 1e-12), np.full(grades - 1, 1e-12)
     for _ in range(steps):
-        z = np.bincount(owner, weights=w[flat], minlength=n)
-        edge = np.concatenate([[-30.0], cuts, [30.0]])
-        a = np.where(grade == grades - 1, 1.0, _sigmoid(edge[grade + 1] - z))
-        b = np.where(grade == 0, 0.0, _sigmoid(edge[grade] - z))
-        slope = np.bincount(flat, weights=(a + b - 1)[owner], minlength=1 << BITS) / n
+        per_row, by_cut = _slopes(grade, _margins(parts, w), cuts)
+        slope = _sums(parts, per_row, len(used)) / n
         squares += slope**2
         pace = rate / np.sqrt(squares)
         w = w + pace * slope
         w = np.sign(w) * np.maximum(np.abs(w) - pace * penalty, 0)
-        p = np.maximum(a - b, 1e-9)
-        by_cut = np.array([np.sum((grade == k) * a * (1 - a) / p) - np.sum((grade == k + 1) * b * (1 - b) / p) for k in tops]) / n
         cut_squares += by_cut**2
         cuts = np.maximum.accumulate(cuts + rate * by_cut / np.sqrt(cut_squares))
-    return OrdinalModel(w.astype(np.float32), cuts)
+    out[used] = w
+    return OrdinalModel(out, cuts)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", grades: int = GRADES, fit_rows: int = FIT_ROWS, use: Column | None = None) -> OrdinalModel:
@@ -116,10 +148,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known.select("id")), "id", "left_semi")  # at most fit_rows ids
     rows = _fit_features(own).join(F.broadcast(known), "id").orderBy("id", "x").collect()
     parts = [np.frombuffer(r["x"], np.int32) for r in rows]
-    flat = np.concatenate([np.empty(0, np.int32), *parts])
-    owner = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
     toxic = np.array([r["y"] for r in rows], np.int64)
-    return fit_ordinal(flat, owner, grades_of(flat, owner, toxic, grades), grades)
+    return fit_ordinal(parts, grades_of(parts, toxic, grades), grades)
 
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", least: float = 0.3) -> DataFrame:
