@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, mixing, quality, simhash, substring, toxicity, warc
+from . import decontam, licenses, lm, mixing, quality, simhash, substring, toxicity, warc, webp
 from .common import crc_bucket, shared_dir
 
 
@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = webp.read_media(webp.store_texts(table(spark, sf_dir, "documents")), pixels=False)
+    return found.withColumnRenamed("id", "doc_id").drop("pixels", "width", "height")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, max_bits=4)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -46,6 +51,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model, threshold=0.3).select(F.col("id").alias("doc_id"), (crc_bucket("id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op6_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.score_texts(table(spark, sf_dir, "documents"), crc_bucket("doc_id", 7) != 2)
+    return found.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", "text"), window=10)
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -57,5 +67,5 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"), "base_labels", "labels", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_pfair_mixing, op2_toxicity_ordinal, op3_warc_index, op4_substring_dedup, op5_quality_rules, op7_benchmark_decontamination, op9_simhash_near_dedup, op10_license_rules)}
+QUERIES = {f.__name__: f for f in (op1_pfair_mixing, op2_toxicity_ordinal, op3_warc_index, op4_substring_dedup, op5_quality_rules, op6_maxent_lm, op7_benchmark_decontamination, op8_lossless_webp, op9_simhash_near_dedup, op10_license_rules)}
 ORACLE_SQL: dict[str, str] = {}
