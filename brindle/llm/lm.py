@@ -34,7 +34,7 @@ PAD = CLASSES * SLOTS
 FEATURES = 4
 ROWS, SLOT_ROWS = 1 << 14, 1 << 15
 ROUNDS = 4
-PART = 1 << 17
+PART, SCORE_PART = 1 << 18, 1 << 14
 BLOCK = 4096
 END = b""
 
@@ -127,16 +127,29 @@ def feature_rows(cells: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.stack([_mix(k, 14) for k in keys])
 
 
-def _soft(rows: np.ndarray, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    z = table[rows[0]] + bias
+def _logits(rows: np.ndarray, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Bounded: a weight moves at most 2 * rate in each round, so exp() of them can't overflow."""
+    z = np.take(table, rows[0], axis=0, mode="clip")
+    z += bias
     for r in rows[1:]:
-        z += table[r]
-    z -= z.max(1, keepdims=True)
+        z += np.take(table, r, axis=0, mode="clip")
+    return z
+
+
+def _soft(rows: np.ndarray, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    z = _logits(rows, table, bias)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
     return z
 
 
+def _log_soft(rows: np.ndarray, table: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
+    z = _logits(rows, table, bias)
+    own = z[np.arange(len(z)), target]
+    np.exp(z, out=z)
+    return own - np.log(z @ np.ones(z.shape[1], np.float32))
+
+
 def slot_rows(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return _mix(rows.astype(np.int64) * CLASSES + classes + (1 << 40), 15)
 
@@ -144,12 +157,11 @@ def slot_rows(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
 def log_cells(model: MaxEnt, cells: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """The natural log of P(cell | history) of each token."""
     out = np.empty(len(cells))
-    for at in range(0, len(cells), PART):
-        c, r = cells[at : at + PART], rows[:, at : at + PART]
-        k, i = c // SLOTS, np.arange(len(c))
-        p = _soft(r, model.w, model.bias)[i, k]
-        q = _soft(slot_rows(r, k), model.v, model.slot_bias[k])[i, c % SLOTS]
-        out[at : at + PART] = np.log(np.maximum(p, 1e-30)) + np.log(np.maximum(q, 1e-30))
+    for at in range(0, len(cells), SCORE_PART):
+        c, r = cells[at : at + SCORE_PART], rows[:, at : at + SCORE_PART]
+        k = c // SLOTS
+        out[at : at + SCORE_PART] = _log_soft(r, model.w, model.bias, k)
+        out[at : at + SCORE_PART] += _log_soft(slot_rows(r, k), model.v, np.take(model.slot_bias, k, axis=0), c % SLOTS)
     return out
 
 
@@ -158,7 +170,7 @@ class _Gradient:
 
     def __init__(self):
         self.seen = [np.zeros((ROWS, CLASSES)), np.zeros((SLOT_ROWS, SLOTS))]
-        self.hoped = [np.zeros((ROWS, CLASSES)), np.zeros((SLOT_ROWS, SLOTS))]
+        self.hoped = [np.zeros((CLASSES, ROWS)), np.zeros((SLOTS, SLOT_ROWS))]  # column by column
 
     def add(self, model: MaxEnt, cells: np.ndarray, rows: np.ndarray) -> None:
         for at in range(0, len(cells), PART):
@@ -171,12 +183,12 @@ class _Gradient:
                 for x in own:
                     self.seen[table] += np.bincount(x.astype(np.int64) * width + target, minlength=size * width).reshape(size, width)
                     for j in range(width):
-                        self.hoped[table][:, j] += np.bincount(x, weights=columns[j], minlength=size)
+                        self.hoped[table][j] += np.bincount(x, weights=columns[j], minlength=size)
 
     def blobs(self) -> Iterator[tuple[int, bytes, bytes]]:
         """(block, observed, expected) of the blocks of rows that have any."""
         block = 0
-        for seen, hoped in zip(self.seen, self.hoped, strict=True):
+        for seen, hoped in zip(self.seen, (np.ascontiguousarray(x.T) for x in self.hoped), strict=True):
             for at in range(0, len(seen), BLOCK):
                 if hoped[at : at + BLOCK].any():
                     yield block, seen[at : at + BLOCK].astype(np.float32).tobytes(), hoped[at : at + BLOCK].astype(np.float32).tobytes()
@@ -321,7 +333,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, rate: f
                     words = tokens_of(text)
                     waiting.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
                     held += len(words)
-                    if held >= 2 * PART:
+                    if held >= PART:
                         flush()
                         held = 0
             flush()

@@ -266,4 +266,4 @@ def read_archive(spark: SparkSession, folder: str, captures: DataFrame, shards:
                     yield pack(rows)
 
     files = captures.select("file").distinct()
-    return files.repartition(max(1, files.count()), "file").mapInArrow(read, "record string, id long, url string, kind string, refers_to long, payload_bytes long, digest string, payload_sha256 string")
+    return files.repartition(max(1, files.count())).mapInArrow(read, "record string, id long, url string, kind string, refers_to long, payload_bytes long, digest string, payload_sha256 string")
