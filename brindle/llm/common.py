@@ -28,13 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/brindle-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, and survives lost executors."""
-    path = shared_dir(df.sparkSession)
+def keep(df: DataFrame, scratch: str | None = None) -> DataFrame:
+    """Writes df to the shared folder (below scratch, if given) and reads it back: cuts lineage, and survives lost executors."""
+    path = f"{scratch}/{uuid.uuid4().hex}" if scratch else shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that shared_dir() gave, once nothing reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def size_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of df in bytes (for files: theirs)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

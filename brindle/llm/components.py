@@ -19,15 +19,15 @@ def _stars(sym: DataFrame, keep_if) -> DataFrame:
     return sym.join(least, "u").where(keep_if).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.where("u <> m").select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, scratch: str | None = None) -> DataFrame:
     """(u long, v long) links -> (node, component), component being its smallest node.
 
     Alternates large-star and small-star steps, O(log^2 n) rounds; nodes without a link to another
     node do not appear. Self links, repeated links and either direction are allowed; nulls are dropped;
     no links: no rows. Aggregates are combined before shuffles, and each round is written to the
-    shared folder, so lineage stays short and nothing is collected.
+    shared folder (below scratch, if given), so lineage stays short and nothing is collected.
     """
-    e = keep(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = keep(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), scratch)
     before = _settled(e)
     for _ in range(max_rounds):
         if not before[0]:
@@ -35,7 +35,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _stars(both, "v > u")
         small = _stars(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "true")
-        e = keep(small)
+        e = keep(small, scratch)
         after = _settled(e)
         if after == before:
             break
