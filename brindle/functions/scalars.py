@@ -43,13 +43,16 @@ def _mod32(x: Column) -> Column:
     return x.bitwiseAND(F.lit(M32).cast("long"))
 
 
+def _with(x: Column, f) -> Column:
+    """f of x, with x evaluated once however often f names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def mix32(a: Column) -> Column:
     """A 32-bit integer hash; every step is taken modulo 2^32, so nothing overflows a long."""
-    a = _mod32(a.bitwiseXOR(F.lit(61).cast("long")).bitwiseXOR(F.shiftright(a, 16)))
-    a = _mod32(a + F.shiftleft(a, 3))
-    a = a.bitwiseXOR(F.shiftright(a, 4))
-    a = _mod32(a * F.lit(0x27D4EB2D).cast("long"))
-    return a.bitwiseXOR(F.shiftright(a, 15))
+    a = _with(a, lambda x: _mod32(x.bitwiseXOR(F.lit(61).cast("long")).bitwiseXOR(F.shiftright(x, 16))))
+    a = _with(_mod32(a * 9), lambda x: x.bitwiseXOR(F.shiftright(x, 4)))  # a + (a << 3) is a * 9
+    return _with(_mod32(a * F.lit(0x27D4EB2D).cast("long")), lambda x: x.bitwiseXOR(F.shiftright(x, 15)))
 
 
 def hashed(field: int, category: Column, offset: int, bits: int = 20) -> Column:

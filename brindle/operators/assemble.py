@@ -46,10 +46,13 @@ def features(rows: DataFrame, profile: str) -> Column:
     return F.filter(F.array(*out), lambda x: x.isNotNull() & ~x["field"].isin([*dropped, -1]))
 
 
-def with_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds {column}__tr and {column}__te: how many train and test rows have each column's value."""
+def with_counts(rows: DataFrame, base: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds {column}__tr and {column}__te: how many train and test rows of base have each column's value (null: none).
+
+    base is the star join alone, so that each count reads only the tables its column needs.
+    """
     for c in columns:
-        n = rows.groupBy(c).agg(F.count_if(~F.col("is_test")).alias(f"{c}__tr"), F.count_if("is_test").alias(f"{c}__te"))
+        n = base.groupBy(c).agg(F.count_if(~F.col("is_test")).alias(f"{c}__tr"), F.count_if("is_test").alias(f"{c}__te"))
         rows = rows.join(n, c, "left")
     return rows
 
@@ -57,7 +60,7 @@ def with_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
 def dataset(rows: DataFrame, profile: str) -> DataFrame:
     """Adds features, norm (sum of squared values) and n_features."""
     out = rows.withColumn("features", features(rows, profile))
-    return out.withColumns({"norm": F.aggregate("features", F.lit(0.0), lambda s, f: s + f["value"] * f["value"]), "n_features": F.size("features")})
+    return out.withColumns({"norm": F.aggregate("features", F.lit(0.0), lambda s, f: s + f["value"] * f["value"]), "n_features": F.size("features").cast("long")})
 
 
 def libffm_lines(rows: DataFrame) -> Column:

@@ -83,8 +83,8 @@ def similarity(pairs: DataFrame, annotations: DataFrame, left: str, right: str,
 def rivals(rows: DataFrame, order: list[str]) -> DataFrame:
     """Adds rival_count, rank (0-based place in the display by order) and rivals (the other ads, by place)."""
     listed = F.collect_list("ad_id").over(Window.partitionBy("display_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    out = rows.withColumns({"__all": listed, "rank": F.row_number().over(Window.partitionBy("display_id").orderBy(*order)) - 1})
-    return out.withColumns({"rival_count": F.size("__all"), "rivals": F.array_join(F.filter("__all", lambda x, i: i != F.col("rank")), " ")}).drop("__all")
+    out = rows.withColumns({"__all": listed, "rank": F.row_number().over(Window.partitionBy("display_id").orderBy(*order)).cast("long") - 1})
+    return out.withColumns({"rival_count": F.size("__all").cast("long"), "rivals": F.array_join(F.filter("__all", lambda x, i: i != F.col("rank")), " ")}).drop("__all")
 
 
 def document_ad_others(rows: DataFrame, least: int = 100) -> DataFrame:

@@ -173,9 +173,10 @@ def spark_ml(rows: DataFrame, kind: str, columns: list[str]) -> DataFrame:
     }[kind]()
     rows = rows.withColumn("__y", F.greatest(F.col("label"), F.lit(0)).cast("double"))
     for c in columns:
-        rows = rows.withColumn(f"__{c}", F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
-    steps = Pipeline(stages=[VectorAssembler(inputCols=[f"__{c}" for c in columns], outputCol="__raw"), StandardScaler(inputCol="__raw", outputCol="__x", withMean=True), made])
+        rows = rows.withColumn(f"__c_{c}", F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+    steps = Pipeline(stages=[VectorAssembler(inputCols=[f"__c_{c}" for c in columns], outputCol="__vec"), StandardScaler(inputCol="__vec", outputCol="__x", withMean=True), made])
     known = rows.where("label >= 0")
     if not known.select("__y").distinct().count() > 1:
         return rows.withColumn("pred", F.lit(0.5))
-    return steps.fit(known).transform(rows).withColumn("pred", vector_to_array("probability")[1])
+    out = steps.fit(known).transform(rows).withColumn("pred", vector_to_array("probability")[1])
+    return out.drop("__vec", "__x", "__y", "rawPrediction", "probability", "prediction", *(f"__c_{c}" for c in columns))

@@ -216,7 +216,7 @@ def _assembled(spark: SparkSession, d: str) -> DataFrame:
     rows = features.rivals(A.star(spark, d), [*TIES, "ship"])
     rows = features.leak_viewed(rows, A.page_views(spark, d))
     rows = history.past_future(rows, ["uid", "ad_id"], "ad")
-    return assemble.with_counts(rows, [c for c, *_ in {**assemble.EVENT_IDS, **assemble.AD_IDS}.values()])
+    return assemble.with_counts(rows, A.star(spark, d), [c for c, *_ in {**assemble.EVENT_IDS, **assemble.AD_IDS}.values()])
 
 
 def export_binary(profile: str):
