@@ -140,15 +140,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = keep(fingerprints(docs, id_col, text_col, shingle_words, lanes), scratch)
     classes = rows.groupBy(*names).agg(F.min("id").alias("node"))
     index = Window.partitionBy("key")
+    bit = F.expr("shiftrightunsigned(f, CAST(shiftright(key, 32) % 64 AS INT)) & 1L")
     near = f"bit_count(f ^ hub.f) <= {max_bits}"
-    shared = _variants(classes.where("node is not null"), lanes).select("*", F.count("*").over(index).alias("n"), F.min(F.struct("node", "f")).over(index).alias("hub"))
-    # a bucket of two has no pair but that with its smallest member
-    shared = keep(shared.where(f"node <> hub.node AND (n > 2 OR {near})"), scratch)
+    shared = _variants(classes.where("node is not null"), lanes).select("*", F.count("*").over(index).alias("n"), F.min(F.struct("node", "f")).over(index).alias("hub")).where("n > 1")
+    other = F.when(F.col("node") != F.col("hub.node"), bit)
+    shared = shared.select("*", F.min(other).over(index).alias("least_bit"), F.max(other).over(index).alias("most_bit"))
+    # a bucket of two has no pair but that with its smallest member; of the others, two fingerprints that agree in the deleted
+    # bit, too, meet in the bucket of the segment's lowest bit, so others matter only if they hold both values
+    shared = shared.withColumn("more", F.expr(f"n > 2 AND (least_bit <> most_bit OR shiftright(key, 32) % 64 IN ({', '.join(str(lo) for lo, _ in SEGMENTS)}))"))
+    shared = keep(shared.where(f"node <> hub.node AND (more OR {near})").drop("least_bit", "most_bit"), scratch)
     verified = (lambda p: p) if min_jaccard is None else (lambda p: _similar(keep(p, scratch), docs, id_col, text_col, shingle_words, min_jaccard, scratch))
     stars = verified(shared.where(near).select(F.col("node").alias("u"), F.col("hub.node").alias("v")).distinct())
     part = keep(connected_components(stars, scratch=scratch), scratch)
     known = classes.where("node is not null").join(part, "node", "left").select("node", F.coalesce("component", "node").alias("c"), *(names if lanes > 1 else []))
-    member = shared.where("n > 2").select("key", "node", "f").join(known, "node")
+    # components are attached once a fingerprint, not once a bucket; a fingerprint has 64 buckets a lane at most
+    member = shared.where("more").groupBy("node").agg(F.collect_list(F.struct("key", "f")).alias("at")).join(known, "node").select("node", "c", *(names if lanes > 1 else []), F.inline("at"))
     a, b = member.alias("a"), member.alias("b")
     alike = f"bit_count(a.f ^ b.f) <= {max_bits}" + (" AND " + " + ".join(f"bit_count(a.{x} ^ b.{x})" for x in names) + f" <= {max_all_bits}" if lanes > 1 else "")
     across = a.join(b, F.expr(f"a.key = b.key AND a.node < b.node AND a.c <> b.c AND {alike} AND (shiftright(a.key, 32) % 64) = {_first_agreement()}"))
