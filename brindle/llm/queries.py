@@ -68,4 +68,26 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pfair_mixing, op2_toxicity_ordinal, op3_warc_index, op4_substring_dedup, op5_quality_rules, op6_maxent_lm, op7_benchmark_decontamination, op8_lossless_webp, op9_simhash_near_dedup, op10_license_rules)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_warc_index": """
+WITH p AS (SELECT page_id, coalesce(html, '') h FROM pages), q AS (SELECT page_id, octet_length(encode(h)) n, sha256(h) d, min(page_id) OVER (PARTITION BY h) f FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND f < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 100 AND f < page_id THEN f END AS refers_to FROM q""",
+    "op4_substring_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws FROM documents),
+win AS (SELECT doc_id, s, list_slice(ws, s, s + 19) k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) s FROM w WHERE len(ws) >= 20)),
+later AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) i FROM later),
+word AS (SELECT doc_id, unnest(ws) x, generate_subscripts(ws, 1) i FROM w),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op7_benchmark_decontamination": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws FROM documents),
+v AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws FROM benchmark),
+rec AS (SELECT DISTINCT item_id, list_slice(ws, s, s + 9) k FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 8, 2))) s FROM v WHERE len(ws) > 0)),
+win AS (SELECT doc_id, s, n, list_slice(ws, s, s + n - 1) k FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) s FROM w, (SELECT DISTINCT len(k) n FROM rec) WHERE len(ws) >= n)),
+hit AS (SELECT doc_id, s, n, item_id FROM win JOIN rec USING (k)),
+covered AS (SELECT doc_id, count(*) n FROM (SELECT DISTINCT doc_id, unnest(range(s, s + n)) i FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) n, string_agg(i, ',' ORDER BY i) t FROM (SELECT DISTINCT doc_id, item_id::VARCHAR i FROM hit) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(x.n, 0)::BIGINT AS n_items, sha256(coalesce(t, '')) AS items_sha256, c.n IS NOT NULL AS contaminated FROM w LEFT JOIN covered c USING (doc_id) LEFT JOIN items x USING (doc_id)""",
+}
