@@ -73,10 +73,10 @@ def one_hour_after(rows: DataFrame, views: DataFrame, least_views: int = 1, span
 def similarity(pairs: DataFrame, annotations: DataFrame, left: str, right: str, prefix: str) -> DataFrame:
     """(left, right, {prefix}_product, {prefix}_jaccard) of distinct pairs of documents: sum of products of confidences over shared ids, and shared over all ids (0 if none)."""
     ids = annotations.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("id", "conf"))).alias("m"))
-    both = pairs.select(left, right).distinct().join(ids.select(F.col("document_id").alias(left), F.col("m").alias("a")), left, "left").join(ids.select(F.col("document_id").alias(right), F.col("m").alias("b")), right, "left")
-    shared = F.array_intersect(F.map_keys("a"), F.map_keys("b"))
-    product = F.aggregate(shared, F.lit(0.0), lambda s, k: s + F.element_at(F.col("a"), k) * F.element_at(F.col("b"), k))
-    whole = F.size(F.array_union(F.map_keys("a"), F.map_keys("b")))
+    both = pairs.select(left, right).distinct().join(ids.select(F.col("document_id").alias(left), F.col("m").alias("__a")), left, "left").join(ids.select(F.col("document_id").alias(right), F.col("m").alias("__b")), right, "left")
+    shared = F.array_intersect(F.map_keys("__a"), F.map_keys("__b"))
+    product = F.aggregate(shared, F.lit(0.0), lambda s, k: s + F.element_at(F.col("__a"), k) * F.element_at(F.col("__b"), k))
+    whole = F.size(F.array_union(F.map_keys("__a"), F.map_keys("__b")))
     return both.select(left, right, F.round(F.coalesce(product, F.lit(0.0)), 6).alias(f"{prefix}_product"), F.round(F.coalesce(F.when(whole > 0, F.size(shared) / whole), F.lit(0.0)), 6).alias(f"{prefix}_jaccard"))
 
 
