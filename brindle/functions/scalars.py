@@ -86,3 +86,8 @@ def repaired_time(s: Column) -> Column:
 def publish_ms(s: Column, origin_ms: int = 1465876799998) -> Column:
     """Milliseconds from the log's origin, at least -1e12, which unreadable times get."""
     return F.greatest(F.coalesce(F.unix_millis(repaired_time(s)) - F.lit(origin_ms), F.lit(-(10**12))), F.lit(-(10**12)))
+
+
+def parse_ids(s: Column) -> Column:
+    """A space list of integers as array<bigint>; null and empty texts give an empty array."""
+    return F.transform(F.filter(F.split(F.coalesce(s, F.lit("")), " "), lambda x: x != ""), lambda x: x.cast("long"))

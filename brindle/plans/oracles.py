@@ -118,53 +118,142 @@ def _lg(c: str, v: str, reg: str) -> str:
 
 POS = "CASE WHEN {0} < 0 THEN 0 ELSE ln(1 + ({0})::DOUBLE) / 100 END"
 SIGNED = "CASE WHEN {0} < 0 THEN -ln(1 - ({0})::DOUBLE) / 100 ELSE ln(1 + ({0})::DOUBLE) / 100 END"
-RIVALS = f"riv AS (SELECT *, count(*) OVER (PARTITION BY display_id) rival_count FROM star), rleak AS (SELECT s.*, coalesce(o.n, 0) viewed, CASE WHEN o.n IS NULL AND s.ad_document_id IN (SELECT document_id FROM views) THEN 1 ELSE 0 END not_viewed FROM riv s LEFT JOIN (SELECT uid, document_id, count(*) n FROM views GROUP BY ALL) o ON o.uid = s.uid AND o.document_id = s.ad_document_id), asm AS (SELECT *, {_counters('ad', 'uid, ad_id')} FROM rleak)"
+RIVALS = "riv AS (SELECT *, count(*) OVER (PARTITION BY display_id) rival_count FROM star), rleak AS (SELECT s.*, coalesce(o.n, 0) viewed, CASE WHEN o.n IS NULL AND s.ad_document_id IN (SELECT document_id FROM views) THEN 1 ELSE 0 END not_viewed FROM riv s LEFT JOIN (SELECT uid, document_id, count(*) n FROM views GROUP BY ALL) o ON o.uid = s.uid AND o.document_id = s.ad_document_id)"
 BOTH = {"p1": False, "f1": True, "f2": False, "f3": True, "f4": True, "f5": True}
 OFFSET = {"f4": 700, "f5": 700}
-WITHOUT = {"p1": {13, 14, 17, 18, 19, 20}, "f2": {18, 19, 20}}
-IDS = {3: ("uid", 50, 100), 4: ("ev_document_id", 10, 100), 5: ("ev_source_id", 10, 10), 6: ("ev_publisher_id", 10, 10), 30: ("ad_id", 10, 100), 31: ("campaign_id", 10, 100), 33: ("ad_document_id", 10, 100), 34: ("ad_source_id", 10, 10), 35: ("ad_publisher_id", 10, 10)}
+IDS = {
+    3: ("uid", 50, 100), 4: ("ev_document_id", 50, 100), 5: ("ev_source_id", 10, 10), 6: ("ev_publisher_id", 10, 10), 30: ("ad_id", 50, 100), 31: ("campaign_id", 50, 100),
+    32: ("advertiser_id", 50, 100), 33: ("ad_document_id", 50, 100), 34: ("ad_source_id", 10, 10), 35: ("ad_publisher_id", 10, 10),
+}
+SEEN = {3: ("ad", "ad_doc"), 4: ("pub", "src"), 5: ("cmp", "adv")}
+HAS_LISTS = {
+    "p1": {20: "rival_ids", 21: "doc_ads"}, "f1": {19: "docs_after", 20: "rival_ids", 21: "doc_ads"}, "f2": {}, "f3": {19: "docs_after", 20: "rival_ids", 21: "doc_ads", 22: "user_docs"},
+    "f4": {19: "docs_after", 20: "rival_ids", 21: "doc_ads", 22: "user_docs", 23: "user_sources"},
+    "f5": {19: "docs_after", 20: "rival_ids", 21: "doc_ads", 23: "sources32", 24: "sources33", 25: "sources34", 26: "docs32", 27: "docs33", 28: "docs34"},
+}
+
+
+def _notes(kind: str) -> str:
+    return f"n_{kind} AS (SELECT document_id, list(struct_pack(id := id, conf := conf) ORDER BY id) l FROM {kind} GROUP BY document_id)"
+
+
+def _weights(kind: str) -> str:
+    return f"w_{kind} AS (SELECT {', '.join('s.' + c for c in ROW.split(', '))}, round(coalesce(sum(w.w), 0), 6) v FROM star s LEFT JOIN (SELECT DISTINCT document_id, id FROM {kind}) a ON a.document_id = s.ad_document_id LEFT JOIN (SELECT v.uid, a.id, sum(a.conf) w FROM views v JOIN {kind} a ON a.document_id = v.document_id WHERE v.ts <= 1123200000 GROUP BY ALL) w ON w.id = a.id AND w.uid = s.uid GROUP BY ALL)"
+
+
+def _asm(body: str) -> str:
+    """cnt: all that the profiles read, a row for each click."""
+    users = [f"u_{x}{t} AS (SELECT uid, list(DISTINCT {c}) l FROM {src} WHERE tag = {t} GROUP BY uid)" for x, c, src in (("docs", "document_id", "views"), ("sources", "source_id", "views JOIN docs USING (document_id)")) for t in (32, 33, 34)]
+    users = [u.replace("WHERE tag", "WHERE source_id IS NOT NULL AND tag") if "source_id" in u else u for u in users]
+    docs = "u_user_docs AS (SELECT uid, list(DISTINCT document_id) l FROM mine WHERE document_id IN (SELECT document_id FROM displays GROUP BY document_id HAVING count(*) > 1) GROUP BY uid), u_user_sources AS (SELECT uid, list(DISTINCT source_id) l FROM mine JOIN docs USING (document_id) WHERE source_id IS NOT NULL GROUP BY uid)"
+    counts = ", ".join(f"count(*) FILTER (NOT is_test) OVER (PARTITION BY {c}) AS {c}__tr, count(*) FILTER (is_test) OVER (PARTITION BY {c}) AS {c}__te" for c, *_ in IDS.values())
+    counters = ", ".join(_counters(p, f"uid, {c}") for p, c in {**KEYS["ads"], **KEYS["ad_srcs"], "cmp": "campaign_id"}.items())
+    names = [f"{x}{t}" for x in ("docs", "sources") for t in (32, 33, 34)] + ["user_docs", "user_sources"]
+    lists = ", ".join(f"u_{n}.l AS {n}" for n in names) + ", ec.l AS ev_categories, ac.l AS ad_categories, et.l AS ev_topics, at_.l AS ad_topics, aft.l AS docs_after, oth.l AS doc_ads, list_filter(r.al, lambda y: y <> r.ad_id) AS rival_ids"
+    views = ", ".join(f"CASE WHEN r.ad_{x}_id = 0 THEN -1 ELSE coalesce(v_{x}.n, 0) END AS {x}_view_count" for x in ("publisher", "source"))
+    hist = ", ".join(f"h_{p}.{p}_{n}" for p in ("cat", "top") for n in NAMES)
+    key = lambda t: " AND ".join(f"{t}.{c} = r.{c}" for c in ROW.split(", "))
+    joins = " ".join([
+        *(f"LEFT JOIN u_{n} ON u_{n}.uid = r.uid" for n in names), "LEFT JOIN n_categories ec ON ec.document_id = r.ev_document_id LEFT JOIN n_categories ac ON ac.document_id = r.ad_document_id LEFT JOIN n_topics et ON et.document_id = r.ev_document_id LEFT JOIN n_topics at_ ON at_.document_id = r.ad_document_id",
+        "LEFT JOIN aft ON aft.uid = r.uid AND aft.ts = r.ts LEFT JOIN oth ON oth.display_id = r.display_id", *(f"LEFT JOIN v_{x} ON v_{x}.uid = r.uid AND v_{x}.id = r.ad_{x}_id" for x in ("publisher", "source")),
+        *(f"JOIN w_{k} ON {key('w_' + k)}" for k in ("categories", "topics")), *(f"JOIN h_{p} ON {key('h_' + p)}" for p in ("cat", "top")),
+    ])
+    return q(
+        body, RIVALS, BY_USERS, *users, docs, *map(_notes, ("categories", "topics")), *map(_weights, ("categories", "topics")), f"h_cat AS ({_weighted('uid', 'categories', 'cat')}), h_top AS ({_weighted('uid', 'topics', 'top')})",
+        *(f"v_{x} AS (SELECT v.uid, {x}_id id, count(*) n FROM views v JOIN docs USING (document_id) WHERE v.ts <= 1123200000 GROUP BY ALL)" for x in ("publisher", "source")),
+        "aft AS (SELECT d.uid, d.ts, list(DISTINCT v.document_id) l FROM (SELECT DISTINCT uid, ts FROM displays) d JOIN views v ON v.uid = d.uid AND v.ts > d.ts AND v.ts - d.ts < 3600000 GROUP BY ALL)",
+        "oth AS (SELECT display_id, list(code) l FROM (SELECT display_id, (ev_document_id::VARCHAR || '99' || ad_id::VARCHAR)::BIGINT % 4194304 AS code, count(*) OVER (PARTITION BY ev_document_id, ad_id) n FROM star) WHERE n >= 2 GROUP BY display_id)",
+        f"seen AS (SELECT *, list(ad_id) OVER (PARTITION BY display_id) al, {counters}, {counts} FROM rleak)",
+        f"cnt AS (SELECT r.*, {lists}, {views}, {hist}, w_categories.v AS category_view_weight, w_topics.v AS topic_view_weight FROM seen r {joins})",
+    )
 
 
 def _terms(profile: str) -> list[tuple[int, str, str, str]]:
     """(field, condition, index, value)"""
     off, out = OFFSET.get(profile, 200), []
-    for k, c in ((0, "platform"), (1, "country"), (2, "state"), (32, "advertiser_id")):
-        out.append((k, "true", hashed(k, code(f"coalesce({c}::VARCHAR, '')"), off), "1.0"))
+    state = "coalesce(country::VARCHAR, '') || coalesce(state::VARCHAR, '')" if profile == "f2" else "coalesce(state::VARCHAR, '')"
+    for k, c in ((0, "coalesce(platform::VARCHAR, '')"), (1, "coalesce(country::VARCHAR, '')"), (2, state)):
+        out.append((k, "true", hashed(k, code(c), off), "1.0"))
     for k, (c, least, add) in IDS.items():
         least = (50 if c == "uid" else 5) if BOTH[profile] else least
         test = f"least({c}__tr, {c}__te)" if BOTH[profile] else f"{c}__tr"
         low = f"{c}__tr + {c}__te" if BOTH[profile] else f"{c}__tr"
-        out.append((k, "true", hashed(k, f"CASE WHEN {test} < {least} THEN {low} ELSE coalesce({c}, 0) + {add} END", off), "1.0"))
+        own = code("coalesce(advertiser_id, '')") if c == "advertiser_id" else f"coalesce({c}, 0)"
+        out.append((k, "true", hashed(k, f"CASE WHEN {test} < {least} THEN {low} ELSE {own} + {add} END", off), "1.0"))
     raw = lambda f, i: f"({f << 20} | (({i}) & 1048575))"
-    flags = ((10, 0, "ad_publisher_id = ev_publisher_id"), (10, 1, "ad_source_id = ev_source_id"), (11, 2, "viewed > 0"), (11, 3, "not_viewed > 0"), (12, 20, "ad_past_views > 0"), (12, 21, "ad_past_clicks > 0"), (13, 40, "ad_future_all_views > 0"))
-    out += [(f, on, raw(f, str(i)), "1.0") for f, i, on in flags]
-    ctr = f"({_lg('(ad_past_clicks + ad_future_clicks)', '(ad_past_views + ad_future_views)', '50')} - ln(0.194::DOUBLE / (1 - 0.194::DOUBLE)))"
-    out += [(15, "true", raw(15, "250 + weekday * 12 + hour // 2"), "1.0"), (16, "true", raw(16, "80"), POS.format("(ts - ad_publish_ts)")), (16, "true", raw(16, "81"), SIGNED.format("(ev_publish_ts - ad_publish_ts)")), (17, "true", raw(17, "43"), ctr), (18, "true", raw(18, "rival_count + 180"), "1.0")]
-    return [t for t in out if t[0] not in WITHOUT.get(profile, set())]
+    positive = {
+        11: {2: "viewed", 3: "not_viewed", 4: "publisher_view_count", 5: "source_view_count", 6: "category_view_weight", 7: "topic_view_weight"},
+        12: {
+            20: "ad_past_all_views", 21: "ad_past_clicks", 22: "ad_doc_past_all_views", 23: "ad_doc_past_clicks", 24: "pub_past_all_views", 25: "pub_past_clicks", 26: "src_past_all_views", 27: "src_past_clicks",
+            28: "cat_past_all_views", 29: "cat_past_clicks", 30: "top_past_all_views", 32: "top_past_clicks",
+        },
+    }
+    out += [(10, f"ad_{x}_id = ev_{x}_id", raw(10, str(i)), "1.0") for i, x in enumerate(("publisher", "source"))]
+    out += [(f, f"{c} > 0", raw(f, str(i)), "1.0") for f, own in positive.items() for i, c in own.items()]
+    if profile != "p1":
+        out += [(13, "ad_future_all_views > 0", raw(13, "40"), "1.0"), (13, "ad_doc_future_all_views > 0", raw(13, "41"), "1.0"), (14, "ad_future_all_views = 0 AND cmp_future_all_views > 0", raw(14, "42"), "1.0")]
+        out.append((17, "true", raw(17, "43"), f"({_lg('(src_past_clicks + src_future_clicks)', '(src_past_views + src_future_views)', '50')} - ln(0.194::DOUBLE / (1 - 0.194::DOUBLE)))"))
+    day, hour = {"p1": (50, 70), "f2": (50, 70), "f5": (40, 50)}.get(profile, (70, 50))
+    field = 13 if profile == "p1" else 15
+    out += [(field, "true", raw(field, f"weekday + {day}"), "1.0"), (field, "true", raw(field, f"hour + {hour}"), "1.0")]
+    if profile == "f5":
+        out.append((15, "true", raw(15, "250 + weekday * 12 + hour // 2"), "1.0"))
+    a, b = {"p1": (14, 14), "f5": (16, 22)}.get(profile, (16, 16))
+    out += [(a, "true", raw(a, "80"), f"coalesce({POS.format('(ts - ad_publish_ts)')}, 0)"), (b, "true", raw(b, "81"), f"coalesce({SIGNED.format('(ev_publish_ts - ad_publish_ts)')}, 0)")]
+    if profile != "f2":
+        out.append((18, "true", raw(18, "rival_count + 180"), "1.0"))
+    return out
 
 
-def _asm(body: str) -> str:
-    counts = ", ".join(f"count(*) FILTER (NOT is_test) OVER (PARTITION BY {c}) AS {c}__tr, count(*) FILTER (is_test) OVER (PARTITION BY {c}) AS {c}__te" for c, *_ in IDS.values())
-    return q(body, RIVALS, f"cnt AS (SELECT *, {counts} FROM asm)")
+def _export(profile: str) -> str:
+    terms, off = _terms(profile), OFFSET.get(profile, 200)
+    n = [f"CASE WHEN {on} THEN 1 ELSE 0 END" for _, on, _, _ in terms]
+    index = [f"CASE WHEN {on} THEN {i} ELSE 0 END" for _, on, i, _ in terms]
+    norm = [f"CASE WHEN {on} THEN ({v}) * ({v}) ELSE 0 END" for _, on, _, v in terms]
+    fields = [f"CASE WHEN {on} THEN {f} ELSE 0 END" for f, on, _, _ in terms]
+    noted = {7: "ev_categories", 36: "ad_categories", **({8: "ev_topics", 37: "ad_topics"} if profile == "f2" else {})}
+    for f, c in {**HAS_LISTS[profile], **noted}.items():
+        size = f"coalesce(len({c}), 0)"
+        n.append(size)
+        fields.append(f"{f} * {size}")
+        index.append(f"coalesce(list_sum(list_transform({c}, lambda x: {hashed(f, 'x.id' if f in noted else 'x', off)})), 0)")
+        norm.append(f"coalesce(list_sum(list_transform({c}, lambda x: x.conf * x.conf)), 0)" if f in noted else size)
+    return _asm(f"SELECT {ROW}, ({' + '.join(n)})::BIGINT AS n_features, round(({' + '.join(norm)})::DOUBLE, 6) AS norm, ({' + '.join(index)})::BIGINT AS index_sum, ({' + '.join(fields)})::BIGINT AS field_sum FROM cnt")
 
 
-def _export(profile: str) -> str:
-    terms = _terms(profile)
-    n = " + ".join(f"CASE WHEN {on} THEN 1 ELSE 0 END" for _, on, _, _ in terms)
-    index = " + ".join(f"CASE WHEN {on} THEN {i} ELSE 0 END" for _, on, i, _ in terms)
-    norm = " + ".join(f"CASE WHEN {on} THEN ({v}) * ({v}) ELSE 0 END" for _, on, _, v in terms)
-    return _asm(f"SELECT {ROW}, ({n})::BIGINT AS n_features, round(({norm})::DOUBLE, 6) AS norm, ({index})::BIGINT AS index_sum FROM cnt")
+NOTED = " ".join(f"LEFT JOIN n_{k} {s}{k[0]} ON {s}{k[0]}.document_id = r.{s}_document_id" for k in ("categories", "topics", "entities") for s in ("ev", "ad"))
 
 
 def _ffm() -> str:
-    parts = ", ".join(f"CASE WHEN {on} THEN '{f}:' || ({i})::VARCHAR || ':' || printf('%.4f', ({v})::DOUBLE) END" for f, on, i, v in _terms("f1"))
-    return _asm(f"SELECT {ROW}, concat_ws(' ', greatest(label, 0)::VARCHAR, {parts}) AS line FROM cnt")
+    number = lambda k, x: f"({hashed(k, x, 0, 19)} + 100)::VARCHAR"
+    text = lambda k, x: f"((((({code(x)}) + {k}) & 524287) * 2654435761 & 524287) + 100)::VARCHAR"
+    one = lambda k, c: f"'{k}:' || {number(k, f'coalesce({c}, 0)')} || ':1'"
+    word = lambda k, c: f"'{k}:' || {text(k, f'coalesce({c}::VARCHAR, {chr(39) * 2})')} || ':1'"
+    many = lambda k, c: f"array_to_string(list_transform({c}, lambda x: '{k}:' || {number(k, 'x.id')} || ':' || printf('%.6f', x.conf)), ' ')"
+    parts = [one(0, "ad_id"), one(1, "campaign_id"), *(word(k, c) for k, c in ((2, "advertiser_id"), (3, "platform"), (4, "country"), (5, "state")))]
+    parts += [one(6, "ev_document_id"), one(7, "ev_source_id"), one(8, "ev_publisher_id"), many(12, "evc.l"), one(9, "ad_document_id"), one(10, "ad_source_id"), one(11, "ad_publisher_id"), many(13, "adc.l")]
+    parts += [f"CASE WHEN {on} THEN '{t}' END" for on, t in (("ad_publisher_id = ev_publisher_id", "18:0:1"), ("ad_source_id = ev_source_id", "19:1:1"), ("viewed > 0", "20:2:1"), ("not_viewed > 0", "21:3:1"))]
+    parts += ["'22:' || (weekday + 50)::VARCHAR || ':1'", "'23:' || (hour + 70)::VARCHAR || ':1'"]
+    parts += [f"'{k}:{i}:' || printf('%.6f', coalesce({x}, 0)::DOUBLE)" for k, i, x in ((24, 4, POS.format("(ts - ad_publish_ts)")), (25, 5, SIGNED.format("(ev_publish_ts - ad_publish_ts)")))]
+    return q(f"SELECT {ROW}, concat_ws(' ', label::VARCHAR, {', '.join(parts)}) AS line FROM rleak r {NOTED}", RIVALS, *map(_notes, ("categories", "topics", "entities")))
 
 
 def _vw() -> str:
-    spaces = {"a": ["ad_id", "campaign_id", "advertiser_id"], "l": ["platform", "country", "state", "region"], "t": ["hour", "weekday"], "d": ["ad_document_id", "ev_document_id"], "p": ["rival_count"]}
-    text = " || ' ' || ".join(f"'|{k} ' || " + " || ' ' || ".join(f"'{c}_' || coalesce({c}::VARCHAR, '')" for c in cs) for k, cs in spaces.items())
-    return q(f"SELECT {ROW}, (CASE WHEN label < 0 THEN 0 ELSE label * 2 - 1 END)::VARCHAR || ' ' || {text} AS line FROM riv", RIVALS)
+    tags = lambda *pairs: " || ' ' || ".join(f"'{t}_' || coalesce({c}::VARCHAR, '')" for t, c in pairs)
+    notes = lambda side, a: " || ".join(f"coalesce(array_to_string(list_transform({side}{k}.l, lambda x: ' {a}d{k if k != 'c' else 'c'}_' || x.id::VARCHAR || ':' || printf('%.6f', x.conf)), ''), '')" for k in "cte")
+    flags = " || ".join(f"CASE WHEN {on} THEN ' {t}' ELSE '' END" for on, t in (("ad_publisher_id = ev_publisher_id", "sp"), ("ad_source_id = ev_source_id", "ss"), ("viewed > 0", "v"), ("not_viewed > 0", "nv")))
+    sims = " || ".join(f"' s_{i}:' || printf('%.6f', coalesce({c}, 0)::DOUBLE)" for i, c in enumerate(f"{p}_{x}" for p in ("cat", "top", "ent") for x in ("product", "jaccard")))
+    every = [(n, [f"{p}_{when}_{x}" for when in ("past", "future") for p in pair for x in ("views", "clicks", "all_views")]) for n, pair in SEEN.items()]
+    seen = " || ".join(f"CASE WHEN {c} > 0 THEN ' av_{n}_{i}' ELSE '' END" for n, cs in every for i, c in enumerate(cs))
+    label = "CASE WHEN label >= 0 THEN (label * 2 - 1)::VARCHAR || ' ' ELSE '' END"
+    text = f"{label} || '|a ' || {tags(('ad', 'ad_id'), ('ac', 'campaign_id'), ('aa', 'advertiser_id'))} || '|l ' || {tags(('c', 'country'), ('s', 'state'), ('p', 'platform'))} || '|t ' || {tags(('h', 'hour'), ('w', 'weekday'))} || '|u ' || {tags(('u', 'uid'))}"
+    text += f" || '|d ' || {tags(('ed', 'r.ev_document_id'), ('eds', 'ev_source_id'), ('edp', 'ev_publisher_id'))} || {notes('ev', 'e')} || '|p ' || {tags(('ad', 'r.ad_document_id'), ('ads', 'ad_source_id'), ('adp', 'ad_publisher_id'))} || {notes('ad', 'a')} || '|f' || {flags} || {sims} || {seen}"
+    counters = ", ".join(_counters(p, f"uid, {c}") for own in KEYS.values() for p, c in own.items())
+    both = " ".join(f"LEFT JOIN s_{p} ON s_{p}.ev_document_id = r.ev_document_id AND s_{p}.ad_document_id = r.ad_document_id" for p in ("cat", "top", "ent"))
+    return q(
+        f"SELECT {ROW}, {text} AS line FROM seen r {NOTED} {both}", RIVALS, *map(_notes, ("categories", "topics", "entities")), f"seen AS (SELECT *, {counters} FROM rleak)",
+        *(f"s_{p} AS ({_similar(k, p)})" for k, p in (("categories", "cat"), ("topics", "top"), ("entities", "ent"))),
+    )
 
 
 def _matrix() -> str:
@@ -228,6 +317,7 @@ ORACLE_SQL = {
     "user_docs": q(f"SELECT uid, {_list('document_id')} AS doc_ids FROM mine WHERE document_id IN (SELECT document_id FROM displays GROUP BY document_id HAVING count(*) > 1) GROUP BY uid", BY_USERS),
     "user_sources": q(f"SELECT uid, {_list('source_id')} AS source_ids FROM mine JOIN docs USING (document_id) WHERE source_id IS NOT NULL GROUP BY uid", BY_USERS),
     "user_tagged_docs": q("SELECT uid, " + ", ".join(_list("document_id", f" FILTER (tag = {t})") + f" AS {n}" for t, n in ((32, "internal"), (33, "social"), (34, "search"))) + " FROM views GROUP BY uid"),
+    "user_tagged_sources": q("SELECT uid, " + ", ".join(_list("source_id", f" FILTER (tag = {t})") + f" AS {n}" for t, n in ((32, "internal"), (33, "social"), (34, "search"))) + " FROM views JOIN docs USING (document_id) WHERE source_id IS NOT NULL GROUP BY uid"),
     "one_hour_after": _after(3_600_000),
     "six_hours_after": _after(21_600_000),
     "doc_ad_others": q(f"SELECT display_id, {_list('code', '', '')} AS ids FROM (SELECT display_id, (ev_document_id::VARCHAR || '99' || ad_id::VARCHAR)::BIGINT % 4194304 AS code, count(*) OVER (PARTITION BY ev_document_id, ad_id) n FROM star) WHERE n >= 2 GROUP BY display_id"),

@@ -141,15 +141,28 @@ def user_docs(spark: SparkSession, d: str, more_than: int = 1) -> DataFrame:
     return _by_users(spark, d).join(usual, "document_id", "left_semi").groupBy("uid").agg(F.array_join(F.array_sort(F.collect_set("document_id")), " ").alias("doc_ids"))
 
 
+def _sourced(spark: SparkSession, d: str, views: DataFrame) -> DataFrame:
+    return views.join(A.documents(spark, d).where("source_id IS NOT NULL").select("document_id", "source_id"), "document_id")
+
+
 def user_sources(spark: SparkSession, d: str) -> DataFrame:
-    of = A.documents(spark, d).where("source_id IS NOT NULL").select("document_id", "source_id")
-    return _by_users(spark, d).join(of, "document_id").groupBy("uid").agg(F.array_join(F.array_sort(F.collect_set("source_id")), " ").alias("source_ids"))
+    return _sourced(spark, d, _by_users(spark, d)).groupBy("uid").agg(F.array_join(F.array_sort(F.collect_set("source_id")), " ").alias("source_ids"))
+
+
+TAGS = {"internal": 32, "social": 33, "search": 34}
+
+
+def _tagged(views: DataFrame, column: str) -> DataFrame:
+    """Distinct values of each user by traffic tag, as space lists."""
+    return views.groupBy("uid").agg(*(F.array_join(F.array_sort(F.collect_set(F.when(F.col("tag") == t, F.col(column)))), " ").alias(name) for name, t in TAGS.items()))
 
 
 def user_tagged_docs(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct documents of each user by traffic tag: 32 internal, 33 social, 34 search."""
-    tagged = lambda t, name: F.array_join(F.array_sort(F.collect_set(F.when(F.col("tag") == t, F.col("document_id")))), " ").alias(name)
-    return A.page_views(spark, d).groupBy("uid").agg(tagged(32, "internal"), tagged(33, "social"), tagged(34, "search"))
+    return _tagged(A.page_views(spark, d), "document_id")
+
+
+def user_tagged_sources(spark: SparkSession, d: str) -> DataFrame:
+    return _tagged(_sourced(spark, d, A.page_views(spark, d)), "source_id")
 
 
 def one_hour_after(spark: SparkSession, d: str) -> DataFrame:
@@ -212,28 +225,69 @@ def blend(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(*ROW, F.round(0.7 * F.col("pred") + 0.3 / F.col("rival_count"), 6).alias("pred"))
 
 
-def _assembled(spark: SparkSession, d: str) -> DataFrame:
-    rows = features.rivals(A.star(spark, d), [*TIES, "ship"])
-    rows = features.leak_viewed(rows, A.page_views(spark, d))
-    rows = history.past_future(rows, ["uid", "ad_id"], "ad")
-    return assemble.with_counts(rows, A.star(spark, d), [c for c, *_ in {**assemble.EVENT_IDS, **assemble.AD_IDS}.values()])
+def _lists(spark: SparkSession, d: str) -> dict:
+    """Of each id list of the profiles: the keys it joins by, its table and the table's text column."""
+    docs, sources = user_tagged_docs, user_tagged_sources
+    return {
+        "docs_after": (["uid", "ts"], one_hour_after, "doc_ids"), "doc_ads": (["display_id"], doc_ad_others, "ids"), "user_docs": (["uid"], user_docs, "doc_ids"), "user_sources": (["uid"], user_sources, "source_ids"),
+        **{f"{t}_docs": (["uid"], docs, t) for t in TAGS}, **{f"{t}_sources": (["uid"], sources, t) for t in TAGS},
+    }
+
+
+def _noted(rows: DataFrame, spark: SparkSession, d: str, kinds: list[str]) -> DataFrame:
+    for kind in kinds:
+        rows = assemble.with_annotations(rows, A.annotations(spark, d, kind), kind)
+    return rows
+
+
+def _assembled(spark: SparkSession, d: str, profile: str) -> DataFrame:
+    """What a profile's features read: each history joins by the row's key, each list and count by its own."""
+    base = A.star(spark, d)
+    rows = features.leak_viewed(features.rivals(base, [*TIES, "ship"]), A.page_views(spark, d))
+    rows = rows.withColumn("rival_ids", F.filter(S.parse_ids(F.col("rivals")), lambda x: x != F.col("ad_id")))
+    rows = features.viewed_docs(rows, _views(spark, d, ["uid"], True), A.documents(spark, d), ["uid"])
+    for prefix, column in {**KEYS["ads"], **KEYS["ad_srcs"], "cmp": "campaign_id"}.items():
+        rows = history.past_future(rows, ["uid", column], prefix)
+    for kind, prefix, name in (("categories", "cat", "category_view_weight"), ("topics", "top", "topic_view_weight")):
+        rows = rows.join(features.viewed_weight(base, _views(spark, d, ["uid"], True), A.annotations(spark, d, kind), ["uid"], ROW, name), ROW)
+        rows = rows.join(history.weighted_history(base, A.annotations(spark, d, kind), ["uid"], ROW, prefix), ROW)
+    p, known = assemble.PROFILES[profile], _lists(spark, d)
+    wanted: dict = {}
+    for name in p["lists"].values():
+        if name in known:
+            keys, table, column = known[name]
+            wanted.setdefault((table, tuple(keys)), {})[name] = column
+    for (table, keys), columns in wanted.items():
+        lists = table(spark, d).select(*keys, *(S.parse_ids(F.col(c)).alias(n) for n, c in columns.items()))
+        rows = rows.join(lists, list(keys), "left")
+    rows = _noted(rows, spark, d, ["categories", *(["topics"] if "topics" in p["parts"] else [])])
+    return assemble.with_counts(rows, base, [c for c, *_ in {**assemble.EVENT_IDS, **assemble.AD_IDS}.values()])
 
 
 def export_binary(profile: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        out = assemble.dataset(_assembled(spark, d), profile)
-        return out.select(*ROW, "n_features", F.round("norm", 6).alias("norm"), F.aggregate("features", F.lit(0).cast("long"), lambda s, f: s + f["index"]).alias("index_sum"))
+        out = assemble.dataset(_assembled(spark, d, profile), profile)
+        total = lambda c: F.aggregate("features", F.lit(0).cast("long"), lambda s, f: s + f[c])
+        return out.select(*ROW, "n_features", F.round("norm", 6).alias("norm"), total("index").alias("index_sum"), total("field").alias("field_sum"))
 
     return run
 
 
 def export_ffm(spark: SparkSession, d: str) -> DataFrame:
-    rows = assemble.dataset(_assembled(spark, d), "f1")
+    rows = _noted(features.leak_viewed(A.star(spark, d), A.page_views(spark, d)), spark, d, ["categories"])
     return rows.select(*ROW, assemble.libffm_lines(rows).alias("line"))
 
 
 def export_vw(spark: SparkSession, d: str) -> DataFrame:
-    rows = features.rivals(A.star(spark, d), [*TIES, "ship"])
+    base = A.star(spark, d)
+    rows = features.leak_viewed(base, A.page_views(spark, d))
+    for what in KEYS.values():
+        for prefix, column in what.items():
+            rows = history.past_future(rows, ["uid", column], prefix)
+    for kind, prefix in (("categories", "cat"), ("topics", "top"), ("entities", "ent")):
+        both = features.similarity(base.select("ev_document_id", "ad_document_id"), A.annotations(spark, d, kind), "ev_document_id", "ad_document_id", prefix)
+        rows = rows.join(both, ["ev_document_id", "ad_document_id"], "left")
+    rows = _noted(rows, spark, d, list(A.ANNOTATIONS))
     return rows.select(*ROW, assemble.vw_lines(rows).alias("line"))
 
 
@@ -248,7 +302,7 @@ def ctr_logit_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _training(spark: SparkSession, d: str) -> DataFrame:
-    return assemble.dataset(_assembled(spark, d), "f1").select(*ROW, "label", "clicked", "features", "norm")
+    return assemble.dataset(_assembled(spark, d, "f1"), "f1").select(*ROW, "label", "clicked", "features", "norm")
 
 
 def model(kind: str):
@@ -289,7 +343,7 @@ QUERIES = {
     "uid_viewed_grps": uid_viewed_grps, **{f"{g}_viewed_{w}": viewed(g, w) for g in GROUPS for w in KEYS},
     **{f"{g}_viewed_ad_cats": viewed_weighted(g, "categories", "cat") for g in GROUPS}, **{f"{g}_viewed_ad_tops": viewed_weighted(g, "topics", "top") for g in GROUPS},
     "uid_viewed_ad_bags": uid_viewed_ad_bags, "uid_viewed_ad_leak": uid_viewed_ad_leak, "uid_viewed_ad_leak_2": uid_viewed_ad_leak_2,
-    "user_docs": user_docs, "user_sources": user_sources, "user_tagged_docs": user_tagged_docs, "one_hour_after": one_hour_after, "six_hours_after": six_hours_after, "doc_ad_others": doc_ad_others,
+    "user_docs": user_docs, "user_sources": user_sources, "user_tagged_docs": user_tagged_docs, "user_tagged_sources": user_tagged_sources, "one_hour_after": one_hour_after, "six_hours_after": six_hours_after, "doc_ad_others": doc_ad_others,
     "rivals": rivals, "similarity_categories": similarity("categories", "cat"), "similarity_topics": similarity("topics", "top"), "similarity_entities": similarity("entities", "ent"),
     "feature_hash": feature_hash, "rare_bucket": rare_bucket, "time_diffs": time_diffs, "geo_calendar": geo_calendar, "encode_first_seen": encode_first_seen, "publish_times": publish_times,
     "fold_assign": fold_assign, "logloss": logloss, "blend": blend, **{f"export_{p}": export_binary(p) for p in assemble.PROFILES}, "export_ffm": export_ffm, "export_vw": export_vw, "ctr_logit_matrix": ctr_logit_matrix,
