@@ -23,6 +23,11 @@ class Params:
     arrays: dict[str, np.ndarray]
     bits: int = 12
     k: int = 4
+    restricted: bool = False
+
+
+#: Restricted pairs hold a feature of the page or common fields and one of the common or ad fields.
+LAST_LOW, FIRST_HIGH = 29, 10
 
 
 def _start(kind: str, bits: int, k: int, seed: int = 2017) -> Params:
@@ -56,7 +61,8 @@ def _weights(p: Params, i: np.ndarray, alpha=0.1, beta=2.0, l1=2e-4, l2=5e-4) ->
     return np.where(np.abs(z) < l1, 0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
 
 
-def _forward(p: Params, x) -> tuple[float, dict]:
+def _forward(p: Params, x, drop_log: int = 0, rng=None) -> tuple[float, dict]:
+    """The score and what the gradient needs; with drop_log, each pair is left out with probability 2^-drop_log, the others count more for it."""
     field, i, v = x
     a = p.arrays
     if p.kind == "ftrl":
@@ -66,9 +72,16 @@ def _forward(p: Params, x) -> tuple[float, dict]:
         h1 = np.maximum(h0 @ a["w1"], 0)
         return float(h1 @ a["w2"] + a["b"][0]), {"h0": h0, "h1": h1}
     s, t = np.triu_indices(len(i), 1)
+    if p.restricted:
+        on = (np.minimum(field[s], field[t]) <= LAST_LOW) & (np.maximum(field[s], field[t]) >= FIRST_HIGH)
+        s, t = s[on], t[on]
+    scale = 1.0
+    if drop_log and rng is not None:
+        on = rng.random(len(s)) >= 0.5**drop_log
+        s, t, scale = s[on], t[on], 2**drop_log / (2**drop_log - 1)
     norm = max(1e-9, float(v @ v))
     left, right = a["v"][i[s], field[t]], a["v"][i[t], field[s]]
-    c = v[s] * v[t] / norm
+    c = scale * v[s] * v[t] / norm
     products = (left * right * c[:, None]).sum(0)
     linear = float(a["w"][i] @ v) / max(1, len(i)) + float(a["b"][0])
     if p.kind == "ffm":
@@ -78,11 +91,11 @@ def _forward(p: Params, x) -> tuple[float, dict]:
     return linear + float(h1 @ a["w2"]), {"s": s, "t": t, "left": left, "right": right, "c": c, "h0": h0, "h1": h1}
 
 
-def _update(p: Params, x, y: float, eta: float, l2: float, sums: dict) -> None:
+def _update(p: Params, x, y: float, eta: float, l2: float, sums: dict, drop_log: int = 0, rng=None) -> None:
     """One step of adaptive gradient descent (FTRL-proximal for ftrl)."""
     field, i, v = x
     a = p.arrays
-    t, m = _forward(p, x)
+    t, m = _forward(p, x, drop_log, rng)
     g = _sigmoid(t) - y
     if p.kind == "ftrl":
         grad, w, n = g * v, _weights(p, i), a["n"][i]
@@ -115,21 +128,24 @@ def _update(p: Params, x, y: float, eta: float, l2: float, sums: dict) -> None:
     move("v", (i[m["t"]], field[m["s"]]), each * m["left"] * m["c"][:, None])
 
 
-def fit(rows: DataFrame, kind: str, epochs: int = 1, eta: float = 0.2, l2: float = 2e-5, bits: int = 12, k: int = 4, parts: int = 8) -> Params:
-    """kind: ftrl, ffm, ffm_nn or nn. rows: label (negative: not trained on) and features."""
-    params, sc = _start(kind, bits, k), rows.sparkSession.sparkContext
+def fit(rows: DataFrame, kind: str, epochs: int = 1, eta: float = 0.2, l2: float = 2e-5, bits: int = 12, k: int = 4, parts: int = 8, seed: int = 2017, drop_log: int = 1, restricted: bool = False) -> Params:
+    """kind: ftrl, ffm, ffm_nn or nn. rows: label (negative: not trained on) and features. drop_log and restricted are about the pairs of ffm and ffm_nn."""
+    params, sc = _start(kind, bits, k, seed), rows.sparkSession.sparkContext
+    params.restricted = restricted
     data = rows.where("label >= 0").select("label", "features", F.xxhash64("features", "label").alias("h")).repartition(parts, "h").sortWithinPartitions("h")
-    for _ in range(epochs):
+    for epoch in range(epochs):
         shared = sc.broadcast(params)
 
-        def run(batches: Iterator, shared=shared) -> Iterator:
+        def run(batches: Iterator, shared=shared, epoch=epoch) -> Iterator:
             import pyarrow as pa
+            from pyspark import TaskContext
 
-            p = Params(shared.value.kind, {n: x.copy() for n, x in shared.value.arrays.items()}, shared.value.bits, shared.value.k)
+            p = Params(shared.value.kind, {n: x.copy() for n, x in shared.value.arrays.items()}, shared.value.bits, shared.value.k, shared.value.restricted)
+            rng = np.random.default_rng([seed, epoch, TaskContext.get().partitionId()])
             sums, seen = {n: np.ones_like(x) for n, x in p.arrays.items()}, 0
             for batch in batches:
                 for y, x in zip(batch.column(0).to_pylist(), _sparse(batch.column(1).to_pylist(), p.bits), strict=True):
-                    _update(p, x, y, eta, l2, sums)
+                    _update(p, x, y, eta, l2, sums, drop_log, rng)
                     seen += 1
             for name, x in p.arrays.items():
                 if seen:
@@ -141,20 +157,29 @@ def fit(rows: DataFrame, kind: str, epochs: int = 1, eta: float = 0.2, l2: float
             old = total.get(r["name"])
             total[r["name"]] = [x if old is None else old[0] + x, r["n"] + (0 if old is None else old[1])]
         if total:
-            params = Params(kind, {n: (total[n][0] / total[n][1]).reshape(a.shape) for n, a in params.arrays.items()}, bits, k)
+            params = Params(kind, {n: (total[n][0] / total[n][1]).reshape(a.shape) for n, a in params.arrays.items()}, bits, k, restricted)
     return params
 
 
 def predict(params: Params, rows: DataFrame) -> DataFrame:
     """Adds pred: the probability of a click."""
-    shared = rows.sparkSession.sparkContext.broadcast(params)
+    return predict_bags([params], rows)
+
+
+def predict_bags(bags: list[Params], rows: DataFrame, by_score: bool = False) -> DataFrame:
+    """Adds pred: the mean of the models' probabilities, or with by_score the probability of their mean score."""
+    shared = rows.sparkSession.sparkContext.broadcast(bags)
 
     @F.pandas_udf("double")
     def score(features):
         import pandas as pd
 
-        p = shared.value
-        return pd.Series([_sigmoid(_forward(p, x)[0]) for x in _sparse(features, p.bits)])
+        total = 0.0
+        for p in shared.value:
+            t = np.array([_forward(p, x)[0] for x in _sparse(features, p.bits)], np.float64)
+            total = total + (t if by_score else 1 / (1 + np.exp(-np.clip(t, -30, 30))))
+        mean = total / len(shared.value)
+        return pd.Series(1 / (1 + np.exp(-np.clip(mean, -30, 30))) if by_score else mean)
 
     return rows.withColumn("pred", score("features"))
 

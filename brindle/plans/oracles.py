@@ -333,6 +333,7 @@ ORACLE_SQL = {
     "logloss": q("SELECT round(avg(-CASE WHEN label > 0 THEN ln(p) ELSE ln(1 - p) END), 6) AS logloss, count(*) AS rows FROM (SELECT label, greatest(1e-7::DOUBLE, least(1 - 1e-7::DOUBLE, coalesce(pred, 0))) p FROM clicks LEFT JOIN mean USING (ad_id) WHERE label >= 0)", MEAN),
     "blend": q(f"SELECT {ROW}, round(0.7::DOUBLE * coalesce(pred, 0) + 0.3::DOUBLE / count(*) OVER (PARTITION BY display_id), 6) AS pred FROM clicks LEFT JOIN mean USING (ad_id)", MEAN),
     **{f"export_{p}": _export(p) for p in BOTH},
+    "dataset_offsets": f"SELECT {ROW}, n_features, (sum(n_features) OVER (ORDER BY {ROW}) - n_features)::BIGINT AS first_feature FROM ({_export('p1')})",
     "export_ffm": _ffm(),
     "export_vw": _vw(),
     "ctr_logit_matrix": _matrix(),

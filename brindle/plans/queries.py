@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import assemble, features, history, metrics, models
 from ..sources import adapters as A
+from ..sources import files
 from ..streaming import counters
 
 ROW = A.ROW
@@ -273,6 +274,11 @@ def export_binary(profile: str):
     return run
 
 
+def dataset_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Where each row's features begin in the sparse dataset of profile p1."""
+    return files.running_offsets(export_binary("p1")(spark, d).select(*ROW, "n_features"), ROW, "n_features").withColumnRenamed("offset", "first_feature")
+
+
 def export_ffm(spark: SparkSession, d: str) -> DataFrame:
     rows = _noted(features.leak_viewed(A.star(spark, d), A.page_views(spark, d)), spark, d, ["categories"])
     return rows.select(*ROW, assemble.libffm_lines(rows).alias("line"))
@@ -346,6 +352,6 @@ QUERIES = {
     "user_docs": user_docs, "user_sources": user_sources, "user_tagged_docs": user_tagged_docs, "user_tagged_sources": user_tagged_sources, "one_hour_after": one_hour_after, "six_hours_after": six_hours_after, "doc_ad_others": doc_ad_others,
     "rivals": rivals, "similarity_categories": similarity("categories", "cat"), "similarity_topics": similarity("topics", "top"), "similarity_entities": similarity("entities", "ent"),
     "feature_hash": feature_hash, "rare_bucket": rare_bucket, "time_diffs": time_diffs, "geo_calendar": geo_calendar, "encode_first_seen": encode_first_seen, "publish_times": publish_times,
-    "fold_assign": fold_assign, "logloss": logloss, "blend": blend, **{f"export_{p}": export_binary(p) for p in assemble.PROFILES}, "export_ffm": export_ffm, "export_vw": export_vw, "ctr_logit_matrix": ctr_logit_matrix,
+    "fold_assign": fold_assign, "logloss": logloss, "blend": blend, **{f"export_{p}": export_binary(p) for p in assemble.PROFILES}, "dataset_offsets": dataset_offsets, "export_ffm": export_ffm, "export_vw": export_vw, "ctr_logit_matrix": ctr_logit_matrix,
     **{f"model_{k}": model(k) for k in ("ftrl", "ffm", "ffm_nn", "nn")}, **{f"model_{k}": ml_model(k) for k in ("lr", "gbt", "mlp")}, "model_stack": stacked, "streaming_past_views": streaming_past_views,
 }
