@@ -29,6 +29,8 @@ LEVEL = 3
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 100
 SHARD_BYTES = 256 << 20
+#: An archive that has these bytes is closed and the next one begun, so a reader's memory is bounded.
+ARCHIVE_BYTES = 64 << 20
 
 
 def store(uri: str):
@@ -113,7 +115,7 @@ class CaptureIndex:
     def _directory(self, path: str) -> tuple[list, list]:
         if path not in self.directories:
             with self.fs.open_input_file(f"{path}.dir") as f:
-                lines = [x.rsplit("\t", 2) for x in f.read().decode().splitlines()]
+                lines = [x.rsplit("\t", 2) for x in f.read().decode().split("\n")]
             self.directories[path] = [x[0] for x in lines], [(int(x[1]), int(x[2])) for x in lines]
             if len(self.directories) > self.held:
                 self.directories.popitem(last=False)
@@ -131,7 +133,7 @@ class CaptureIndex:
         if k < 0:
             return None
         if self.block[0] != (path, k):
-            lines = zlib.decompress(self._read(path, *ranges[k]), 31).decode().splitlines()
+            lines = zlib.decompress(self._read(path, *ranges[k]), 31).decode().split("\n")
             self.block = (path, k), [x.rsplit("\t", 3) for x in lines]
         lines = self.block[1]
         i = bisect.bisect_left(lines, key, key=lambda x: x[0])
@@ -163,22 +165,25 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
         import pyarrow as pa
 
         fs, root = store(folder)
-        path, stream, at, task = "", None, 0, uuid.uuid4().hex
+        path, stream, at = "", None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if stream is None:
-                fs.create_dir(f"{root}/warc", recursive=True)
-                path = f"{root}/warc/{task}.warc.gz"
-                stream = fs.open_output_stream(path, compression=None)
             out: list[tuple] = []
-            for number, (i, url, payload, digest, first, first_url) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+            for i, url, payload, digest, first, first_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if stream is None:
+                    fs.create_dir(f"{root}/warc", recursive=True)
+                    path, at = f"{root}/warc/{uuid.uuid4().hex}.warc.gz", 0
+                    stream = fs.open_output_stream(path, compression=None)
                 record = f"{'null' if i is None else format(i, '020d')}-{digest[:16]}"
                 refers = None if first is None else f"{first:020d}-{digest[:16]}"
                 data = record_bytes(record, "response" if first is None else "revisit", url, digest, payload.encode(), refers, first_url)
                 stream.write(data)
                 out.append((capture_key(url, record), path, at, len(data)))
                 at += len(data)
+                if at >= ARCHIVE_BYTES:
+                    stream.close()
+                    stream = None
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "file", "offset", "length"])
         if stream is not None:
             stream.close()

@@ -177,16 +177,18 @@ def test_toxicity(spark):
     assert list(model.cuts) == sorted(model.cuts)
 
 
-def test_warc_round_trip_and_index(spark):
+@pytest.mark.parametrize("archive_bytes", [64 << 20, 300])
+def test_warc_round_trip_and_index(spark, monkeypatch, archive_bytes):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", archive_bytes)
     big = "<p>" + "x" * 200
-    rows = [(5, "http://a.example.org/x?q=1", big), (2, "https://www.b.example.com:8080/y", big), (9, None, big), (1, "u", "small"), (7, "u", "small"), (8, "bad url\n", None), (None, "n", big), (11, "http://é.org/", "é" * 120), (11, "http://é.org/", "é" * 120)]
+    rows = [(5, "http://a.example.org/x?q=1", big), (2, "https://www.b.example.com:8080/y", big), (9, None, big), (1, "u", "small"), (7, "u", "small"), (8, "bad url\n", None), (12, "http://line.example.org/a\u2028b\x85c", None), (None, "n", big), (11, "http://é.org/", "é" * 120), (11, "http://é.org/", "é" * 120)]
     folder = shared_dir(spark)
     captures, shards = warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
     got = {r.id: r for r in warc.read_archive(spark, folder, captures, shards).collect()}
     for i, _, html in rows:
         b = (html or "").encode()
         assert (got[i].payload_bytes, got[i].payload_sha256, got[i].digest) == (len(b), *[hashlib.sha256(b).hexdigest()] * 2)
-    assert {i: (r.kind, r.refers_to) for i, r in got.items()} == {5: ("revisit", 2), 2: ("response", None), 9: ("revisit", 2), 1: ("response", None), 7: ("response", None), 8: ("response", None), None: ("response", None), 11: ("response", None)}
+    assert {i: (r.kind, r.refers_to) for i, r in got.items()} == {5: ("revisit", 2), 2: ("response", None), 9: ("revisit", 2), 1: ("response", None), 7: ("response", None), 8: ("response", None), 12: ("response", None), None: ("response", None), 11: ("response", None)}
     index = warc.CaptureIndex(warc.store(folder)[0], shards)
     places = collections.defaultdict(set)
     for c in captures.collect():
