@@ -6,9 +6,10 @@ index; every rolling run of as many words of all documents probes it. Around eac
 extended to the full repeat and compared whole, by 96 bits of hash.
 
 Texts are dealt into groups of documents once (an exchange that Spark reuses). Between groups and
-hash buckets travel packed arrays: 4 bytes for a probe, a bit for its answer; only windows around
-hits, that is repeats, travel whole. A passage in many documents is a long run in one bucket, never
-pairs.
+hash buckets travel packed arrays: at most 4 bytes for a probe, a bit for its answer; only windows
+around hits, that is repeats, travel whole. Each group sends a block or window once, however often
+it has it, and settles repeats within itself; so a passage in many documents is an entry a group in
+one bucket, never pairs.
 """
 
 from __future__ import annotations
@@ -61,14 +62,13 @@ class _Group:
             return np.zeros(0, bool)
         return (np.repeat(self.starts[1:], self.sizes)[: total - n + 1] - np.arange(total - n + 1)) >= n
 
-    def probes(self, h: np.ndarray, block: int, buckets: int):
-        """Positions, bucket * 2 + (not aligned) and hash of all rolling blocks, bucket by bucket, aligned ones first."""
+    def probes(self, h: np.ndarray, block: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of all rolling blocks, and in one integer each one's bucket, whether it is not aligned (bit 32) and hash (32 bits)."""
         at = np.flatnonzero(self.fits(block))
         r = rolling(h, block, BASE_A)[at]
         inside = at - np.repeat(self.starts[:-1], self.sizes)[at]
-        lane = ((r >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64) * 2 + (inside % block != 0)
-        order = np.argsort(lane.astype(np.uint16 if buckets < 2**15 else np.uint32), kind="stable")
-        return at[order], lane[order], r[order].astype(np.uint32)
+        bucket = (r >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        return at, bucket << np.uint64(33) | (inside % block != 0).astype(np.uint64) << np.uint64(32) | r & np.uint64(0xFFFFFFFF)
 
 
 def _bounds(sorted_values: np.ndarray) -> list[tuple[int, int]]:
@@ -102,17 +102,18 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         import pyarrow as pa
 
         g = _Group(table)
-        at, lane, r = g.probes(g.hashes(), block, buckets)
+        keys = np.unique(g.probes(g.hashes(), block, buckets)[1])
         out = []
-        for a, b in _bounds(lane >> 1):
-            n = int(np.searchsorted(lane[a:b], lane[a] | 1)) if not lane[a] & 1 else 0
-            out.append((int(lane[a] >> 1), key[0].as_py(), n, r[a:b].tobytes()))
+        for a, b in _bounds(keys >> np.uint64(33)):
+            own = keys[a:b]
+            n = int(np.count_nonzero(own & np.uint64(1 << 32) == 0))
+            out.append((int(own[0] >> np.uint64(33)), key[0].as_py(), n, _planes(np.diff(own.astype(np.uint32), prepend=np.uint32(0)))))
         return pa.table({n: pa.array([x[i] for x in out], t) for i, (n, t) in enumerate((("bucket", pa.int32()), ("grp", pa.int32()), ("aligned", pa.int32()), ("probes", pa.binary())))})
 
     def match(key, table):
         import pyarrow as pa
 
-        parts = [np.frombuffer(x, np.uint32) for x in table.column("probes").to_pylist()]
+        parts = [np.cumsum(_unplanes(x, np.uint32), dtype=np.uint32) for x in table.column("probes").to_pylist()]
         counts = table.column("aligned").to_pylist()
         index, times = np.unique(np.concatenate([x[:n] for x, n in zip(parts, counts, strict=True)]), return_counts=True)
         if not len(index):
@@ -134,28 +135,40 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         import pyarrow as pa
 
         out = []
-        if table.num_rows and found.num_rows:
+        if table.num_rows:
             g = _Group(table)
             h = g.hashes()
-            at, lane, _ = g.probes(h, block, buckets)
-            bucket, hit = lane >> 1, np.zeros(len(h) + 1, np.int32)
+            at, keys = g.probes(h, block, buckets)
+            known, times = np.unique(keys, return_counts=True)
+            on = (times > 1) & (known & np.uint64(1 << 32) == 0)
             for k, bits in zip(found.column("bucket").to_pylist(), found.column("hits").to_pylist(), strict=True):
-                a, b = np.searchsorted(bucket, [k, k + 1])
-                hit[at[a:b][np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)]] = 1
+                a, b = np.searchsorted(known, np.array([k << 33, (k + 1) << 33], np.uint64))
+                on[a:b] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+            hit, known = np.zeros(len(h) + 1, np.int32), known[on]
+            if len(known):
+                hit[at[known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys]] = 1
             sums = np.concatenate([[0], np.cumsum(hit)])
             s = np.flatnonzero(g.fits(window))
             s = s[sums[s + window - block + 1] > sums[s]]
             x, y = rolling(h, window, BASE_A)[s], rolling(h, window, BASE_B)[s].astype(np.uint32)
-            lane = ((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(lane, kind="stable")
-            s, x, y, lane = s[order], x[order], y[order], lane[order]
+            order = np.lexsort((y, x))  # stable: of equal windows the group's first comes first
+            s, x, y = s[order], x[order], y[order]
+            again = np.concatenate([np.zeros(min(1, len(s)), bool), (x[1:] == x[:-1]) & (y[1:] == y[:-1])])
+            if again.any():
+                out.append((key[0].as_py() % buckets, key[0].as_py(), None, None, None, _planes(np.sort(s[again]).astype(np.uint32))))
+            s, x, y = s[~again], x[~again], y[~again]
+            lane = ((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # ascending, as x is
             ids = np.repeat(g.ids, g.sizes)[s]
-            out = [(int(lane[a]), key[0].as_py(), x[a:b].tobytes(), y[a:b].tobytes(), _planes(ids[a:b]), _planes(s[a:b].astype(np.uint32))) for a, b in _bounds(lane)]
+            out += [(int(lane[a]), key[0].as_py(), x[a:b].tobytes(), y[a:b].tobytes(), _planes(ids[a:b]), _planes(s[a:b].astype(np.uint32))) for a, b in _bounds(lane)]
         return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate((("bucket", pa.int32()), ("grp", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("ids", pa.binary()), ("at", pa.binary())))})
 
     def settle(key, table):
         import pyarrow as pa
 
+        settled = table.filter(table.column("a").is_null())
+        table = table.filter(table.column("a").is_valid())
+        if not table.num_rows:
+            return pa.table({"grp": settled.column("grp"), "later": settled.column("at")})
         a, b = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("a", np.uint64), ("b", np.uint32)))
         ids, at = ([_unplanes(x, t) for x in table.column(c).to_pylist()] for c, t in (("ids", np.int64), ("at", np.uint32)))
         owner = np.repeat(np.arange(len(at)), [len(x) for x in at])
@@ -166,6 +179,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         order = np.sort(order[later])
         grp = table.column("grp").to_pylist()
         out = [(grp[int(owner[order[i]])], _planes(at[order[i:j]])) for i, j in _bounds(owner[order])]
+        out += zip(settled.column("grp").to_pylist(), settled.column("at").to_pylist(), strict=True)
         return pa.table({"grp": pa.array([x[0] for x in out], pa.int32()), "later": pa.array([x[1] for x in out], pa.binary())})
 
     def remove(key, table, found):
