@@ -20,6 +20,8 @@ from .components import connected_components
 #: (lowest bit, width) of the segments of a lane.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 CHUNK = 65_536
+#: Parities of the numbers of a set's elements in 512 hash classes, 64 a column.
+PARITIES = [f"p{k}" for k in range(8)]
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -48,26 +50,30 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes)).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, lanes: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, lanes: int = 1, sketch: bool = False) -> DataFrame:
     """(id, f0 .. f<lanes-1>): 64-bit fingerprints as signed longs of each whole text; null and wordless texts get zeros.
 
-    Lane 0 takes the shingles' hashes as they are, later ones a bijective remix of them.
+    Lane 0 takes the shingles' hashes as they are, later ones a bijective remix of them. With sketch
+    also size and p0 .. p7 of the set of their low 32 bits.
     """
-    names = [f"f{k}" for k in range(lanes)]
+    names, more = [f"f{k}" for k in range(lanes)], ["size", *PARITIES] if sketch else []
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            out = np.empty((lanes, batch.num_rows), np.uint64)
+            out, marks = np.empty((lanes, batch.num_rows), np.uint64), np.zeros((batch.num_rows, len(more)), np.int64)
             for i, text in enumerate(text_bytes(batch.column(1))):
                 h = shingle_hashes(text, shingle_words)
+                if sketch:
+                    own = np.unique(h.astype(np.uint32))
+                    marks[i] = [len(own), *np.packbits(np.bincount(own % 512, minlength=512) & 1).view(np.int64)]
                 for k in range(lanes):
                     out[k, i] = fingerprint(h if k == 0 else mix64(h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in out)], names=["id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in out), *(pa.array(np.ascontiguousarray(x)) for x in marks.T)], names=["id", *names, *more])
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "id long, " + ", ".join(f"{x} long" for x in names))
+    return src.mapInArrow(run, "id long, " + ", ".join(f"{x} long" for x in [*names, *more]))
 
 
 def _variants(classes: DataFrame, lanes: int) -> DataFrame:
@@ -80,6 +86,12 @@ def _variants(classes: DataFrame, lanes: int) -> DataFrame:
     return rows.selectExpr("shiftleft(CAST(j AS BIGINT), 32) | (shiftrightunsigned(f, lo) & (shiftleft(1L, width) - 1L) & ~shiftleft(1L, b - lo)) AS key", "node", "f")
 
 
+def _may_be_similar(least: float, marks: list[str]) -> str:
+    """SQL: false only of sets a and b with a Jaccard similarity below least: of size and parities, each differing parity is an element of one set only."""
+    apart = " + ".join(f"bit_count(a.{m} ^ b.{m})" for m in marks)
+    return f"greatest({apart}, abs(a.size - b.size)) * {1 + least}D <= (a.size + b.size) * {1 - least}D + 1e-6D"
+
+
 def _first_agreement() -> str:
     """SQL: number within the lane of the first deletion in which lanes a.f and b.f agree."""
     whens = []
@@ -121,24 +133,26 @@ def _similar(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shin
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, max_bits: int = 4, lanes: int = 1, min_jaccard: float | None = None, max_all_bits: int = 46) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, max_bits: int = 4, lanes: int = 1, min_jaccard: float | None = None) -> DataFrame:
     """(id, f0 .., component): each row of docs with its fingerprints and the smallest id that links reach.
 
     Two fingerprints link if in some lane a segment differs in at most one bit and the lane in at most
     max_bits (with one lane and max_bits <= 4 that is every pair within max_bits); with min_jaccard their
     documents' sets of shingles must be that similar, too. Equal fingerprints always link. Classes of
     equal fingerprints count once. In each bucket all link to its smallest member first; only pairs
-    between the components that this leaves are joined, so a dense group yields no pairs within it; with
-    more than one lane these must differ in at most max_all_bits bits of all lanes (46 of 256 is above the
-    mean of sets with Jaccard similarity 0.8 by 1.3 standard deviations).
+    between the components that this leaves are joined, so a dense group yields no pairs within it. Pairs
+    whose sets can't be that similar by their sizes and parities aren't verified; that loses none.
     Null and wordless texts have fingerprint zero and link with each other; rows with a null id form
     classes but are no one's representative unless a class has no other (their component is null
     then); repeated rows and ids are kept; an empty table gives no rows. Extra columns are ignored.
     """
     names = [f"f{k}" for k in range(lanes)]
     spark, scratch = docs.sparkSession, shared_dir(docs.sparkSession)
-    rows = keep(fingerprints(docs, id_col, text_col, shingle_words, lanes), scratch)
-    classes = rows.groupBy(*names).agg(F.min("id").alias("node"))
+    sketch = min_jaccard is not None
+    rows = keep(fingerprints(docs, id_col, text_col, shingle_words, lanes, sketch), scratch)
+    marks = [F.min_by(F.struct("size", *PARITIES), "id").alias("s")] if sketch else []
+    classes = rows.groupBy(*names).agg(F.min("id").alias("node"), *marks)
+    short = ["s.size", *(F.expr(" ^ ".join(f"s.{x}" for x in PARITIES[i::2])).alias(f"q{i}") for i in range(2))] if sketch else []
     index = Window.partitionBy("key")
     bit = F.expr("shiftrightunsigned(f, CAST(shiftright(key, 32) % 64 AS INT)) & 1L")
     near = f"bit_count(f ^ hub.f) <= {max_bits}"
@@ -149,14 +163,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # bit, too, meet in the bucket of the segment's lowest bit, so others matter only if they hold both values
     shared = shared.withColumn("more", F.expr(f"n > 2 AND (least_bit <> most_bit OR shiftright(key, 32) % 64 IN ({', '.join(str(lo) for lo, _ in SEGMENTS)}))"))
     shared = keep(shared.where(f"node <> hub.node AND (more OR {near})").drop("least_bit", "most_bit"), scratch)
-    verified = (lambda p: p) if min_jaccard is None else (lambda p: _similar(keep(p, scratch), docs, id_col, text_col, shingle_words, min_jaccard, scratch))
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        x, y = (classes.where("node is not null").select(F.col("node").alias(n), "s.*").alias(m) for n, m in (("u", "a"), ("v", "b")))
+        return pairs.join(x, "u").join(y, "v").where(_may_be_similar(min_jaccard, PARITIES)).select("u", "v")
+
+    verified = (lambda p: p) if min_jaccard is None else (lambda p: _similar(keep(possible(p), scratch), docs, id_col, text_col, shingle_words, min_jaccard, scratch))
     stars = verified(shared.where(near).select(F.col("node").alias("u"), F.col("hub.node").alias("v")).distinct())
     part = keep(connected_components(stars, scratch=scratch), scratch)
-    known = classes.where("node is not null").join(part, "node", "left").select("node", F.coalesce("component", "node").alias("c"), *(names if lanes > 1 else []))
+    known = classes.where("node is not null").join(part, "node", "left").select("node", F.coalesce("component", "node").alias("c"), *short)
     # components are attached once a fingerprint, not once a bucket; a fingerprint has 64 buckets a lane at most
-    member = shared.where("more").groupBy("node").agg(F.collect_list(F.struct("key", "f")).alias("at")).join(known, "node").select("node", "c", *(names if lanes > 1 else []), F.inline("at"))
+    member = shared.where("more").groupBy("node").agg(F.collect_list(F.struct("key", "f")).alias("at")).join(known, "node").select("node", "c", *(["size", "q0", "q1"] if sketch else []), F.inline("at"))
     a, b = member.alias("a"), member.alias("b")
-    alike = f"bit_count(a.f ^ b.f) <= {max_bits}" + (" AND " + " + ".join(f"bit_count(a.{x} ^ b.{x})" for x in names) + f" <= {max_all_bits}" if lanes > 1 else "")
+    alike = f"bit_count(a.f ^ b.f) <= {max_bits}" + (f" AND {_may_be_similar(min_jaccard, ['q0', 'q1'])}" if sketch else "")
     across = a.join(b, F.expr(f"a.key = b.key AND a.node < b.node AND a.c <> b.c AND {alike} AND (shiftright(a.key, 32) % 64) = {_first_agreement()}"))
     if min_jaccard is None:
         links = across.select(F.least("a.c", "b.c").alias("u"), F.greatest("a.c", "b.c").alias("v")).distinct().union(part.select(F.col("node"), F.col("component")))
@@ -169,7 +188,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, max_bits: int = 10, lanes: int = 4, min_jaccard: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, max_bits: int = 16, lanes: int = 8, min_jaccard: float = 0.8) -> DataFrame:
     """docs without the near duplicates of a row with a smaller id; repeated rows of one id stay together.
 
     Rows with a null id stay unless a row with an id is in their group.

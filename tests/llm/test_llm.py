@@ -83,6 +83,17 @@ def test_near_duplicates_of_similar_sets_go(spark):
     assert kept == {1, 3, None}
 
 
+def test_near_duplicates_just_above_the_threshold_go(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(100):
+        one = [f"u{rng.randrange(5000)}" for _ in range(300)]
+        other = [f"changed{j}" if j % 50 == 25 else w for j, w in enumerate(one)]  # 266 of 326 shingles are shared: 0.816
+        rows += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(other))]
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()}
+    assert set(range(0, 200, 2)) <= kept and len(kept) <= 105
+
+
 def brute_repeats(rows, n=20):
     seen, out = set(), {}
     for i, t in sorted(rows):
