@@ -78,8 +78,8 @@ def _bounds(sorted_values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(sorted_values)], strict=True))
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
-    """(id, n_words, n_removed, kept_text, spans) for each row of docs.
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, whole_rows: bool = False) -> DataFrame:
+    """(id, n_words, n_removed, kept_text, spans) for each row of docs; with whole_rows also the row's own columns, as c0, c1 .. in the order of docs.
 
     Words are runs without ASCII white space. Each word inside a window of `window` words whose word
     sequence also starts earlier (smaller id, or earlier in the document) is removed; spans are the
@@ -89,7 +89,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Extra columns are ignored.
     """
     block = (window + 1) // 2
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    # the text goes along once
+    columns = {f"c{i}": c for i, c in enumerate(docs.columns)} if whole_rows else {}
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(docs[c].alias(n) for n, c in columns.items() if c != text_col))
     total = size_bytes(docs) * 2
     if total > 1 << 58:  # no estimate
         total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -205,24 +207,24 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             kept.append(b" ".join(words))
         flat = np.concatenate(spans) if spans else np.empty((0, 2), np.int64)
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(flat[:, 0], pa.int64()), pa.array(flat[:, 1], pa.int64())], names=["start", "stop"]))
-        back = table.column("id").take(pa.array(g.rows, pa.int64()))
-        return pa.table({"id": back, "n_words": pa.array(g.sizes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "spans": lists})
+        table = table.take(pa.array(g.rows, pa.int64()))
+        rest = {n: table.column("text" if c == text_col else n) for n, c in columns.items()}
+        return pa.table({"id": table.column("id"), "n_words": pa.array(g.sizes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "spans": lists, **rest})
 
     by_group = lambda: dealt.groupBy("grp")
     hits = by_group().applyInArrow(probe, "bucket int, grp int, aligned int, probes binary").groupBy("bucket").applyInArrow(match, "grp int, bucket int, hits binary")
     repeats = by_group().cogroup(hits.groupBy("grp")).applyInArrow(extend, "bucket int, grp int, a binary, b binary, ids binary, at binary").groupBy("bucket").applyInArrow(settle, "grp int, later binary")
-    return by_group().cogroup(repeats.groupBy("grp")).applyInArrow(remove, "id long, n_words long, n_removed long, kept_text string, spans array<struct<start: long, stop: long>>")
+    return by_group().cogroup(repeats.groupBy("grp")).applyInArrow(remove, ", ".join(["id long, n_words long, n_removed long, kept_text string, spans array<struct<start: long, stop: long>>", *(f"{n} {'string' if c == text_col else docs.schema[c].dataType.simpleString()}" for n, c in columns.items())]))
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
     """docs with repeated passages cut out of their texts, and without rows of which no word is left.
 
     A text with a repeat becomes its kept words joined by a space; other texts, and texts without
-    words, stay as they are. n_chars, where docs has it, follows the text. One row of each id is
-    expected; repeated ids take the shortest of their kept texts.
+    words, stay as they are. n_chars, where docs has it, follows the text. Each row keeps its own
+    words, so of a repeated row the first stays, and several texts of one id stay apart.
     """
-    found = dedup_substrings(docs, id_col, text_col, window).where("n_removed > 0").groupBy("id").agg(F.min_by("kept_text", F.length("kept_text")).alias("kept__text")).withColumnRenamed("id", "kept__id")
-    joined = docs.join(found, docs[id_col] == F.col("kept__id"), "left").where("kept__text IS NULL OR kept__text <> ''")
-    text = F.coalesce("kept__text", docs[text_col])
-    new = {text_col: text} | ({"n_chars": F.when(F.col("kept__text").isNull(), docs["n_chars"]).otherwise(F.length("kept__text")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return joined.select(*(new[c].alias(c) if c in new else docs[c] for c in docs.columns))
+    found = dedup_substrings(docs, id_col, text_col, window, whole_rows=True).where("n_removed = 0 OR kept_text <> ''")
+    cut = F.col("n_removed") > 0
+    new = {"n_chars": F.length("kept_text"), text_col: F.col("kept_text")}
+    return found.select(*((F.when(cut, new[c]).otherwise(F.col(f"c{i}")).cast(docs.schema[c].dataType) if c in new else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)))

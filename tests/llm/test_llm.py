@@ -122,6 +122,15 @@ def test_substring_dedup_over_many_groups(spark, monkeypatch):
     assert {r.id: (r.n_words, r.n_removed, r.kept_text) for r in substring.dedup_substrings(frame(spark, rows)).collect()} == brute_repeats(rows)
 
 
+def test_repeated_rows_and_texts_of_one_id_keep_their_own_words(spark):
+    one, two, passage, only = (" ".join(f"{c}{k}" for k in range(30)) for c in "abcd")
+    rows = [(1, one), (1, one), (2, passage + " " + two), (3, passage + "  x"), (3, only), (4, "short  text"), (5, None), (6, "")]
+    got = sorted(((r.doc_id, r.text, r.n_chars) for r in substring.drop_repeats(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(1, one, 1), (2, passage + " " + two, 1), (3, "x", 1), (3, only, 1), (4, "short  text", 1), (5, None, 1), (6, "", 1)], key=str)
+    bare = substring.drop_repeats(frame(spark, [(1, one), (None, one + " y z")])).collect()
+    assert {(r.doc_id, r.text) for r in bare} == {(1, one), (None, "y z")}
+
+
 @pytest.mark.parametrize("block_bytes", [8 << 20, 60])
 def test_decontamination(spark, block_bytes):
     rows = corpus()
