@@ -35,6 +35,25 @@ def keep(df: DataFrame, scratch: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys of rows without an id start above the greatest id; partitions take 2^33 of them each.
+KEYS = 1 << 62
+
+
+def with_key(docs: DataFrame, id_col: str, key: str) -> DataFrame:
+    """docs with a long column key: the id, or for each row without one a number of its own above all ids.
+
+    Rows without an id are written once, so that their numbers stay. Ids of 2^62 and more fail beside such rows.
+    """
+    known = docs.withColumn(key, F.col(id_col).cast("long"))
+    last, bare = known.agg(F.max(key), F.count(F.when(F.col(key).isNull(), 1))).first()
+    if not bare:
+        return known
+    if (last or 0) >= KEYS:
+        raise ValueError(f"no numbers are left above id {last} for rows without an id")
+    numbered = keep(known.where(F.col(key).isNull()).withColumn(key, F.monotonically_increasing_id() + F.lit(max(0, (-1 if last is None else last) + 1)).cast("long")))
+    return known.where(F.col(key).isNotNull()).unionByName(numbered)
+
+
 def discard(spark: SparkSession, folder: str) -> None:
     """Deletes a folder that shared_dir() gave, once nothing reads it any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

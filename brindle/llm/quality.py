@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import text_bytes, with_key
 
 STATS = ("log_words", "word_length", "upper", "digits", "marks", "symbols", "bars", "exclaims", "white", "high", "distinct", "repeats", "top_word", "long_words", "line_words", "same_lines", "sentence")
 #: No more labelled rows than this are taken for fitting, those with the least hash of their id.
@@ -172,6 +172,7 @@ def score_quality(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", tex
 
 
 def keep_quality(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """docs without those that score below threshold. A rejected id goes with all its rows; rows with a null id stay."""
-    gone = score_quality(docs, model, id_col, text_col, threshold).where("predicted = 0").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """docs without those that score below threshold. A rejected id goes with all its rows; rows with a null id are judged one by one."""
+    keyed = with_key(docs, id_col, "__key")
+    gone = score_quality(keyed, model, "__key", text_col, threshold).where("predicted = 0").select(F.col("id").alias("__key")).distinct()
+    return keyed.join(gone, "__key", "left_anti").drop("__key")

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, discard, keep, mix64, shared_dir, text_bytes
+from .common import LOWER, discard, keep, mix64, shared_dir, text_bytes, with_key
 from .components import connected_components
 
 #: (lowest bit, width) of the segments of a lane.
@@ -191,8 +191,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, max_bits: int = 16, lanes: int = 8, min_jaccard: float = 0.8) -> DataFrame:
     """docs without the near duplicates of a row with a smaller id; repeated rows of one id stay together.
 
-    Rows with a null id stay unless a row with an id is in their group.
+    Rows with a null id count one by one, after all others: of a group without any id one row stays.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle_words, max_bits, lanes, min_jaccard)
-    gone = found.where("id <> component").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    keyed = with_key(docs, id_col, "__key")
+    found = near_duplicates(keyed, "__key", text_col, shingle_words, max_bits, lanes, min_jaccard)
+    gone = found.where("id <> component").select(F.col("id").alias("__key")).distinct()
+    return keyed.join(gone, "__key", "left_anti").drop("__key")

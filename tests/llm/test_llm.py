@@ -94,6 +94,17 @@ def test_near_duplicates_just_above_the_threshold_go(spark):
     assert set(range(0, 200, 2)) <= kept and len(kept) <= 105
 
 
+def test_rows_without_an_id_are_judged_by_row(spark):
+    one, other = ([f"{c}{k}" for k in range(300)] for c in "ab")
+    near = " ".join(other[:150] + ["changed"] + other[151:])
+    rows = [(3, " ".join(one)), (None, " ".join(one)), (None, " ".join(other)), (None, " ".join(other)), (None, near), (-5, "alone")]
+    kept = collections.Counter((r.doc_id, r.text[:4]) for r in simhash.drop_near_duplicates(frame(spark, rows)).collect())
+    assert kept == {(3, "a0 a"): 1, (None, "b0 b"): 1, (-5, "alon"): 1}
+    model = quality.RuleModel(-3.0, [(((quality.STATS.index("log_words"), True, 2.0),), 6.0)])
+    left = quality.keep_quality(frame(spark, [(None, "bad"), (None, " ".join(one)), (1, "bad"), (2, " ".join(one))]), model).collect()
+    assert {(r.doc_id, len(r.text.split())) for r in left} == {(None, 300), (2, 300)}
+
+
 def brute_repeats(rows, n=20):
     seen, out = set(), {}
     for i, t in sorted(rows):
