@@ -2,12 +2,14 @@
 
 A rule is a regular expression over a text's words, lower-cased and joined by spaces, with a label,
 a keyword and a priority. A text is looked at only if it holds a stem that every rule needs, and a
-rule runs only if its keyword occurs. Of overlapping detections, one that lies within another of the
+rule runs only if its keyword occurs, which each of its matches holds: alternative names are rules of their own. Of overlapping detections, one that lies within another of the
 same or a better priority is suppressed; of equal intervals the first rule's stays.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,68 +18,68 @@ from .common import lower_ascii
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Every text in which a rule can match holds one of these (lower-cased).
-STEMS = ("licen", "spdx", "copyright", "domain", "reserved", "redistribution", "warrant", "permission")
+STEMS = ("licen", "spdx", "copyright", "domain", "reserved", "redistribution", "warrant", "permission", "misrepresented", "copying")
 #: Score of a detection by its priority: tag, grant with version, grant, name, hint.
 SCORES = (1.0, 0.95, 0.85, 0.6, 0.3)
 
 BASE = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
 
-#: label, keyword, names (a regular expression), tag (as in identifiers, words by spaces)
+#: label, names (a regular expression), tag (as in identifiers, words by spaces)
 FAMILIES = (
-    ("0bsd", "bsd", "zero clause bsd|bsd zero clause|0bsd", "0bsd"),
-    ("aal", "assurance", "attribution assurance", "aal"),
-    ("afl", "academic", "academic free", "afl [0-9](?: [0-9])?"),
-    ("agpl", "affero", "(?:gnu )?affero general public|gnu agpl", "agpl [0-9](?: [0-9])?(?: only| or later)?"),
-    ("apache", "apache", "apache(?: software)?", "apache [0-9](?: [0-9])?"),
-    ("apsl", "apple", "apple public source", "apsl [0-9](?: [0-9])?"),
-    ("artistic", "artistic", "(?:perl )?(?:clarified )?artistic", "artistic [0-9](?: [0-9])?"),
-    ("blueoak", "oak", "blue oak model", "blueoak 1 0 0"),
-    ("bsd", "bsd", "(?:(?:new|modified|simplified|revised|original|2 clause|3 clause|4 clause|two clause|three clause|four clause) )?(?:free)?bsd", "bsd [0-9] clause(?: patent| clear)?"),
-    ("bsl", "boost", "boost(?: software)?", "bsl 1 0"),
-    ("busl", "business", "business source", "busl 1 [01]"),
-    ("cc0", "cc0", "(?:creative commons )?cc0(?: 1 0)?(?: universal)?", "cc0 1 0"),
-    ("cc-by", "commons", "creative commons attribution|cc by", "cc by [0-9] [0-9]"),
-    ("cc-by-nc", "noncommercial", "(?:creative commons|cc)(?: by| attribution)? non ?commercial|cc by nc", "cc by nc [0-9] [0-9]"),
-    ("cc-by-nd", "commons", "creative commons attribution no ?deriv(?:ative)?s|cc by nd", "cc by nd [0-9] [0-9]"),
-    ("cc-by-sa", "commons", "creative commons attribution share ?alike|cc by sa", "cc by sa [0-9] [0-9]"),
-    ("cddl", "common", "common development and distribution|cddl", "cddl 1 [01]"),
-    ("cecill", "cecill", "cecill(?: b| c)?", "cecill [0-9] [0-9]"),
-    ("cpl", "common", "common public", "cpl 1 0"),
-    ("ecl", "educational", "educational community", "ecl [0-9] [0-9]"),
-    ("efl", "eiffel", "eiffel forum", "efl [0-9] [0-9]"),
-    ("epl", "eclipse", "eclipse public", "epl [0-9] [0-9]"),
-    ("eupl", "european", "european union public", "eupl 1 [0-9]"),
-    ("fdl", "documentation", "(?:gnu )?free documentation|gfdl", "gfdl 1 [0-9](?: only| or later)?"),
-    ("gpl", "general public", "(?:gnu )?general public|gnu gpl", "gpl [0-9](?: [0-9])?(?: only| or later)?"),
-    ("hpnd", "historical", "historical permission notice and disclaimer", "hpnd"),
-    ("ijg", "jpeg", "independent jpeg group", "ijg"),
-    ("ipl", "ibm", "ibm public", "ipl 1 0"),
-    ("isc", "isc", "isc|internet (?:systems|software) consortium", "isc"),
-    ("lgpl", "general public", "(?:gnu )?(?:lesser|library) general public|gnu lgpl", "lgpl [0-9](?: [0-9])?(?: only| or later)?"),
-    ("lppl", "latex", "latex project public", "lppl 1 [0-9]c?"),
-    ("mit", "mit", "mit|expat|x11|mit x11", "mit(?: 0)?"),
-    ("mpl", "mozilla", "mozilla public|mpl", "mpl [0-9](?: [0-9])?"),
-    ("ms-pl", "microsoft", "microsoft public", "ms pl"),
-    ("ms-rl", "microsoft", "microsoft reciprocal", "ms rl"),
-    ("ncsa", "illinois", "university of illinois(?: ncsa)?(?: open source)?", "ncsa"),
-    ("npl", "netscape", "netscape public", "npl 1 [01]"),
-    ("odbl", "database", "open (?:data commons )?database", "odbl 1 0"),
-    ("ofl", "font", "(?:sil )?open font", "ofl 1 [01]"),
-    ("openssl", "openssl", "openssl(?: project)?", "openssl"),
-    ("osl", "open software", "open software", "osl [0-9] [0-9]"),
-    ("php", "php", "php", "php 3 0 ?1?"),
-    ("postgresql", "postgresql", "postgresql", "postgresql"),
-    ("psf", "python", "python software foundation|psf", "psf 2 0"),
-    ("qpl", "public", "q public", "qpl 1 0"),
-    ("ruby", "ruby", "ruby", "ruby"),
-    ("sleepycat", "sleepycat", "sleepycat", "sleepycat"),
-    ("sspl", "server side", "server side public", "sspl 1 0"),
-    ("unlicense", "unlicense", "the unlicense|unlicense", "unlicense"),
-    ("vim", "vim", "vim", "vim"),
-    ("w3c", "w3c", "w3c(?: software)?", "w3c"),
-    ("wtfpl", "wtfpl", "wtfpl", "wtfpl"),
-    ("zlib", "zlib", "zlib(?: libpng)?|libpng", "zlib"),
-    ("zpl", "zope", "zope public", "zpl [0-9] [0-9]"),
+    ("0bsd", "zero clause bsd|bsd zero clause|0bsd", "0bsd"),
+    ("aal", "attribution assurance", "aal"),
+    ("afl", "academic free", "afl [0-9](?: [0-9])?"),
+    ("agpl", "(?:gnu )?affero general public|gnu agpl", "agpl [0-9](?: [0-9])?(?: only| or later)?"),
+    ("apache", "apache(?: software)?", "apache [0-9](?: [0-9])?"),
+    ("apsl", "apple public source", "apsl [0-9](?: [0-9])?"),
+    ("artistic", "(?:perl )?(?:clarified )?artistic", "artistic [0-9](?: [0-9])?"),
+    ("blueoak", "blue oak model", "blueoak 1 0 0"),
+    ("bsd", "(?:(?:new|modified|simplified|revised|original|2 clause|3 clause|4 clause|two clause|three clause|four clause) )?(?:free)?bsd", "bsd [0-9] clause(?: patent| clear)?"),
+    ("bsl", "boost(?: software)?", "bsl 1 0"),
+    ("busl", "business source", "busl 1 [01]"),
+    ("cc0", "(?:creative commons )?cc0(?: 1 0)?(?: universal)?", "cc0 1 0"),
+    ("cc-by", "creative commons attribution|cc by", "cc by [0-9] [0-9]"),
+    ("cc-by-nc", "(?:creative commons|cc)(?: by| attribution)? non ?commercial|cc by nc", "cc by nc [0-9] [0-9]"),
+    ("cc-by-nd", "creative commons attribution no ?deriv(?:ative)?s|cc by nd", "cc by nd [0-9] [0-9]"),
+    ("cc-by-sa", "creative commons attribution share ?alike|cc by sa", "cc by sa [0-9] [0-9]"),
+    ("cddl", "common development and distribution|cddl", "cddl 1 [01]"),
+    ("cecill", "cecill(?: b| c)?", "cecill [0-9] [0-9]"),
+    ("cpl", "common public", "cpl 1 0"),
+    ("ecl", "educational community", "ecl [0-9] [0-9]"),
+    ("efl", "eiffel forum", "efl [0-9] [0-9]"),
+    ("epl", "eclipse public", "epl [0-9] [0-9]"),
+    ("eupl", "european union public", "eupl 1 [0-9]"),
+    ("fdl", "(?:gnu )?free documentation|gfdl", "gfdl 1 [0-9](?: only| or later)?"),
+    ("gpl", "(?:gnu )?general public|gnu gpl", "gpl [0-9](?: [0-9])?(?: only| or later)?"),
+    ("hpnd", "historical permission notice and disclaimer", "hpnd"),
+    ("ijg", "independent jpeg group", "ijg"),
+    ("ipl", "ibm public", "ipl 1 0"),
+    ("isc", "isc|internet (?:systems|software) consortium", "isc"),
+    ("lgpl", "(?:gnu )?(?:lesser|library) general public|gnu lgpl", "lgpl [0-9](?: [0-9])?(?: only| or later)?"),
+    ("lppl", "latex project public", "lppl 1 [0-9]c?"),
+    ("mit", "mit|expat|x11|mit x11", "mit(?: 0)?"),
+    ("mpl", "mozilla public|mpl", "mpl [0-9](?: [0-9])?"),
+    ("ms-pl", "microsoft public", "ms pl"),
+    ("ms-rl", "microsoft reciprocal", "ms rl"),
+    ("ncsa", "university of illinois(?: ncsa)?(?: open source)?", "ncsa"),
+    ("npl", "netscape public", "npl 1 [01]"),
+    ("odbl", "open (?:data commons )?database", "odbl 1 0"),
+    ("ofl", "(?:sil )?open font", "ofl 1 [01]"),
+    ("openssl", "openssl(?: project)?", "openssl"),
+    ("osl", "open software", "osl [0-9] [0-9]"),
+    ("php", "php", "php 3 0 ?1?"),
+    ("postgresql", "postgresql", "postgresql"),
+    ("psf", "python software foundation|psf", "psf 2 0"),
+    ("qpl", "q public", "qpl 1 0"),
+    ("ruby", "ruby", "ruby"),
+    ("sleepycat", "sleepycat", "sleepycat"),
+    ("sspl", "server side public", "sspl 1 0"),
+    ("unlicense", "the unlicense|unlicense", "unlicense"),
+    ("vim", "vim", "vim"),
+    ("w3c", "w3c(?: software)?", "w3c"),
+    ("wtfpl", "wtfpl", "wtfpl"),
+    ("zlib", "zlib(?: libpng)?|libpng", "zlib"),
+    ("zpl", "zope public", "zpl [0-9] [0-9]"),
 )
 
 #: priority, keyword, regular expression, label
@@ -90,7 +92,8 @@ HAND_WRITTEN = (
     (2, "subject to the terms of the mozilla", "subject to the terms of the mozilla public license(?: v(?:ersion)? [0-9] [0-9])?", "mpl"),
     (2, "except in compliance", "you may not use this file except in compliance with the license", "apache"),
     (2, "free and unencumbered", "this is free and unencumbered software released into the public domain", "unlicense"),
-    (2, "origin of this software", "the origin of this software must not be misrepresented.{0,200} permission", "zlib"),
+    (2, "permission is granted to anyone", "permission is granted to anyone to use this software for any purpose(?: including commercial applications)?", "zlib"),
+    (2, "origin of this software", "the origin of this software must not be misrepresented", "zlib"),
     (2, "public domain", "(?:released|placed|dedicated) (?:in|into|to) the public domain", "public-domain"),
     (3, "public domain", "public domain", "public-domain"),
     (3, "all rights reserved", "all rights reserved", "all-rights-reserved"),
@@ -98,7 +101,8 @@ HAND_WRITTEN = (
     (4, "copyright", "copyright notice", "copyright"),
     (4, "without warranty", "without warranty of any kind(?: express or implied)?", "warranty-disclaimer"),
     (4, "implied warrant", "(?:any |the )?implied warrant(?:y|ies) of merchantability(?: and| or)? ?(?:fitness for a particular purpose)?", "warranty-disclaimer"),
-    (4, "licen", "see (?:the )?(?:licen[sc]e|copying)(?: file| txt| md)? for (?:more )?(?:details|information)", "license-reference"),
+    (4, "copying", "see (?:the )?copying(?: file| txt| md)? for (?:more )?(?:details|information)", "license-reference"),
+    (4, "licen", "see (?:the )?licen[sc]e(?: file| txt| md)? for (?:more )?(?:details|information)", "license-reference"),
     (4, "proprietary", "proprietary(?: and confidential)? licen[sc]e", "proprietary"),
 )
 
@@ -113,12 +117,34 @@ TEMPLATES = (
 )
 
 
+def _alternatives(names: str) -> list[str]:
+    """The parts of a regular expression between the | outside all groups."""
+    out, depth = [""], 0
+    for c in names:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def _keyword(name: str) -> str:
+    """The longest run of characters that each match of name and " licen" holds; of groups and classes nothing counts."""
+    rx = f"{name} licen"
+    while "(" in rx:
+        rx = re.sub(r"\(\?:[^()]*\)\??", "\0", rx)
+    return max(re.sub(r"\[[^]]*\]\??|.\?", "\0", rx).split("\0"), key=lambda x: len(x.removesuffix(" licen")))
+
+
 def rules() -> list[tuple[int, str, str, str]]:
-    """(priority, keyword, regular expression, label), in order: hand-written ones, then each template for each family."""
+    """(priority, keyword, regular expression, label), in order: hand-written ones, then each template for each family, by name where names decide its keyword."""
     out = [(p, k, rx, label) for p, k, rx, label in HAND_WRITTEN]
     for p, template in TEMPLATES:
-        for label, keyword, names, tag in FAMILIES:
-            out.append((p, "spdx license identifier" if p == 0 else "licen" if p == 3 and template.startswith("licen") else keyword, template.format(names=names, tag=tag), label))
+        fixed = "spdx license identifier" if p == 0 else "licen" if template.startswith("licen") else None
+        for label, names, tag in FAMILIES:
+            for n in [names] if fixed else _alternatives(names):
+                out.append((p, fixed or _keyword(n), template.format(names=n, tag=tag), label))
     return [(p, k, f"(?<= )(?:{rx})(?= )", label) for p, k, rx, label in out]
 
 

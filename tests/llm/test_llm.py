@@ -247,6 +247,23 @@ def test_licenses(spark):
     assert got[1].labels == "gpl,lgpl" and len(licenses.rules()) > 200
 
 
+def test_license_keywords_drop_no_match(spark):
+    texts = ["licensed under the GNU GPL License v2", "GNU LGPL License", "gnu agpl license", "the MPL license", "GFDL license", "Expat License", "X11 License, MIT X11 license", "libpng license", "PSF license", "CDDL license", "CC BY License", "CC BY-SA License", "CC BY-ND license", "CC BY NC license"]
+    texts += ["Creative Commons Attribution Non-Commercial License", "released under the terms of the Modified BSD licence version 2 or later", "see the COPYING file for more details", "The origin of this software must not be misrepresented; you must not claim", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it"]
+    texts += [f"{n} license" for _, names, _ in licenses.FAMILIES for n in licenses._alternatives(names) if re.fullmatch("[a-z0-9 ]+", n)]
+    got = {r.id: r for r in licenses.scan_licenses(frame(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        norm = " " + " ".join(alnum(t)) + " "
+        found = []
+        for order, (priority, _, rx, label) in enumerate(licenses.rules()):
+            for m in re.finditer(rx, norm):
+                a = norm[: m.start()].count(" ") - 1
+                found.append((a, -(a + m.group().count(" ") + 1), priority, order, label))
+        left = [d for d in found if not any(e != d and e[0] <= d[0] and e[1] <= d[1] and e[2] <= d[2] and (e[:2] != d[:2] or e[2:4] < d[2:4]) for e in found)]
+        assert left and sorted((d.start, d.stop, d.label) for d in got[i].detections) == sorted((a, -b, label) for a, b, _, _, label in left), t
+    assert [got[i].labels for i in range(10)] == ["gpl", "lgpl", "agpl", "mpl", "fdl", "mit", "mit", "zlib", "psf", "cddl"]
+
+
 def test_lm_counts_and_normalisation(spark):
     rows = corpus()
     got = {r.id: r for r in lm.score_texts(frame(spark, rows), crc_bucket("doc_id", 7) != 2).collect()}
