@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep
 
+SALTS = 64
+
 
 def _settled(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -14,9 +16,15 @@ def _settled(edges: DataFrame) -> tuple:
 
 
 def _stars(sym: DataFrame, keep_if) -> DataFrame:
-    """For each u the least of u and its neighbours v becomes the neighbour of the v for which keep_if holds."""
-    least = sym.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return sym.join(least, "u").where(keep_if).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.where("u <> m").select("u", F.col("m").alias("v"))).distinct()
+    """For each u the least of u and its neighbours v becomes the neighbour of the v for which keep_if holds.
+
+    The neighbours of u are dealt into SALTS parts, so that no task holds all of a hub's.
+    """
+    salted = sym.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    parts = salted.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    parts = parts.select("u", "salt", F.least(F.min("m").over(Window.partitionBy("u")), F.col("u")).alias("m"))
+    moved = salted.join(parts, ["u", "salt"]).where(keep_if).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(parts.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60, scratch: str | None = None) -> DataFrame:

@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, discard, keep, mix64, shared_dir, text_bytes, with_key
 from .components import connected_components
+from .substring import _bounds, _planes, _unplanes
 
 #: (lowest bit, width) of the segments of a lane.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 CHUNK = 65_536
+#: Classes of a group and keys of a bucket, about; parts into which a key's rows are dealt.
+GROUP, BUCKET_KEYS, SALTS = 8_192, 1 << 23, 64
 #: Parities of the numbers of a set's elements in 512 hash classes, 64 a column.
 PARITIES = [f"p{k}" for k in range(8)]
 
@@ -76,28 +79,112 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return src.mapInArrow(run, "id long, " + ", ".join(f"{x} long" for x in [*names, *more]))
 
 
-def _variants(classes: DataFrame, lanes: int) -> DataFrame:
-    """(key, node, f): one row for each bit of each lane; key holds the bit's number and its segment without that bit."""
-    lane = "CASE j DIV 64 " + " ".join(f"WHEN {k} THEN f{k}" for k in range(lanes)) + " END"
-    lo = "CASE " + " ".join(f"WHEN b < {a + w} THEN {a}" for a, w in SEGMENTS[:-1]) + f" ELSE {SEGMENTS[-1][0]} END"
-    width = "CASE " + " ".join(f"WHEN b < {a + w} THEN {w}" for a, w in SEGMENTS[:-1]) + f" ELSE {SEGMENTS[-1][1]} END"
-    rows = classes.select("node", *(f"f{k}" for k in range(lanes)), F.explode(F.sequence(F.lit(0), F.lit(64 * lanes - 1))).alias("j"))
-    rows = rows.selectExpr("node", "j", "CAST(j % 64 AS INT) AS b", f"{lane} AS f").selectExpr("node", "j", "b", "f", f"{lo} AS lo", f"{width} AS width")
-    return rows.selectExpr("shiftleft(CAST(j AS BIGINT), 32) | (shiftrightunsigned(f, lo) & (shiftleft(1L, width) - 1L) & ~shiftleft(1L, b - lo)) AS key", "node", "f")
+def _keys(f: np.ndarray) -> np.ndarray:
+    """(n, 64 * lanes) of (n, lanes): in column j bit j's number (from bit 32 on) and its segment without that bit."""
+    out = np.empty((len(f), 64 * f.shape[1]), np.uint64)
+    for lane in range(f.shape[1]):
+        for lo, width in SEGMENTS:
+            part = f[:, lane] >> np.uint64(lo) & np.uint64((1 << width) - 1)
+            for b in range(width):
+                j = 64 * lane + lo + b
+                out[:, j] = part & np.uint64(~(1 << b) & 2**64 - 1) | np.uint64(j << 32)
+    return out
+
+
+def _probes(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """In one integer the bucket of each key and 32 bits of its hash."""
+    h = mix64(keys.ravel() + np.uint64(0x632BE59BD9B4E019))
+    return ((h >> np.uint64(32)) * np.uint64(buckets) & np.uint64(0xFFFFFFFF00000000)) | h & np.uint64(0xFFFFFFFF)
+
+
+def _variants(classes: DataFrame, n: int, lanes: int, extra: list[str]) -> DataFrame:
+    """(key, node, f, extra): the deletion variants of n classes, but for those that only one has; a few of these may be left.
+
+    Groups of classes send each bucket of keys the sorted hashes of theirs, less than 4 bytes a key, and
+    get a bit for each back. So variants travel as rows only where another class has the same.
+    """
+    names = [f"f{k}" for k in range(lanes)]
+    groups, buckets = max(1, -(-n // GROUP)), max(1, -(-n * 64 * lanes // BUCKET_KEYS))
+    dealt = classes.select("node", *names, *extra, F.pmod(F.xxhash64("node"), F.lit(groups)).cast("int").alias("grp"))
+    by_group = lambda df: df.repartition(groups, "grp").groupBy("grp")  # noqa: E731  a task for each, small as they are
+
+    def lanes_of(table) -> np.ndarray:
+        return np.stack([table.column(x).to_numpy().view(np.uint64) for x in names], 1)
+
+    def pack(key, table):
+        import pyarrow as pa
+
+        own = np.unique(_probes(_keys(lanes_of(table)), buckets))
+        out = [(int(own[i] >> np.uint64(32)), key[0].as_py(), _planes(np.diff(own[i:j].astype(np.uint32), prepend=np.uint32(0)))) for i, j in _bounds(own >> np.uint64(32))]
+        return pa.table({c: pa.array([x[i] for x in out], t) for i, (c, t) in enumerate((("bucket", pa.int32()), ("grp", pa.int32()), ("probes", pa.binary())))})
+
+    def match(key, table):
+        import pyarrow as pa
 
+        parts = [np.cumsum(_unplanes(x, np.uint32), dtype=np.uint32) for x in table.column("probes").to_pylist()]
+        every = np.sort(np.concatenate(parts))
+        shared = np.unique(every[1:][every[1:] == every[:-1]])
+        grp, bits = [], []
+        for g, x in zip(table.column("grp").to_pylist(), parts, strict=True):
+            hit = np.isin(x, shared, assume_unique=True)
+            if hit.any():
+                grp.append(g)
+                bits.append(np.packbits(hit).tobytes())
+        return pa.table({"grp": pa.array(grp, pa.int32()), "bucket": pa.array([key[0].as_py()] * len(grp), pa.int32()), "hits": pa.array(bits, pa.binary())})
+
+    def pick(key, table, found):
+        import pyarrow as pa
+
+        rows, columns = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if table.num_rows:
+            f = lanes_of(table)
+            keys = _keys(f)
+            probes = _probes(keys, buckets)
+            known, times = np.unique(probes, return_counts=True)
+            on = times > 1
+            for k, bits in zip(found.column("bucket").to_pylist(), found.column("hits").to_pylist(), strict=True):
+                i, j = np.searchsorted(known, np.array([k << 32, (k + 1) << 32], np.uint64))
+                on[i:j] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=j - i).astype(bool)
+            rows, columns = np.divmod(np.flatnonzero(np.isin(probes, known[on])), keys.shape[1])
+        at = pa.array(rows)
+        values = [keys[rows, columns].view(np.int64), f[rows, columns // 64].view(np.int64)] if len(rows) else [np.zeros(0, np.int64)] * 2
+        return pa.table({"key": pa.array(values[0]), "node": table.column("node").take(at), "f": pa.array(values[1]), **{c: table.column(c).take(at) for c in extra}})
+
+    hits = by_group(dealt).applyInArrow(pack, "bucket int, grp int, probes binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(match, "grp int, bucket int, hits binary")
+    return by_group(dealt).cogroup(by_group(hits)).applyInArrow(pick, ", ".join(["key long, node long, f long", *(f"{c} long" for c in extra)]))
+
+
+def _by_key(rows: DataFrame, parts: list, whole: list) -> DataFrame:
+    """rows with the columns whole, aggregates of its key's; each key's rows are first gathered by parts in SALTS parts, so that no task holds a dense bucket."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    index = Window.partitionBy("key")
+    some = salted.groupBy("key", "salt").agg(*parts).select("key", "salt", *(x.over(index).alias(name) for name, x in whole))
+    return salted.join(some, ["key", "salt"]).drop("salt")
+
+
+def _may_be_similar(least: float, marks: list[str], a: str, b: str) -> str:
+    """SQL: false only of sets with a Jaccard similarity below least: of size and parities, each differing parity is an element of one set only."""
+    apart = " + ".join(f"bit_count({a}{m} ^ {b}{m})" for m in marks)
+    return f"greatest({apart}, abs({a}size - {b}size)) * {1 + least}D <= ({a}size + {b}size) * {1 - least}D + 1e-6D"
+
+
+def _alike(max_bits: int, least: float | None, a: str, b: str) -> str:
+    """SQL: whether two lanes are within max_bits and, with least, the short sketches allow that similarity."""
+    return f"bit_count({a}f ^ {b}f) <= {max_bits}" + ("" if least is None else f" AND {_may_be_similar(least, ['q0', 'q1'], a, b)}")
 
-def _may_be_similar(least: float, marks: list[str]) -> str:
-    """SQL: false only of sets a and b with a Jaccard similarity below least: of size and parities, each differing parity is an element of one set only."""
-    apart = " + ".join(f"bit_count(a.{m} ^ b.{m})" for m in marks)
-    return f"greatest({apart}, abs(a.size - b.size)) * {1 + least}D <= (a.size + b.size) * {1 - least}D + 1e-6D"
+
+def _across(pairs: DataFrame, part: DataFrame) -> DataFrame:
+    """The (u, v) of different components."""
+    x, y = (part.select(F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in "uv")
+    return pairs.join(x, "u", "left").join(y, "v", "left").where("coalesce(cu, u) <> coalesce(cv, v)").select("u", "v")
 
 
 def _first_agreement() -> str:
-    """SQL: number within the lane of the first deletion in which lanes a.f and b.f agree."""
+    """SQL: number within the lane of the first deletion in which lanes a_f and b_f agree."""
     whens = []
     for lo, width in SEGMENTS:
         mask = ((1 << width) - 1) << lo
-        part = f"((a.f ^ b.f) & {mask - 2**64 if mask >= 2**63 else mask}L)"
+        part = f"((a_f ^ b_f) & {mask - 2**64 if mask >= 2**63 else mask}L)"
         whens.append(f"WHEN bit_count({part}) <= 1 THEN CASE WHEN {part} = 0L THEN {lo} ELSE length(bin({part})) - 1 END")
     return "CASE " + " ".join(whens) + " END"
 
@@ -146,46 +233,59 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes but are no one's representative unless a class has no other (their component is null
     then); repeated rows and ids are kept; an empty table gives no rows. Extra columns are ignored.
     """
-    names = [f"f{k}" for k in range(lanes)]
     spark, scratch = docs.sparkSession, shared_dir(docs.sparkSession)
+    try:
+        return _near_duplicates(docs, id_col, text_col, shingle_words, max_bits, lanes, min_jaccard, scratch)
+    finally:
+        discard(spark, scratch)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, max_bits: int, lanes: int, min_jaccard: float | None, scratch: str) -> DataFrame:
+    names = [f"f{k}" for k in range(lanes)]
     sketch = min_jaccard is not None
     rows = keep(fingerprints(docs, id_col, text_col, shingle_words, lanes, sketch), scratch)
-    marks = [F.min_by(F.struct("size", *PARITIES), "id").alias("s")] if sketch else []
-    classes = rows.groupBy(*names).agg(F.min("id").alias("node"), *marks)
-    short = ["s.size", *(F.expr(" ^ ".join(f"s.{x}" for x in PARITIES[i::2])).alias(f"q{i}") for i in range(2))] if sketch else []
-    index = Window.partitionBy("key")
+    least = [F.min_by(x, "id").alias(x) for x in ("size", *PARITIES)] if sketch else []
+    classes = keep(rows.groupBy(*names).agg(F.min("id").alias("node"), *least), scratch)
+    short = [*(F.expr(" ^ ".join(PARITIES[i::2])).alias(f"q{i}") for i in range(2))] if sketch else []
+    marks = ["size", "q0", "q1"] if sketch else []
+    named = classes.where("node is not null").select("*", *short)
     bit = F.expr("shiftrightunsigned(f, CAST(shiftright(key, 32) % 64 AS INT)) & 1L")
-    near = f"bit_count(f ^ hub.f) <= {max_bits}"
-    shared = _variants(classes.where("node is not null"), lanes).select("*", F.count("*").over(index).alias("n"), F.min(F.struct("node", "f")).over(index).alias("hub")).where("n > 1")
-    other = F.when(F.col("node") != F.col("hub.node"), bit)
-    shared = shared.select("*", F.min(other).over(index).alias("least_bit"), F.max(other).over(index).alias("most_bit"))
+    variants = keep(_variants(named, named.count(), lanes, marks), scratch)
+    hub = [F.min_by(x, "node").alias(f"hub_{x}") for x in ("f", *marks)]
+    shared = _by_key(variants, [F.count("*").alias("n"), F.min("node").alias("hub"), *hub, F.sum(bit).alias("ones")], [("n", F.sum("n")), ("hub", F.min("hub")), *((f"hub_{x}", F.min_by(f"hub_{x}", "hub")) for x in ("f", *marks)), ("ones", F.sum("ones"))])
     # a bucket of two has no pair but that with its smallest member; of the others, two fingerprints that agree in the deleted
     # bit, too, meet in the bucket of the segment's lowest bit, so others matter only if they hold both values
-    shared = shared.withColumn("more", F.expr(f"n > 2 AND (least_bit <> most_bit OR shiftright(key, 32) % 64 IN ({', '.join(str(lo) for lo, _ in SEGMENTS)}))"))
-    shared = keep(shared.where(f"node <> hub.node AND (more OR {near})").drop("least_bit", "most_bit"), scratch)
+    shared = shared.withColumn("ones", F.expr("ones - (shiftrightunsigned(hub_f, CAST(shiftright(key, 32) % 64 AS INT)) & 1L)"))
+    shared = shared.withColumn("more", F.expr(f"n > 2 AND (ones > 0 AND ones < n - 1 OR shiftright(key, 32) % 64 IN ({', '.join(str(lo) for lo, _ in SEGMENTS)}))"))
+    shared = shared.withColumn("near", F.expr(_alike(max_bits, min_jaccard, "", "hub_")))
+    shared = keep(shared.where("n > 1 AND node <> hub AND (more OR near)").select("key", "node", "f", *marks, "hub", "more", "near"), scratch)
+    stars = shared.where("near").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
 
     def possible(pairs: DataFrame) -> DataFrame:
-        x, y = (classes.where("node is not null").select(F.col("node").alias(n), "s.*").alias(m) for n, m in (("u", "a"), ("v", "b")))
-        return pairs.join(x, "u").join(y, "v").where(_may_be_similar(min_jaccard, PARITIES)).select("u", "v")
+        x, y = (named.select(F.col("node").alias(n), *(F.col(c).alias(f"{m}_{c}") for c in ("size", *PARITIES))) for n, m in (("u", "a"), ("v", "b")))
+        return pairs.join(x, "u").join(y, "v").where(_may_be_similar(min_jaccard, PARITIES, "a_", "b_")).select("u", "v")
 
     verified = (lambda p: p) if min_jaccard is None else (lambda p: _similar(keep(possible(p), scratch), docs, id_col, text_col, shingle_words, min_jaccard, scratch))
-    stars = verified(shared.where(near).select(F.col("node").alias("u"), F.col("hub.node").alias("v")).distinct())
+    if min_jaccard is not None:
+        # a dense group's members have many hubs: each is compared with its least one first, with others only across the components left
+        stars = keep(stars, scratch)
+        links = verified(stars.groupBy("u").agg(F.min("v").alias("v")))
+        part = keep(connected_components(links, scratch=scratch), scratch)
+        stars = links.union(verified(keep(_across(stars, part), scratch)))
     part = keep(connected_components(stars, scratch=scratch), scratch)
-    known = classes.where("node is not null").join(part, "node", "left").select("node", F.coalesce("component", "node").alias("c"), *short)
-    # components are attached once a fingerprint, not once a bucket; a fingerprint has 64 buckets a lane at most
-    member = shared.where("more").groupBy("node").agg(F.collect_list(F.struct("key", "f")).alias("at")).join(known, "node").select("node", "c", *(["size", "q0", "q1"] if sketch else []), F.inline("at"))
-    a, b = member.alias("a"), member.alias("b")
-    alike = f"bit_count(a.f ^ b.f) <= {max_bits}" + (f" AND {_may_be_similar(min_jaccard, ['q0', 'q1'])}" if sketch else "")
-    across = a.join(b, F.expr(f"a.key = b.key AND a.node < b.node AND a.c <> b.c AND {alike} AND (shiftright(a.key, 32) % 64) = {_first_agreement()}"))
+    known = named.join(part, "node", "left").select("node", F.coalesce("component", "node").alias("c"))
+    member = keep(shared.where("more").drop("hub", "more", "near").join(known, "node"), scratch)
+    member = _by_key(member, [F.min("c").alias("low"), F.max("c").alias("high")], [("low", F.min("low")), ("high", F.max("high"))])
+    member = keep(member.where("low <> high").drop("low", "high"), scratch)
+    a, b = (member.select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "f", "c", *marks))) for x in "ab")
+    across = a.join(b, "key").where(f"a_node < b_node AND a_c <> b_c AND {_alike(max_bits, min_jaccard, 'a_', 'b_')} AND (shiftright(key, 32) % 64) = {_first_agreement()}")
     if min_jaccard is None:
-        links = across.select(F.least("a.c", "b.c").alias("u"), F.greatest("a.c", "b.c").alias("v")).distinct().union(part.select(F.col("node"), F.col("component")))
+        links = across.select(F.least("a_c", "b_c").alias("u"), F.greatest("a_c", "b_c").alias("v")).distinct()
     else:
-        links = verified(across.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()).union(part.select(F.col("node"), F.col("component")))
-    whole = connected_components(links, scratch=scratch)
+        links = verified(across.select(F.col("a_node").alias("u"), F.col("b_node").alias("v")).distinct())
+    whole = connected_components(links.union(part.select("node", "component")), scratch=scratch)
     reach = classes.join(whole, "node", "left").select(*names, F.coalesce("component", "node").alias("component"))
-    out = keep(rows.join(reach, names).select("id", *names, "component"))
-    discard(spark, scratch)
-    return out
+    return keep(rows.join(reach, names).select("id", *names, "component"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, max_bits: int = 16, lanes: int = 8, min_jaccard: float = 0.8) -> DataFrame:
