@@ -164,21 +164,48 @@ def test_decontamination(spark, block_bytes):
     assert kept == {i for i, x in want.items() if not x[1]}
 
 
-def test_mixing_keeps_within_a_block_of_targets(spark):
-    rows = [(k, "", "en", "abc"[min(2, k % 7)], 1, 9, 0.5) for k in range(3000)] + [(5000, None, None, None, 1, 1, 1.0)]
+def edf(blocks, share):
+    """Slots of all blocks (source, k), by an earliest-deadline-first run slot by slot. Equal deadlines: the smaller share, then round, then source."""
+    p, done, out, t = sum(share.values()), dict.fromkeys(share, 0), {}, 0
+    while any(done[s] < blocks[s] for s in share):
+        ready = [(-(-(k + 1) * p // share[s]), share[s], k, s) for s, k in done.items() if k * p // share[s] <= t]
+        s = min(ready)[3]
+        if done[s] < blocks[s]:
+            out[s, done[s]] = t
+        done[s] += 1
+        t += 1
+    return out
+
+
+@pytest.mark.parametrize("weights", [{"a": 5, "b": 3, "c": 2}, {"a": 0.9, "b": 0.0996, "c": 0.0004}, {"a": 0.31, "b": 0.31, "c": 0.31, "": 0.07}, {"a": 1, "b": 0, "c": 0.7}, None])
+def test_mixing_runs_earliest_deadlines_first(spark, weights):
+    rows = [(k, "", "en", "abc"[min(2, k % 7)] if k % 50 else "", 1, 9, 0.5) for k in range(2000)] + [(5000, None, None, None, 1, 1, 1.0), (7, "", "en", "a", 1, 9, 0.5), (7, "", "en", "a", 1, 9, 0.5), (None, "", "en", "a", 1, 9, 0.5)]
     docs = spark.createDataFrame(rows, SCHEMA)
-    weights = {"a": 5, "b": 3, "c": 2}
-    got = mixing.mix_sources(docs, weights, block_docs=4, period=100).orderBy("mix_position").collect()
-    assert [r.mix_position for r in got] == list(range(len(rows)))
-    assert all(r.release <= r.slot < r.deadline for r in got)
-    slots = {}
-    for r in got:
-        slots[r.slot] = r.source
-    share, done, n = {"a": 50, "b": 30, "c": 20, None: 1}, collections.Counter(), 0
-    for t in range(101):
-        done[slots.get(t, None)] += 1
-    assert all(abs(done[s] - share[s]) < 2 for s in "abc")
-    assert mixing.mix_sources(docs.limit(0)).count() == n
+    counts = collections.Counter(r[3] for r in rows)
+    share = mixing.whole_shares(weights) if weights else {s: math.isqrt(n) for s, n in counts.items()}
+    share = {s: w for s, w in share.items() if w}
+    got = mixing.mix_sources(docs, weights, block_docs=4).orderBy("mix_position").collect()
+    assert [r.mix_position for r in got] == list(range(sum(counts[s] for s in share)))
+    assert collections.Counter((r.doc_id, r.source) for r in got) == collections.Counter((r[0], r[3]) for r in rows if r[3] in share)
+    assert all(r.release <= r.slot < r.deadline for r in got) and [r.slot for r in got] == sorted(r.slot for r in got)
+    p, seen = sum(share.values()), {(r.source, r.block): r.slot for r in got}
+    assert seen == edf({s: -(-counts[s] // 4) for s in share}, share)
+    ends = {s: max(t for (x, _), t in seen.items() if x == s) for s in share}
+    done = collections.Counter()
+    for (s, _), t in sorted(seen.items(), key=lambda x: x[1]):
+        done[s] += 1
+        assert all(abs(done[x] * p - (t + 1) * w) < p for x, w in share.items() if t <= ends[x])  # less than one block from the target after every slot
+
+
+def test_mixing_of_many_sources_small_tables_and_clashing_names(spark):
+    many = spark.range(6000).selectExpr("id AS doc_id", "CAST(id % 1500 AS STRING) AS source", "id AS slot", "id AS rank", "id AS h", "'x' AS row")
+    got = mixing.mix_sources(many, block_docs=1).collect()
+    assert sorted(r.mix_position for r in got) == list(range(6000)) and all(r.rank == r.h == r.doc_id and r.row == "x" and r.release <= r.slot < r.deadline for r in got)
+    assert mixing.mix_sources(many.limit(0)).count() == 0 and mixing.mix_sources(many, {}).count() == 0 and mixing.mix_sources(many, {"1": 0}).count() == 0
+    assert mixing.whole_shares({"a": 0.9996, "b": 0.0004, "c": 0}) == {"a": 2499, "b": 1, "c": 0}
+    assert sum(mixing.whole_shares({"a": 0.123456789012345, "b": 0.7654321, "c": 1e-15}).values()) <= mixing.LONGEST_PERIOD + 3
+    with pytest.raises(ValueError):
+        mixing.whole_shares({"a": -1})
 
 
 def test_quality_rules_and_scores(spark):
