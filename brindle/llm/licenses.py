@@ -1,172 +1,60 @@
 """License scans by ordered signature rules; DataFrame functions only.
 
-A rule is a regular expression over a text's words, lower-cased and joined by spaces, with a label,
-a keyword and a priority. A text is looked at only if it holds a stem that every rule needs, and a
-rule runs only if its keyword occurs, which each of its matches holds: alternative names are rules of their own. Of overlapping detections, one that lies within another of the
-same or a better priority is suppressed; of equal intervals the first rule's stays.
+A rule (license_rules.py) is a regular expression over a text's words, lower-cased and joined by
+spaces, with a label, a priority and a word that each of its matches holds. A text is looked at only
+if it holds a stem that every rule needs, and a rule runs only if its word occurs. Of overlapping
+detections, one that lies within another of the same or a better priority is suppressed; of equal
+intervals the first rule's stays. All steps take time in proportion to a text and its matches: a rule
+marks its matches in the text, words are numbered once, and suppression is one pass over the sorted
+detections in runs of RUN, so that no list is copied for each match.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lower_ascii
+from .license_rules import rules
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Every text in which a rule can match holds one of these (lower-cased).
-STEMS = ("licen", "spdx", "copyright", "domain", "reserved", "redistribution", "warrant", "permission", "misrepresented", "copying")
+STEMS = ("licen", "spdx", "copyright", "domain", "reserved", "redistribution", "warrant", "permission", "misrepresented", "copying", "software", "library", "permitted", "bitstream", "charityware", "cddl", "jpeg", "libpng", "lppl", "mpl")
 #: Score of a detection by its priority: tag, grant with version, grant, name, hint.
 SCORES = (1.0, 0.95, 0.85, 0.6, 0.3)
+RUN = 256
 
 BASE = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
+KIND = "ARRAY<STRUCT<start: INT, neg: INT, priority: INT, ord: INT, stop: INT, label: STRING>>"
+
+
+def _table(some: list[tuple[int, int, str, str]]) -> Column:
+    return F.array(*(F.struct(F.lit(p).alias("priority"), F.lit(i).alias("ord"), F.lit(rx).alias("rx"), F.lit(label).alias("label")) for i, p, rx, label in some))
+
 
-#: label, names (a regular expression), tag (as in identifiers, words by spaces)
-FAMILIES = (
-    ("0bsd", "zero clause bsd|bsd zero clause|0bsd", "0bsd"),
-    ("aal", "attribution assurance", "aal"),
-    ("afl", "academic free", "afl [0-9](?: [0-9])?"),
-    ("agpl", "(?:gnu )?affero general public|gnu agpl", "agpl [0-9](?: [0-9])?(?: only| or later)?"),
-    ("apache", "apache(?: software)?", "apache [0-9](?: [0-9])?"),
-    ("apsl", "apple public source", "apsl [0-9](?: [0-9])?"),
-    ("artistic", "(?:perl )?(?:clarified )?artistic", "artistic [0-9](?: [0-9])?"),
-    ("blueoak", "blue oak model", "blueoak 1 0 0"),
-    ("bsd", "(?:(?:new|modified|simplified|revised|original|2 clause|3 clause|4 clause|two clause|three clause|four clause) )?(?:free)?bsd", "bsd [0-9] clause(?: patent| clear)?"),
-    ("bsl", "boost(?: software)?", "bsl 1 0"),
-    ("busl", "business source", "busl 1 [01]"),
-    ("cc0", "(?:creative commons )?cc0(?: 1 0)?(?: universal)?", "cc0 1 0"),
-    ("cc-by", "creative commons attribution|cc by", "cc by [0-9] [0-9]"),
-    ("cc-by-nc", "(?:creative commons|cc)(?: by| attribution)? non ?commercial|cc by nc", "cc by nc [0-9] [0-9]"),
-    ("cc-by-nd", "creative commons attribution no ?deriv(?:ative)?s|cc by nd", "cc by nd [0-9] [0-9]"),
-    ("cc-by-sa", "creative commons attribution share ?alike|cc by sa", "cc by sa [0-9] [0-9]"),
-    ("cddl", "common development and distribution|cddl", "cddl 1 [01]"),
-    ("cecill", "cecill(?: b| c)?", "cecill [0-9] [0-9]"),
-    ("cpl", "common public", "cpl 1 0"),
-    ("ecl", "educational community", "ecl [0-9] [0-9]"),
-    ("efl", "eiffel forum", "efl [0-9] [0-9]"),
-    ("epl", "eclipse public", "epl [0-9] [0-9]"),
-    ("eupl", "european union public", "eupl 1 [0-9]"),
-    ("fdl", "(?:gnu )?free documentation|gfdl", "gfdl 1 [0-9](?: only| or later)?"),
-    ("gpl", "(?:gnu )?general public|gnu gpl", "gpl [0-9](?: [0-9])?(?: only| or later)?"),
-    ("hpnd", "historical permission notice and disclaimer", "hpnd"),
-    ("ijg", "independent jpeg group", "ijg"),
-    ("ipl", "ibm public", "ipl 1 0"),
-    ("isc", "isc|internet (?:systems|software) consortium", "isc"),
-    ("lgpl", "(?:gnu )?(?:lesser|library) general public|gnu lgpl", "lgpl [0-9](?: [0-9])?(?: only| or later)?"),
-    ("lppl", "latex project public", "lppl 1 [0-9]c?"),
-    ("mit", "mit|expat|x11|mit x11", "mit(?: 0)?"),
-    ("mpl", "mozilla public|mpl", "mpl [0-9](?: [0-9])?"),
-    ("ms-pl", "microsoft public", "ms pl"),
-    ("ms-rl", "microsoft reciprocal", "ms rl"),
-    ("ncsa", "university of illinois(?: ncsa)?(?: open source)?", "ncsa"),
-    ("npl", "netscape public", "npl 1 [01]"),
-    ("odbl", "open (?:data commons )?database", "odbl 1 0"),
-    ("ofl", "(?:sil )?open font", "ofl 1 [01]"),
-    ("openssl", "openssl(?: project)?", "openssl"),
-    ("osl", "open software", "osl [0-9] [0-9]"),
-    ("php", "php", "php 3 0 ?1?"),
-    ("postgresql", "postgresql", "postgresql"),
-    ("psf", "python software foundation|psf", "psf 2 0"),
-    ("qpl", "q public", "qpl 1 0"),
-    ("ruby", "ruby", "ruby"),
-    ("sleepycat", "sleepycat", "sleepycat"),
-    ("sspl", "server side public", "sspl 1 0"),
-    ("unlicense", "the unlicense|unlicense", "unlicense"),
-    ("vim", "vim", "vim"),
-    ("w3c", "w3c(?: software)?", "w3c"),
-    ("wtfpl", "wtfpl", "wtfpl"),
-    ("zlib", "zlib(?: libpng)?|libpng", "zlib"),
-    ("zpl", "zope public", "zpl [0-9] [0-9]"),
-)
-
-#: priority, keyword, regular expression, label
-HAND_WRITTEN = (
-    (2, "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy(?: of this software)?", "mit"),
-    (2, "permission to use", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted", "isc"),
-    (2, "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
-    (2, "this program is free software", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
-    (2, "this library is free software", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license", "lgpl"),
-    (2, "subject to the terms of the mozilla", "subject to the terms of the mozilla public license(?: v(?:ersion)? [0-9] [0-9])?", "mpl"),
-    (2, "except in compliance", "you may not use this file except in compliance with the license", "apache"),
-    (2, "free and unencumbered", "this is free and unencumbered software released into the public domain", "unlicense"),
-    (2, "permission is granted to anyone", "permission is granted to anyone to use this software for any purpose(?: including commercial applications)?", "zlib"),
-    (2, "origin of this software", "the origin of this software must not be misrepresented", "zlib"),
-    (2, "public domain", "(?:released|placed|dedicated) (?:in|into|to) the public domain", "public-domain"),
-    (3, "public domain", "public domain", "public-domain"),
-    (3, "all rights reserved", "all rights reserved", "all-rights-reserved"),
-    (4, "copyright", "copyright(?: c)?(?: [12][0-9]{3}){1,2}", "copyright"),
-    (4, "copyright", "copyright notice", "copyright"),
-    (4, "without warranty", "without warranty of any kind(?: express or implied)?", "warranty-disclaimer"),
-    (4, "implied warrant", "(?:any |the )?implied warrant(?:y|ies) of merchantability(?: and| or)? ?(?:fitness for a particular purpose)?", "warranty-disclaimer"),
-    (4, "copying", "see (?:the )?copying(?: file| txt| md)? for (?:more )?(?:details|information)", "license-reference"),
-    (4, "licen", "see (?:the )?licen[sc]e(?: file| txt| md)? for (?:more )?(?:details|information)", "license-reference"),
-    (4, "proprietary", "proprietary(?: and confidential)? licen[sc]e", "proprietary"),
-)
-
-#: priority and, with {names} and {tag}, the regular expressions that each family gives
-TEMPLATES = (
-    (0, "spdx license identifier (?:{tag})"),
-    (1, "(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:{names}) licen[sc]e v(?:ersion)? ?[0-9]+(?: [0-9]+)*(?: or (?:any )?later(?: version)?| only)?"),
-    (2, "(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:{names}) licen[sc]e"),
-    (2, "(?:{names}) licen[sc]e v(?:ersion)? ?[0-9]+(?: [0-9]+)*(?: or (?:any )?later(?: version)?| only)?"),
-    (3, "(?:{names}) licen[sc]e"),
-    (3, "licen[sc]e (?:{names}|{tag})"),
-)
-
-
-def _alternatives(names: str) -> list[str]:
-    """The parts of a regular expression between the | outside all groups."""
-    out, depth = [""], 0
-    for c in names:
-        depth += (c == "(") - (c == ")")
-        if c == "|" and not depth:
-            out.append("")
-        else:
-            out[-1] += c
-    return out
-
-
-def _keyword(name: str) -> str:
-    """The longest run of characters that each match of name and " licen" holds; of groups and classes nothing counts."""
-    rx = f"{name} licen"
-    while "(" in rx:
-        rx = re.sub(r"\(\?:[^()]*\)\??", "\0", rx)
-    return max(re.sub(r"\[[^]]*\]\??|.\?", "\0", rx).split("\0"), key=lambda x: len(x.removesuffix(" licen")))
-
-
-def rules() -> list[tuple[int, str, str, str]]:
-    """(priority, keyword, regular expression, label), in order: hand-written ones, then each template for each family, by name where names decide its keyword."""
-    out = [(p, k, rx, label) for p, k, rx, label in HAND_WRITTEN]
-    for p, template in TEMPLATES:
-        fixed = "spdx license identifier" if p == 0 else "licen" if template.startswith("licen") else None
-        for label, names, tag in FAMILIES:
-            for n in [names] if fixed else _alternatives(names):
-                out.append((p, fixed or _keyword(n), template.format(names=n, tag=tag), label))
-    return [(p, k, f"(?<= )(?:{rx})(?= )", label) for p, k, rx, label in out]
-
-
-def _spans(rule_fields: str, regex: str) -> str:
-    """SQL: structs of start and stop (in words) and rule_fields, one for each match of regex in norm."""
-    spaces = lambda x: f"(length({x}) - length(replace({x}, ' ', '')))"
-    return f"""aggregate(
-        zip_with(slice(split(norm, {regex}, -1), 1, greatest(size(split(norm, {regex}, -1)) - 1, 0)), regexp_extract_all(norm, {regex}, 0), (p, m) -> named_struct('p', p, 'm', m)),
-        named_struct('at', -1, 'out', CAST(array() AS ARRAY<STRUCT<start: INT, neg: INT, priority: INT, ord: INT, stop: INT, label: STRING>>)),
-        (a, x) -> named_struct(
-          'at', a.at + {spaces("x.p")} + {spaces("x.m")},
-          'out', concat(a.out, array(named_struct('start', a.at + {spaces("x.p")}, 'neg', -(a.at + {spaces("x.p")} + {spaces("x.m")} + 1), {rule_fields.split("|")[0]}, 'stop', a.at + {spaces("x.p")} + {spaces("x.m")} + 1, {rule_fields.split("|")[1]})))),
-        a -> a.out)"""
+def _spans(run: str) -> str:
+    """SQL: a struct for each match of each of the rules run in norm. Matches are put between bytes 1 and 2, which norm can't hold."""
+    ends = lambda test, at: f"filter(transform(w, (x, i) -> IF({test}, {at}, NULL)), i -> i IS NOT NULL)"
+    starts, stops = ends("startswith(x, '\\u0001')", "i - 1"), ends("endswith(x, '\\u0002')", "i")
+    return f"""flatten(transform({run}, r -> flatten(transform(
+        filter(array(regexp_replace(norm, r.rx, '\\u0001$0\\u0002')), x -> octet_length(x) > octet_length(norm)),
+        x -> transform(array(split(x, ' ', -1)), w ->
+          zip_with({starts}, {stops}, (a, b) -> named_struct('start', a, 'neg', -b, 'priority', r.priority, 'ord', r.ord, 'stop', b, 'label', r.label)))[0]))))"""
 
 
 def _kept() -> str:
-    return """aggregate(array_sort(found),
-        named_struct('m', array(-1, -1, -1, -1, -1), 'kept', CAST(array() AS ARRAY<STRUCT<start: INT, neg: INT, priority: INT, ord: INT, stop: INT, label: STRING>>)),
-        (a, d) -> named_struct(
-          'm', transform(a.m, (x, i) -> IF(i = d.priority, greatest(x, d.stop), x)),
-          'kept', IF(exists(slice(a.m, 1, d.priority + 1), x -> x >= d.stop), a.kept, concat(a.kept, array(d)))),
-        a -> a.kept)"""
+    """SQL: of the sorted detections those that no earlier one of the same or a better priority reaches beyond."""
+    empty = f"CAST(array() AS {KIND})"
+    return f"""aggregate(sequence(0, (size(found) - 1) DIV {RUN}),
+        named_struct('m', array(-1, -1, -1, -1, -1), 'out', CAST(array() AS ARRAY<{KIND}>)),
+        (a, k) -> transform(array(aggregate(slice(found, k * {RUN} + 1, {RUN}),
+            named_struct('m', a.m, 'kept', {empty}),
+            (b, d) -> named_struct(
+              'm', transform(b.m, (x, i) -> IF(i = d.priority, greatest(x, d.stop), x)),
+              'kept', IF(exists(slice(b.m, 1, d.priority + 1), x -> x >= d.stop), b.kept, concat(b.kept, array(d)))))),
+          r -> named_struct('m', r.m, 'out', concat(a.out, array(r.kept))))[0],
+        a -> flatten(a.out))"""
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,25 +63,30 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Words are runs of ASCII letters and digits, lower-cased, and of other than ASCII characters. base
     are the places of BASE's phrases, detections the rules' that are left (structs of start, stop, in
     words from 0, priority, label); labels, distinct and sorted, are of both, base_labels of the former.
-    score is that of the best detection, of names for base places, else 0. Null and empty texts have no
-    words; repeated rows are kept; an empty table gives no rows. Extra columns are ignored.
+    score is that of the best detection, of names for base places, else 0. A rule's matches don't
+    overlap each other; its next starts after the last. Null and empty texts have no words; repeated
+    rows are kept; an empty table gives no rows. Extra columns are ignored.
     """
-    text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    low = F.lower("text")
+    every = [(i, p, words, rx, label) for i, (p, words, rx, label) in enumerate(rules())]
+    by_word: dict[str, list] = {}
+    for i, p, words, rx, label in every:
+        by_word.setdefault("license" if "licence" in words else words[0], []).append((i, p, rx, label))
+    lookup = F.create_map(*(x for w, some in by_word.items() for x in (F.lit(w), _table(some))))
+    base_rules = _table([(-1, 3, f"(?<= ){phrase}(?= )", label) for label, phrase in BASE])
+
+    text = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     gate: Column = F.lit(False)
     for stem in STEMS:
         gate = gate | F.contains(F.col("low"), F.lit(stem))
-    gated = text.withColumn("low", low).select("id", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), F.when(gate, F.col("text")).alias("text"))
+    gated = text.withColumn("low", F.lower("text")).select("id", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), F.when(gate, F.col("text")).alias("text"))
     norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(lower_ascii(F.col("text")), SEPARATORS, " ")), F.lit(" "))
-    base_rx = "'(?<= )(?:" + "|".join(p for _, p in BASE) + ")(?= )'"
-    names = "CASE x.m " + " ".join(f"WHEN '{p}' THEN '{label}'" for label, p in BASE) + " END"
-    table = F.array(*(F.struct(F.lit(p).alias("priority"), F.lit(i).alias("ord"), F.lit(k).alias("keyword"), F.lit(rx).alias("rx"), F.lit(label).alias("label")) for i, (p, k, rx, label) in enumerate(rules())))
-    empty = "CAST(array() AS ARRAY<STRUCT<start: INT, neg: INT, priority: INT, ord: INT, stop: INT, label: STRING>>)"
-    found = gated.withColumn("norm", norm).withColumn("base", F.expr(f"IF(norm IS NULL, {empty}, {_spans(f"'priority', 3, 'ord', -1|'label', {names}", base_rx)})"))
-    found = found.withColumn("run", F.when(F.col("norm").isNotNull(), F.filter(table, lambda r: F.contains(F.col("norm"), r["keyword"]))))
-    one = _spans("'priority', r.priority, 'ord', r.ord|'label', r.label", "r.rx")
-    found = found.withColumn("found", F.expr(f"IF(norm IS NULL, {empty}, flatten(transform(run, r -> {one})))"))
-    found = found.withColumn("kept", F.expr(_kept()))
+    found = gated.select("id", "n_words", F.when(F.col("text").isNotNull(), norm).alias("norm"))
+    present = F.array_intersect(F.split(F.replace("norm", F.lit(" licence "), F.lit(" license ")), " "), F.array(*(F.lit(w) for w in by_word)))
+    found = found.withColumn("run", F.when(F.col("norm").isNotNull(), F.flatten(F.transform(present, lambda w: F.element_at(lookup, w)))))
+    found = found.withColumn("bases", F.when(F.col("norm").isNotNull(), base_rules))
+    spans = lambda c: F.coalesce(F.expr(_spans(c)), F.expr(f"CAST(array() AS {KIND})"))
+    found = found.select("id", "n_words", spans("bases").alias("base"), F.array_sort(spans("run")).alias("found"))
+    found = found.select("id", "n_words", "base", F.expr(f"IF(size(found) < 2, found, {_kept()})").alias("kept"))
     labels = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     best = F.aggregate(F.concat("kept", "base"), F.lit(0.0), lambda a, d: F.greatest(a, F.element_at(F.array(*(F.lit(x) for x in SCORES)), d["priority"] + 1)))
     plain = lambda c: F.transform(c, lambda d: F.struct(d["start"].alias("start"), d["stop"].alias("stop"), d["priority"].alias("priority"), d["label"].alias("label")))

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, with nulls, empty texts, ties, repeated rows, empty tables and clashing column names."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -14,7 +15,7 @@ import pytest
 import xxhash
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
-from brindle.llm import components, decontam, licenses, lm, mixing, quality, simhash, substring, toxicity, warc, webp
+from brindle.llm import components, decontam, license_rules, licenses, lm, mixing, quality, simhash, substring, toxicity, warc, webp
 from brindle.llm.common import crc_bucket, shared_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, score double"
@@ -255,40 +256,84 @@ def test_warc_round_trip_and_index(spark, monkeypatch, archive_bytes):
     assert index.find("zz") is None and warc.reversed_host_key("http://www.A.example.org/p") == "org,example,a)/p"
 
 
+@functools.cache
+def compiled_rules():
+    return [(priority, re.compile(rx), label) for priority, _, rx, label in license_rules.rules()]
+
+
+def brute_licenses(text):
+    """(words, base places, detections left) with every rule's regular expression run on the text, whatever its word."""
+    w = alnum(text)
+    base = [(k, label) for label, p in licenses.BASE for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+    norm, found = " " + " ".join(w) + " ", []
+    for order, (priority, rx, label) in enumerate(compiled_rules()):
+        for m in rx.finditer(norm):
+            a = norm[: m.start()].count(" ") - 1
+            found.append((a, -(a + m.group().count(" ") + 1), priority, order, label))
+    left = [d for d in found if not any(e != d and e[0] <= d[0] and e[1] <= d[1] and e[2] <= d[2] and (e[:2] != d[:2] or e[2:4] < d[2:4]) for e in found)]
+    return w, base, left
+
+
+LICENSE_TEXTS = ["Licensed under the Apache License, Version 2.0. MIT license", "GNU Lesser General Public License", "der mit license the MIT-License", "SPDX-License-Identifier: MIT", None, "", "all rights reserved. Copyright (c) 2020"]
+LICENSE_TEXTS += ["licensed under the GNU GPL License v2", "GNU LGPL License", "gnu agpl license", "the MPL license", "GFDL license", "Expat License", "X11 License, MIT X11 license", "libpng license", "PSF license", "CDDL license", "CC BY License, CC BY-SA License"]
+LICENSE_TEXTS += ["Creative Commons Attribution Non-Commercial License", "released under the terms of the Modified BSD licence version 2 or later", "see the COPYING file for more details", "The origin of this software must not be misrepresented; you must not claim"]
+LICENSE_TEXTS += ["Licence MIT licence Licence", "licence licence license apache licence", "mit license mit license mit license", "public domain public domain copyright notice copyright notice", "the Apache License of the apache software license version 1 1"]
+LICENSE_TEXTS += ["Neither the name of the Acme Widget Company nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."]
+
+
 def test_licenses(spark):
-    texts = ["Licensed under the Apache License, Version 2.0. MIT license", "GNU Lesser General Public License", "der mit license the MIT-License", "SPDX-License-Identifier: MIT", None, "", "all rights reserved. Copyright (c) 2020"]
-    got = {r.id: r for r in licenses.scan_licenses(frame(spark, list(enumerate(texts)))).collect()}
-    for i, t in enumerate(texts):
-        w = alnum(t)
-        base = [(k, label) for label, p in licenses.BASE for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
-        assert got[i].n_words == len(w) and sorted(b.start for b in got[i].base) == sorted(k for k, _ in base)
-        norm, found = " " + " ".join(w) + " ", []
-        for order, (priority, keyword, rx, label) in enumerate(licenses.rules()):
-            if keyword in norm:
-                for m in re.finditer(rx, norm):
-                    a = norm[: m.start()].count(" ") - 1
-                    found.append((a, -(a + m.group().count(" ") + 1), priority, order, label))
-        left = [d for d in found if not any(e != d and e[0] <= d[0] and e[1] <= d[1] and e[2] <= d[2] and (e[:2] != d[:2] or e[2:4] < d[2:4]) for e in found)]
-        assert sorted((d.start, d.stop, d.label) for d in got[i].detections) == sorted((a, -b, label) for a, b, _, _, label in left)
-        assert got[i].labels == ",".join(sorted({label for _, label in base} | {d[4] for d in left}))
-    assert got[1].labels == "gpl,lgpl" and len(licenses.rules()) > 200
-
-
-def test_license_keywords_drop_no_match(spark):
-    texts = ["licensed under the GNU GPL License v2", "GNU LGPL License", "gnu agpl license", "the MPL license", "GFDL license", "Expat License", "X11 License, MIT X11 license", "libpng license", "PSF license", "CDDL license", "CC BY License", "CC BY-SA License", "CC BY-ND license", "CC BY NC license"]
-    texts += ["Creative Commons Attribution Non-Commercial License", "released under the terms of the Modified BSD licence version 2 or later", "see the COPYING file for more details", "The origin of this software must not be misrepresented; you must not claim", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it"]
-    texts += [f"{n} license" for _, names, _ in licenses.FAMILIES for n in licenses._alternatives(names) if re.fullmatch("[a-z0-9 ]+", n)]
-    got = {r.id: r for r in licenses.scan_licenses(frame(spark, list(enumerate(texts)))).collect()}
-    for i, t in enumerate(texts):
-        norm = " " + " ".join(alnum(t)) + " "
-        found = []
-        for order, (priority, _, rx, label) in enumerate(licenses.rules()):
-            for m in re.finditer(rx, norm):
-                a = norm[: m.start()].count(" ") - 1
-                found.append((a, -(a + m.group().count(" ") + 1), priority, order, label))
-        left = [d for d in found if not any(e != d and e[0] <= d[0] and e[1] <= d[1] and e[2] <= d[2] and (e[:2] != d[:2] or e[2:4] < d[2:4]) for e in found)]
-        assert left and sorted((d.start, d.stop, d.label) for d in got[i].detections) == sorted((a, -b, label) for a, b, _, _, label in left), t
-    assert [got[i].labels for i in range(10)] == ["gpl", "lgpl", "agpl", "mpl", "fdl", "mit", "mit", "zlib", "psf", "cddl"]
+    texts = [*LICENSE_TEXTS, *(f"{n} license" for _, names, _ in license_rules.FAMILIES for n in license_rules._alternatives(names) if re.fullmatch("[a-z0-9 ]+", n))]
+    rows = list(enumerate(texts))
+    got = licenses.scan_licenses(frame(spark, [*rows, rows[0]])).collect()
+    assert len(got) == len(rows) + 1 and got[0] == got[-1]
+    for r in got:
+        w, base, left = brute_licenses(texts[r.id])
+        assert r.n_words == len(w) and sorted((b.start, b.label) for b in r.base) == sorted(base)
+        assert sorted((d.start, d.stop, d.priority, d.label) for d in r.detections) == sorted((a, -b, p, label) for a, b, p, _, label in left), texts[r.id]
+        assert r.labels == ",".join(sorted({label for _, label in base} | {d[4] for d in left})) and r.base_labels == ",".join(sorted({label for _, label in base}))
+        assert r.score == max([licenses.SCORES[d[2]] for d in left] + [licenses.SCORES[3]] * bool(base), default=0)
+    assert got[1].labels == "gpl,lgpl" and licenses.scan_licenses(frame(spark, rows).limit(0)).count() == 0
+    assert [got[i].labels for i in range(7, 17)] == ["gpl", "lgpl", "agpl", "mpl", "fdl", "mit", "mit", "zlib", "psf", "cddl"]
+
+
+def test_license_rules_find_their_own_words(spark):
+    assert len(license_rules.HAND_WRITTEN) >= 200 and len({rx for _, _, rx in license_rules.HAND_WRITTEN}) == len(license_rules.HAND_WRITTEN)
+    for _, words, rx, _ in license_rules.rules():
+        held = license_rules.literal(rx.removeprefix("(?<= )(?:").removesuffix(")(?= )"))
+        assert any(stem in held for stem in licenses.STEMS), rx
+        assert ("license" if "licence" in words else words[0]) in held.split(" ") or "license" in words or words == ("identifier",), rx
+
+    def sample(rx, last):
+        """A match of rx: of each choice the first part or the last, what may be absent or not."""
+        while True:
+            new = re.sub(r"\(\?:([^()]*)\)([?]|\{[0-9,]*\})?", lambda m: "" if m[2] == "?" and not last else m[1].split("|")[-1 if last else 0], rx)
+            if new == rx:
+                break
+            rx = new
+        rx = re.sub(r"\[([^]])[^]]*\]", r"\1", rx.replace("[^ ]", "x")).replace("[^ ]+", "x")
+        rx = re.sub(r"\.\{[0-9,]*\}", "x y", rx)
+        rx = re.sub(r"([0-9a-z ])\{[0-9,]*\}", lambda m: m[1] * 4, rx)
+        return re.sub(r" [?]", " " if last else "", re.sub(r"([0-9a-z])[?]", r"\1" if last else "", rx)).replace("+", "")
+
+    texts = []
+    for _, _, rx in license_rules.HAND_WRITTEN:
+        texts += [t for t in (sample(rx, False), sample(rx, True)) if re.fullmatch(rx, t)]
+    assert len(texts) > 1.8 * len(license_rules.HAND_WRITTEN) - 20
+    for r in licenses.scan_licenses(frame(spark, list(enumerate(texts)))).collect():
+        left = brute_licenses(texts[r.id])[2]
+        assert left and sorted((d.start, d.stop, d.priority, d.label) for d in r.detections) == sorted((a, -b, p, label) for a, b, p, _, label in left), texts[r.id]
+
+
+def test_license_scan_of_long_texts_takes_time_in_proportion(spark):
+    import time
+
+    part, took = "copyright notice mit license ", []
+    for n in (36_000, 144_000):
+        began = time.time()
+        r = licenses.scan_licenses(frame(spark, [(1, part * n)])).selectExpr("n_words", "size(base) b", "size(detections) d", "labels").first()
+        took.append(time.time() - began)
+        assert (r.n_words, r.b, r.labels) == (4 * n, n, "copyright,mit") and r.d == 2 * n
+    assert took[1] < 8 * took[0]
 
 
 def test_lm_counts_and_normalisation(spark):
