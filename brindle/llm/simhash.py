@@ -3,7 +3,7 @@
 A fingerprint lane has 64 bits. It is cut into fewer segments than a plain equality index needs, so
 that of two fingerprints which differ in max_bits bits some segment differs in at most one: for 4
 bits, 3 segments. Each segment is indexed once per bit with that bit deleted; two fingerprints then
-agree in a deletion variant, which an equality join finds, and the whole lane is verified.
+agree in a deletion variant, which an equality join on packed keys finds, and the lane is verified.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, discard, keep, mix64, shared_dir, text_bytes, with_key
@@ -21,8 +21,8 @@ from .substring import _bounds, _planes, _unplanes
 #: (lowest bit, width) of the segments of a lane.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 CHUNK = 65_536
-#: Classes of a group and keys of a bucket, about; parts into which a key's rows are dealt.
-GROUP, BUCKET_KEYS, SALTS = 8_192, 1 << 23, 64
+#: Classes of a group, rows of a bucket and pairs that are compared at once, about.
+GROUP, BUCKET, PAIRS = 8_192, 1 << 17, 1 << 20
 #: Parities of the numbers of a set's elements in 512 hash classes, 64 a column.
 PARITIES = [f"p{k}" for k in range(8)]
 
@@ -79,87 +79,122 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return src.mapInArrow(run, "id long, " + ", ".join(f"{x} long" for x in [*names, *more]))
 
 
-def _keys(f: np.ndarray) -> np.ndarray:
-    """(n, 64 * lanes) of (n, lanes): in column j bit j's number (from bit 32 on) and its segment without that bit."""
-    out = np.empty((len(f), 64 * f.shape[1]), np.uint64)
-    for lane in range(f.shape[1]):
-        for lo, width in SEGMENTS:
-            part = f[:, lane] >> np.uint64(lo) & np.uint64((1 << width) - 1)
-            for b in range(width):
-                j = 64 * lane + lo + b
-                out[:, j] = part & np.uint64(~(1 << b) & 2**64 - 1) | np.uint64(j << 32)
-    return out
-
-
-def _probes(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """In one integer the bucket of each key and 32 bits of its hash."""
-    h = mix64(keys.ravel() + np.uint64(0x632BE59BD9B4E019))
-    return ((h >> np.uint64(32)) * np.uint64(buckets) & np.uint64(0xFFFFFFFF00000000)) | h & np.uint64(0xFFFFFFFF)
-
+def _index(rows: DataFrame, n: int, lanes: int, more: list[str], search, kind: str) -> DataFrame:
+    """search() over the rows that may share a deletion variant. rows: node, the lanes, the longs `more`; n: about their number.
 
-def _variants(classes: DataFrame, n: int, lanes: int, extra: list[str]) -> DataFrame:
-    """(key, node, f, extra): the deletion variants of n classes, but for those that only one has; a few of these may be left.
-
-    Groups of classes send each bucket of keys the sorted hashes of theirs, less than 4 bytes a key, and
-    get a bit for each back. So variants travel as rows only where another class has the same.
+    All variants of a segment with the deleted bit in one half keep its other half. So each row goes to
+    a bucket twice a segment, by the values of the halves, and its variants are made there: 48 entries
+    for 512 variants of eight lanes. Entries travel in packed arrays. Each has its lane and the next one.
+    search(segment, bits, lanes, columns) gets the segments of a bucket's rows, the bits whose deletion
+    leaves the half that they share, and returns columns of longs by name, as in kind.
     """
     names = [f"f{k}" for k in range(lanes)]
-    groups, buckets = max(1, -(-n // GROUP)), max(1, -(-n * 64 * lanes // BUCKET_KEYS))
-    dealt = classes.select("node", *names, *extra, F.pmod(F.xxhash64("node"), F.lit(groups)).cast("int").alias("grp"))
-    by_group = lambda df: df.repartition(groups, "grp").groupBy("grp")  # noqa: E731  a task for each, small as they are
-
-    def lanes_of(table) -> np.ndarray:
-        return np.stack([table.column(x).to_numpy().view(np.uint64) for x in names], 1)
+    groups, ranges = max(1, -(-n // GROUP)), min(1 << 10, max(1, -(-n // BUCKET)))
+    buckets = lanes * len(SEGMENTS) * 2 * ranges
+    sent = ["node", "f", "g", *more]
+    dealt = rows.select("node", *names, *more, F.pmod(F.xxhash64("node"), F.lit(groups)).cast("int").alias("grp")).repartition(groups, "grp")  # a task for each, small as they are
 
     def pack(key, table):
         import pyarrow as pa
 
-        own = np.unique(_probes(_keys(lanes_of(table)), buckets))
-        out = [(int(own[i] >> np.uint64(32)), key[0].as_py(), _planes(np.diff(own[i:j].astype(np.uint32), prepend=np.uint32(0)))) for i, j in _bounds(own >> np.uint64(32))]
-        return pa.table({c: pa.array([x[i] for x in out], t) for i, (c, t) in enumerate((("bucket", pa.int32()), ("grp", pa.int32()), ("probes", pa.binary())))})
-
-    def match(key, table):
+        column = {c: table.column(c).to_numpy() for c in ("node", *names, *more)}
+        out: dict[str, list] = {c: [] for c in ("bucket", *sent)}
+        for j in range(lanes * len(SEGMENTS) * 2):
+            (lane, part), half = divmod(j // 2, len(SEGMENTS)), j % 2
+            lo, width = SEGMENTS[part]
+            low = width // 2
+            value = column[f"f{lane}"].view(np.uint64) >> np.uint64(lo + (low if half == 0 else 0)) & np.uint64((1 << (width - low if half == 0 else low)) - 1)
+            at = (mix64(value + np.uint64(1)) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+            order = np.argsort(at, kind="stable")
+            for x, y in _bounds(at[order]):
+                rows = order[x:y]
+                out["bucket"].append(j * ranges + int(at[rows[0]]))
+                for c, source in zip(sent, ("node", f"f{lane}", f"f{(lane + 1) % lanes}", *more), strict=True):
+                    out[c].append(_planes(column[source][rows]))
+        return pa.table({c: pa.array(v, pa.int32() if c == "bucket" else pa.binary()) for c, v in out.items()})
+
+    def look(key, table):
         import pyarrow as pa
 
-        parts = [np.cumsum(_unplanes(x, np.uint32), dtype=np.uint32) for x in table.column("probes").to_pylist()]
-        every = np.sort(np.concatenate(parts))
-        shared = np.unique(every[1:][every[1:] == every[:-1]])
-        grp, bits = [], []
-        for g, x in zip(table.column("grp").to_pylist(), parts, strict=True):
-            hit = np.isin(x, shared, assume_unique=True)
-            if hit.any():
-                grp.append(g)
-                bits.append(np.packbits(hit).tobytes())
-        return pa.table({"grp": pa.array(grp, pa.int32()), "bucket": pa.array([key[0].as_py()] * len(grp), pa.int32()), "hits": pa.array(bits, pa.binary())})
-
-    def pick(key, table, found):
-        import pyarrow as pa
-
-        rows, columns = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if table.num_rows:
-            f = lanes_of(table)
-            keys = _keys(f)
-            probes = _probes(keys, buckets)
-            known, times = np.unique(probes, return_counts=True)
-            on = times > 1
-            for k, bits in zip(found.column("bucket").to_pylist(), found.column("hits").to_pylist(), strict=True):
-                i, j = np.searchsorted(known, np.array([k << 32, (k + 1) << 32], np.uint64))
-                on[i:j] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=j - i).astype(bool)
-            rows, columns = np.divmod(np.flatnonzero(np.isin(probes, known[on])), keys.shape[1])
-        at = pa.array(rows)
-        values = [keys[rows, columns].view(np.int64), f[rows, columns // 64].view(np.int64)] if len(rows) else [np.zeros(0, np.int64)] * 2
-        return pa.table({"key": pa.array(values[0]), "node": table.column("node").take(at), "f": pa.array(values[1]), **{c: table.column(c).take(at) for c in extra}})
-
-    hits = by_group(dealt).applyInArrow(pack, "bucket int, grp int, probes binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(match, "grp int, bucket int, hits binary")
-    return by_group(dealt).cogroup(by_group(hits)).applyInArrow(pick, ", ".join(["key long, node long, f long", *(f"{c} long" for c in extra)]))
-
-
-def _by_key(rows: DataFrame, parts: list, whole: list) -> DataFrame:
-    """rows with the columns whole, aggregates of its key's; each key's rows are first gathered by parts in SALTS parts, so that no task holds a dense bucket."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
-    index = Window.partitionBy("key")
-    some = salted.groupBy("key", "salt").agg(*parts).select("key", "salt", *(x.over(index).alias(name) for name, x in whole))
-    return salted.join(some, ["key", "salt"]).drop("salt")
+        part, half = divmod(key[0].as_py() // ranges % (2 * len(SEGMENTS)), 2)
+        lo, width = SEGMENTS[part]
+        low = width // 2
+        column = {c: np.concatenate([_unplanes(x, np.int64) for x in table.column(c).to_pylist()]) for c in sent}
+        order = np.argsort(column["node"], kind="stable")
+        column = {c: x[order] for c, x in column.items()}
+        segment = (column["f"].view(np.uint64) >> np.uint64(lo) & np.uint64((1 << width) - 1)).astype(np.uint32)
+        return pa.table(search(segment, range(low) if half == 0 else range(low, width), min(2, lanes), column))
+
+    packed = dealt.groupBy("grp").applyInArrow(pack, ", ".join(["bucket int", *(f"{c} binary" for c in sent)]))
+    return packed.repartition(min(buckets, 10_000), "bucket").groupBy("bucket").applyInArrow(look, kind)
+
+
+def _near(columns: dict, i: np.ndarray, j: np.ndarray, lanes: int, max_bits: int, least: float | None) -> np.ndarray:
+    """Whether rows i and j are within max_bits a lane over their lane and the next, and of sizes that allow the similarity."""
+    f, g = columns["f"].view(np.uint64), columns["g"].view(np.uint64)
+    apart = np.bitwise_count(f[i] ^ f[j]).astype(np.int64)
+    if lanes > 1:
+        apart += np.bitwise_count(g[i] ^ g[j])
+    ok = apart <= max_bits * lanes
+    if least is not None:
+        a, b = columns["size"][i], columns["size"][j]
+        ok &= np.minimum(a, b) >= least * np.maximum(a, b) - 1e-6
+    return ok
+
+
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of the sorted keys the first place of its run and the place after it."""
+    cuts = np.flatnonzero(np.diff(keys)) + 1
+    starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
+    return np.repeat(starts, ends - starts), np.repeat(ends, ends - starts)
+
+
+def _hubs(max_bits: int, least: float | None):
+    """A search for (u, v): each row's smallest near row that is the smallest of a variant."""
+
+    def search(segment, bits, lanes, columns):
+        node = columns["node"]
+        best = node.copy()
+        for bit in bits:
+            keys = segment & np.uint32(~(1 << bit) & 0xFFFFFFFF)
+            order = np.argsort(keys, kind="stable")  # of one variant the smallest node first
+            hub = order[_groups(keys[order])[0]]
+            order, hub = order[hub != order], hub[hub != order]
+            ok = _near(columns, order, hub, lanes, max_bits, least)
+            best[order[ok]] = np.minimum(best[order[ok]], node[hub[ok]])
+        far = best < node
+        return {"u": node[far], "v": best[far]}
+
+    return search
+
+
+def _across(max_bits: int, least: float | None, by_component: bool):
+    """A search for (u, v): near rows of different components c; those components instead, if by_component."""
+
+    def search(segment, bits, lanes, columns):
+        node, c = columns["node"], columns["c"]
+        found = [np.zeros((0, 2), np.int64)]
+        rank = np.unique(c, return_inverse=True)[1].astype(np.uint64)
+        for bit in bits:
+            keys = (segment & np.uint32(~(1 << bit) & 0xFFFFFFFF)).astype(np.uint64) << np.uint64(32) | rank
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            after, end = _groups(keys)[1], _groups(keys >> np.uint64(32))[1]
+            count = end - after  # rows of the variant in later components
+            some = np.flatnonzero(count)
+            total = np.cumsum(count[some])
+            for lot in np.split(some, np.searchsorted(total, np.arange(PAIRS, total[-1] if len(total) else 0, PAIRS), side="right")):
+                i = np.repeat(lot, count[lot])
+                j = np.repeat(after[lot] - np.concatenate([[0], np.cumsum(count[lot])[:-1]]).astype(np.int64), count[lot]) + np.arange(len(i))
+                i, j = order[i], order[j]
+                ok = _near(columns, i, j, lanes, max_bits, least)
+                value = c if by_component else node
+                x, y = value[i[ok]], value[j[ok]]
+                found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return {"u": np.ascontiguousarray(pairs[:, 0]), "v": np.ascontiguousarray(pairs[:, 1])}
+
+    return search
 
 
 def _may_be_similar(least: float, marks: list[str], a: str, b: str) -> str:
@@ -168,27 +203,6 @@ def _may_be_similar(least: float, marks: list[str], a: str, b: str) -> str:
     return f"greatest({apart}, abs({a}size - {b}size)) * {1 + least}D <= ({a}size + {b}size) * {1 - least}D + 1e-6D"
 
 
-def _alike(max_bits: int, least: float | None, a: str, b: str) -> str:
-    """SQL: whether two lanes are within max_bits and, with least, the short sketches allow that similarity."""
-    return f"bit_count({a}f ^ {b}f) <= {max_bits}" + ("" if least is None else f" AND {_may_be_similar(least, ['q0', 'q1'], a, b)}")
-
-
-def _across(pairs: DataFrame, part: DataFrame) -> DataFrame:
-    """The (u, v) of different components."""
-    x, y = (part.select(F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in "uv")
-    return pairs.join(x, "u", "left").join(y, "v", "left").where("coalesce(cu, u) <> coalesce(cv, v)").select("u", "v")
-
-
-def _first_agreement() -> str:
-    """SQL: number within the lane of the first deletion in which lanes a_f and b_f agree."""
-    whens = []
-    for lo, width in SEGMENTS:
-        mask = ((1 << width) - 1) << lo
-        part = f"((a_f ^ b_f) & {mask - 2**64 if mask >= 2**63 else mask}L)"
-        whens.append(f"WHEN bit_count({part}) <= 1 THEN CASE WHEN {part} = 0L THEN {lo} ELSE length(bin({part})) - 1 END")
-    return "CASE " + " ".join(whens) + " END"
-
-
 def _similar(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle_words: int, least: float, scratch: str) -> DataFrame:
     """The (u, v) whose documents' sets of shingles, told apart by 32 bits of hash, have a Jaccard similarity of at least least."""
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
@@ -224,11 +238,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, f0 .., component): each row of docs with its fingerprints and the smallest id that links reach.
 
     Two fingerprints link if in some lane a segment differs in at most one bit and the lane in at most
-    max_bits (with one lane and max_bits <= 4 that is every pair within max_bits); with min_jaccard their
-    documents' sets of shingles must be that similar, too. Equal fingerprints always link. Classes of
-    equal fingerprints count once. In each bucket all link to its smallest member first; only pairs
-    between the components that this leaves are joined, so a dense group yields no pairs within it. Pairs
-    whose sets can't be that similar by their sizes and parities aren't verified; that loses none.
+    max_bits (with one lane and max_bits <= 4 that is every pair within max_bits; with more lanes that lane
+    and the next together, in twice as many); with min_jaccard their documents' sets of shingles must be
+    that similar, too. Equal fingerprints always link. Classes of equal fingerprints count once. Each is
+    compared with the smallest member of each of its variants first; only pairs between the components
+    that this leaves are searched, so a dense group yields no pairs within it. Pairs whose sets can't be
+    that similar by their sizes and parities aren't verified; that loses none.
     Null and wordless texts have fingerprint zero and link with each other; rows with a null id form
     classes but are no one's representative unless a class has no other (their component is null
     then); repeated rows and ids are kept; an empty table gives no rows. Extra columns are ignored.
@@ -244,46 +259,23 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle_words:
     names = [f"f{k}" for k in range(lanes)]
     sketch = min_jaccard is not None
     rows = keep(fingerprints(docs, id_col, text_col, shingle_words, lanes, sketch), scratch)
-    least = [F.min_by(x, "id").alias(x) for x in ("size", *PARITIES)] if sketch else []
-    classes = keep(rows.groupBy(*names).agg(F.min("id").alias("node"), *least), scratch)
-    short = [*(F.expr(" ^ ".join(PARITIES[i::2])).alias(f"q{i}") for i in range(2))] if sketch else []
-    marks = ["size", "q0", "q1"] if sketch else []
-    named = classes.where("node is not null").select("*", *short)
-    bit = F.expr("shiftrightunsigned(f, CAST(shiftright(key, 32) % 64 AS INT)) & 1L")
-    variants = keep(_variants(named, named.count(), lanes, marks), scratch)
-    hub = [F.min_by(x, "node").alias(f"hub_{x}") for x in ("f", *marks)]
-    shared = _by_key(variants, [F.count("*").alias("n"), F.min("node").alias("hub"), *hub, F.sum(bit).alias("ones")], [("n", F.sum("n")), ("hub", F.min("hub")), *((f"hub_{x}", F.min_by(f"hub_{x}", "hub")) for x in ("f", *marks)), ("ones", F.sum("ones"))])
-    # a bucket of two has no pair but that with its smallest member; of the others, two fingerprints that agree in the deleted
-    # bit, too, meet in the bucket of the segment's lowest bit, so others matter only if they hold both values
-    shared = shared.withColumn("ones", F.expr("ones - (shiftrightunsigned(hub_f, CAST(shiftright(key, 32) % 64 AS INT)) & 1L)"))
-    shared = shared.withColumn("more", F.expr(f"n > 2 AND (ones > 0 AND ones < n - 1 OR shiftright(key, 32) % 64 IN ({', '.join(str(lo) for lo, _ in SEGMENTS)}))"))
-    shared = shared.withColumn("near", F.expr(_alike(max_bits, min_jaccard, "", "hub_")))
-    shared = keep(shared.where("n > 1 AND node <> hub AND (more OR near)").select("key", "node", "f", *marks, "hub", "more", "near"), scratch)
-    stars = shared.where("near").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+    sizes = [F.min_by(x, "id").alias(x) for x in ("size", *PARITIES)] if sketch else []
+    classes = keep(rows.groupBy(*names).agg(F.min("id").alias("node"), *sizes), scratch)
+    named = classes.where("node is not null")
+    n, more = named.count(), ["size"] if sketch else []
 
     def possible(pairs: DataFrame) -> DataFrame:
-        x, y = (named.select(F.col("node").alias(n), *(F.col(c).alias(f"{m}_{c}") for c in ("size", *PARITIES))) for n, m in (("u", "a"), ("v", "b")))
+        x, y = (named.select(F.col("node").alias(m), *(F.col(c).alias(f"{a}_{c}") for c in ("size", *PARITIES))) for m, a in (("u", "a"), ("v", "b")))
         return pairs.join(x, "u").join(y, "v").where(_may_be_similar(min_jaccard, PARITIES, "a_", "b_")).select("u", "v")
 
-    verified = (lambda p: p) if min_jaccard is None else (lambda p: _similar(keep(possible(p), scratch), docs, id_col, text_col, shingle_words, min_jaccard, scratch))
-    if min_jaccard is not None:
-        # a dense group's members have many hubs: each is compared with its least one first, with others only across the components left
-        stars = keep(stars, scratch)
-        links = verified(stars.groupBy("u").agg(F.min("v").alias("v")))
-        part = keep(connected_components(links, scratch=scratch), scratch)
-        stars = links.union(verified(keep(_across(stars, part), scratch)))
+    verified = (lambda p: keep(p, scratch)) if min_jaccard is None else (lambda p: _similar(keep(possible(p), scratch), docs, id_col, text_col, shingle_words, min_jaccard, scratch))
+    hubs = _index(named, n, lanes, more, _hubs(max_bits, min_jaccard), "u long, v long")
+    stars = verified(hubs.groupBy("u").agg(F.min("v").alias("v")))
     part = keep(connected_components(stars, scratch=scratch), scratch)
-    known = named.join(part, "node", "left").select("node", F.coalesce("component", "node").alias("c"))
-    member = keep(shared.where("more").drop("hub", "more", "near").join(known, "node"), scratch)
-    member = _by_key(member, [F.min("c").alias("low"), F.max("c").alias("high")], [("low", F.min("low")), ("high", F.max("high"))])
-    member = keep(member.where("low <> high").drop("low", "high"), scratch)
-    a, b = (member.select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "f", "c", *marks))) for x in "ab")
-    across = a.join(b, "key").where(f"a_node < b_node AND a_c <> b_c AND {_alike(max_bits, min_jaccard, 'a_', 'b_')} AND (shiftright(key, 32) % 64) = {_first_agreement()}")
-    if min_jaccard is None:
-        links = across.select(F.least("a_c", "b_c").alias("u"), F.greatest("a_c", "b_c").alias("v")).distinct()
-    else:
-        links = verified(across.select(F.col("a_node").alias("u"), F.col("b_node").alias("v")).distinct())
-    whole = connected_components(links.union(part.select("node", "component")), scratch=scratch)
+    known = named.join(part, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    pairs = _index(known, n, lanes, [*more, "c"], _across(max_bits, min_jaccard, not sketch), "u long, v long")
+    links = verified(keep(pairs, scratch).distinct()).union(part.select(F.col("node").alias("u"), F.col("component").alias("v")))
+    whole = connected_components(links, scratch=scratch)
     reach = classes.join(whole, "node", "left").select(*names, F.coalesce("component", "node").alias("component"))
     return keep(rows.join(reach, names).select("id", *names, "component"))
 
