@@ -373,15 +373,22 @@ def decode(data: bytes) -> np.ndarray:
 
 
 class _Out:
+    """Bits, lowest first; those that are written stay in one integer up to a bound."""
+
     def __init__(self):
-        self.value, self.bits = 0, 0
+        self.value, self.bits, self.done = 0, 0, bytearray()
 
     def write(self, value: int, n: int) -> None:
         self.value |= value << self.bits
         self.bits += n
+        if self.bits > 1 << 14:
+            whole = self.bits >> 3
+            self.done += (self.value & (1 << 8 * whole) - 1).to_bytes(whole, "little")
+            self.value >>= 8 * whole
+            self.bits &= 7
 
     def bytes(self) -> bytes:
-        return self.value.to_bytes((self.bits + 7) >> 3, "little")
+        return bytes(self.done) + self.value.to_bytes((self.bits + 7) >> 3, "little")
 
 
 def code_lengths(weights: list[int], most: int) -> tuple[int, ...]:
@@ -461,6 +468,15 @@ def _split(value: int) -> tuple[int, int, int]:
     return 2 * high + second, v & ((1 << extra) - 1), extra
 
 
+@lru_cache(64)
+def _near_codes(width: int) -> dict[int, int]:
+    """The short code of each distance that has one."""
+    codes: dict[int, int] = {}
+    for k, (x, y) in enumerate(NEAR, 1):
+        codes.setdefault(max(1, x + y * width), k)
+    return codes
+
+
 def _write_image(out: _Out, argb: list[int], width: int, cache_bits: int = 0, copies: bool = False, groups: tuple[int, list[int]] | None = None) -> None:
     """An entropy-coded image; groups (main images only, None: none, () : not main): tile size and the group of each tile."""
     out.write(1 if cache_bits else 0, 1)
@@ -474,31 +490,33 @@ def _write_image(out: _Out, argb: list[int], width: int, cache_bits: int = 0, co
             out.write(tile - 2, 3)
             across = -(-width // (1 << tile))
             _write_image(out, [g << 8 for g in of_tile], across)
-    tokens, cache, seen, i = [], {}, {}, 0
-    while i < len(argb):
-        c, n = argb[i], 0
-        if copies:
-            key = tuple(argb[i : i + 3])
-            j = seen.get(key)
-            if j is not None and len(key) == 3:
-                while n < 4096 and i + n < len(argb) and argb[j + n] == argb[i + n]:
+    tokens, cache, seen, i, total = [], {}, {}, 0, len(argb)
+    flat = np.array(argb, np.uint64)
+    slots = ((flat * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)).tolist() if cache_bits else []
+    near = _near_codes(width)
+    # starts of copies are looked up by a hash of three pixels; copies are compared pixel by pixel
+    keys = ((flat[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ flat[1:-1]) * np.uint64(0xD6E8FEB86659FD93) ^ flat[2:]).tolist() if copies and total > 2 else []
+    while i < total:
+        n = 0
+        if i < len(keys):
+            j = seen.get(keys[i])
+            if j is not None:
+                most = min(4096, total - i)
+                while n < most and argb[j + n] == argb[i + n]:
                     n += 1
         group = of_tile[(i // width >> tile) * across + (i % width >> tile)] if tile else 0
-        slot = (CACHE_FACTOR * c & 0xFFFFFFFF) >> (32 - cache_bits) if cache_bits else 0
         if n >= 3:
             d = i - j
-            near = next((k for k, (x, y) in enumerate(NEAR) if max(1, x + y * width) == d), None)
-            tokens.append((group, "copy", _split(n), _split(d + len(NEAR) if near is None else near + 1)))
-        elif cache_bits and cache.get(slot) == c:
+            tokens.append((group, "copy", _split(n), _split(near.get(d, d + len(NEAR)))))
+        elif cache_bits and cache.get(slots[i]) == argb[i]:
             n = 1
-            tokens.append((group, "cache", slot, None))
+            tokens.append((group, "cache", slots[i], None))
         else:
             n = 1
-            tokens.append((group, "pixel", c, None))
-        for k in range(i, i + n):
-            seen[tuple(argb[k : k + 3])] = k
-            if cache_bits:
-                cache[(CACHE_FACTOR * argb[k] & 0xFFFFFFFF) >> (32 - cache_bits)] = argb[k]
+            tokens.append((group, "pixel", argb[i], None))
+        seen.update(zip(keys[i : i + n], range(i, i + n), strict=False))
+        if cache_bits:
+            cache.update(zip(slots[i : i + n], argb[i : i + n], strict=True))
         i += n
     sizes = (LITERALS + LENGTHS + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, DISTANCES)
     counts = [[[0] * n for n in sizes] for _ in range(max(of_tile) + 1)]
@@ -525,8 +543,8 @@ def riff(stream: bytes, extra: bytes = b"") -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def encode(px: np.ndarray, predictor: tuple[int, list[int]] | None = None, cross: tuple[int, list[int]] | None = None, subtract_green: bool = False, palette: bool = False, cache_bits: int = 0, copies: bool = False, groups: tuple[int, list[int]] | None = None) -> bytes:
-    """A lossless WebP file of pixels, for small images: every transform and coding of the format on request.
+def encode(px: np.ndarray, predictor: tuple[int, list[int]] | None = None, cross: tuple[int, list[int]] | None = None, subtract_green: bool = False, palette: bool = False, cache_bits: int = 0, copies: bool = False, groups: tuple[int, list[int]] | None = None, extra: bytes = b"") -> bytes:
+    """A lossless WebP file of pixels: every transform and coding of the format on request.
 
     predictor: tile size (2 to 9) and mode of each tile; cross: tile size and element of each tile; groups:
     tile size and prefix code group of each tile of the coded image.
@@ -571,7 +589,7 @@ def encode(px: np.ndarray, predictor: tuple[int, list[int]] | None = None, cross
         px = np.array([[(whole[y, x] - _neighbours(x, y, whole, int(each[y, x]))) & 255 for x in range(width)] for y in range(height)], np.uint8)
     out.write(0, 1)
     _write_image(out, _argb(px).tolist(), width, cache_bits, copies, groups or ())
-    return riff(out.bytes())
+    return riff(out.bytes(), extra)
 
 
 # --- bytes as media ---
@@ -602,14 +620,34 @@ def _text_code() -> tuple:
     return out.value, out.bits, np.array([c for c, _ in codes[:256]], np.uint64), np.array([n for _, n in codes[:256]], np.uint64)
 
 
+def repetition(payload: bytes) -> str:
+    """How a payload's pixels repeat: "few" different ones (a palette pays), often the same "pairs" (back-references and a colour cache pay), or "" for neither."""
+    p = np.frombuffer(payload, np.uint32)
+    if len(p) < 64:
+        return ""
+    if np.count_nonzero(np.diff(np.sort(p))) < min(256, len(p) // 4):
+        return "few"
+    pairs = p[:-1].astype(np.uint64) << np.uint64(32) | p[1:]
+    return "pairs" if np.count_nonzero(np.diff(np.sort(pairs))) < len(p) // 2 else ""
+
+
 def encode_bytes(payload: bytes) -> bytes:
     """A lossless WebP file whose pixels, row by row, are the payload's bytes; its length, a multiple of 64, stands in a chunk of its own.
 
-    Rows have 16 pixels or, for a payload beyond a megabyte, as many more as the format's greatest height needs.
+    Rows have 16 pixels or, for a payload beyond a megabyte, as many more as the format's greatest height
+    needs. Payloads beyond the format's 2^28 pixels are rejected. Repetitive payloads are written with a
+    palette or without, back-references and a colour cache, and codes of their own; others as literals
+    with one constant code.
     """
     pixels = len(payload) // 4
     width = 16 * max(1, math.ceil(pixels / (16 * (MOST - 1))))
+    if width > MOST:
+        raise ValueError(f"{len(payload)} bytes don't fit an image")
     height = -(-pixels // width)
+    length = b"BYTE" + struct.pack("<IQ", 8, len(payload))
+    if kind := repetition(payload):
+        px = np.frombuffer(payload + b"\0" * (4 * width * height - len(payload)), np.uint8).reshape(height, width, 4)
+        return encode(px, palette=kind == "few", cache_bits=4 if kind == "few" else 9, copies=True, extra=length)
     head, n, codes, lengths = _text_code()
     start = (0x2F | (width - 1) << 8 | (height - 1) << 22) | head << 36
     at = 36 + n
@@ -628,7 +666,7 @@ def encode_bytes(payload: bytes) -> bytes:
     stream = bytearray(out.tobytes()[: (int(offset[-1]) + 7) >> 3])
     first = int.from_bytes(stream[: (at + 7) >> 3], "little") | start
     stream[: (at + 7) >> 3] = first.to_bytes((at + 7) >> 3, "little")
-    return riff(bytes(stream), b"BYTE" + struct.pack("<IQ", 8, len(payload)))
+    return riff(bytes(stream), length)
 
 
 def decode_bytes(data: bytes) -> tuple[np.ndarray, bytes]:

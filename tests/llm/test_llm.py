@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, with nulls, empty texts, ties, repeated rows, empty tables and clashing column names."""
 
+import base64
 import collections
 import functools
 import hashlib
@@ -369,10 +370,29 @@ def test_webp_formats():
         webp.decode(webp.encode(px)[:60])
 
 
+def test_webp_file_of_another_writer():
+    """The one-pixel lossless file by which web pages commonly test for the format."""
+    px = webp.decode(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA=="))
+    assert px.shape == (1, 1, 4)
+
+
+def test_webp_payloads_use_transforms_references_and_cache():
+    rng = random.Random(4)
+    line = " ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(40)).encode()[:128]
+    prose = bytes(rng.randrange(256) for _ in range(4096))
+    kinds = {"few": [b"BUY!! " * 500 + b"\0" * 8, b"\0" * 640, b"ab" * 3200], "pairs": [b"".join(line + bytes(rng.randrange(97, 123) for _ in range(64)) for _ in range(60)), prose + prose + prose], "": [prose, b"\0" * 64, b"x" * 192]}
+    for kind, payloads in kinds.items():
+        for p in payloads:
+            assert webp.repetition(p) == kind and len(p) % 64 == 0
+            media = webp.encode_bytes(p)
+            assert webp.decode_bytes(media)[1] == p
+            assert not kind or len(media) < len(p) * 0.75
+
+
 def test_webp_texts(spark):
-    rows = corpus()
-    for r in webp.read_media(webp.store_texts(frame(spark, rows))).collect():
-        b = (dict(rows)[r.id] or "").encode()
+    rows = [*corpus(), (900, "same line of text\n" * 300), (901, "\n".join(f"{k} the same long line of text with its number" for k in range(400))), (902, "z" * 3_000_000), (3, "a second row")]
+    for r in webp.read_media(webp.store_texts(frame(spark, [*rows, rows[0]]))).collect():
+        b = (("a second row" if r.n_bytes == 12 else dict(rows[:-1])[r.id]) or "").encode()
         p = b + b"\0" * (-len(b) % 64 or (0 if b else 64))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
         assert bytes(r.pixels)[: len(p)] == p
