@@ -22,9 +22,11 @@ from .substring import _bounds, _planes, _unplanes
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 CHUNK = 65_536
 #: Classes of a group, rows of a bucket and pairs that are compared at once, about.
-GROUP, BUCKET, PAIRS = 8_192, 1 << 17, 1 << 20
+GROUP, BUCKET, PAIRS = 4_096, 1 << 17, 1 << 20
 #: Parities of the numbers of a set's elements in 512 hash classes, 64 a column.
 PARITIES = [f"p{k}" for k in range(8)]
+#: What goes along to the buckets: the set's size and its parities, folded to 256 classes.
+SKETCH = ("size", "q0", "q1", "q2", "q3")
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -130,15 +132,17 @@ def _index(rows: DataFrame, n: int, lanes: int, more: list[str], search, kind: s
 
 
 def _near(columns: dict, i: np.ndarray, j: np.ndarray, lanes: int, max_bits: int, least: float | None) -> np.ndarray:
-    """Whether rows i and j are within max_bits a lane over their lane and the next, and of sizes that allow the similarity."""
+    """Whether rows i and j are within max_bits a lane over their lane and the next, and of sketches that allow the similarity."""
     f, g = columns["f"].view(np.uint64), columns["g"].view(np.uint64)
     apart = np.bitwise_count(f[i] ^ f[j]).astype(np.int64)
     if lanes > 1:
         apart += np.bitwise_count(g[i] ^ g[j])
     ok = apart <= max_bits * lanes
     if least is not None:
+        # differing parities are elements of one set only, see _may_be_similar
+        only = sum(np.bitwise_count(q[i] ^ q[j]).astype(np.int64) for q in (columns[c].view(np.uint64) for c in SKETCH[1:]))
         a, b = columns["size"][i], columns["size"][j]
-        ok &= np.minimum(a, b) >= least * np.maximum(a, b) - 1e-6
+        ok &= np.maximum(only, np.abs(a - b)) * (1 + least) <= (a + b) * (1 - least) + 1e-6
     return ok
 
 
@@ -261,8 +265,9 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle_words:
     rows = keep(fingerprints(docs, id_col, text_col, shingle_words, lanes, sketch), scratch)
     sizes = [F.min_by(x, "id").alias(x) for x in ("size", *PARITIES)] if sketch else []
     classes = keep(rows.groupBy(*names).agg(F.min("id").alias("node"), *sizes), scratch)
-    named = classes.where("node is not null")
-    n, more = named.count(), ["size"] if sketch else []
+    short = [F.expr(f"p{k} ^ p{k + 4}").alias(f"q{k}") for k in range(4)] if sketch else []
+    named = classes.where("node is not null").select("*", *short)
+    n, more = named.count(), list(SKETCH) if sketch else []
 
     def possible(pairs: DataFrame) -> DataFrame:
         x, y = (named.select(F.col("node").alias(m), *(F.col(c).alias(f"{a}_{c}") for c in ("size", *PARITIES))) for m, a in (("u", "a"), ("v", "b")))
