@@ -1,17 +1,17 @@
 """LM scoring by a hashed maximum-entropy model.
 
 P(word | history) = P(class | h) * P(slot | class, h) * P(word | cell), cell = (class, slot). The first two
-are softmaxes whose weights stand in hashed tables, addressed by features of the history: the cell
-before (bigram), the one before that (skip), both (trigram), and the cells before at distance 1 and 3
-(skip); the third is the word's smoothed share of its cell. Frequent words have cells of their own,
-others share one by a hash of their ending. Each cell keeps one part for words that were never seen, so
-the probabilities of all words and the unknown sum to 1.
+are softmaxes whose weights stand in hashed tables, addressed by features of the history: the word
+before (bigram) and the one before that (skip), by their hashes, whatever their frequency, and the cells
+of the one before and of both (trigram); the third is the word's smoothed share of its cell. Frequent
+words have cells of their own, others share one by a hash of their ending. Each cell keeps one part for
+words that were never seen, so the probabilities of all words and the unknown sum to 1.
 
 Words are counted over all training documents: groups of documents send packed (hash, count) arrays to
 hash buckets, whose totals come back to the groups; the vocabulary is never collected or broadcast.
 Weights are trained by distributed gradient updates: in each round the tasks sum gradients over their
-share of the round's documents, the driver takes a step; all rounds together pass once over all
-training documents.
+share of the round's documents, blocks of the sums are added in two levels, and the driver takes a
+step; all rounds together pass once over all training documents.
 """
 
 from __future__ import annotations
@@ -30,12 +30,14 @@ from .substring import CHUNK_BYTES, _planes, _unplanes
 CLASSES = SLOTS = 16
 #: Words with a cell of their own, the end of a text among them; as many cells are shared.
 TOPS = CLASSES * SLOTS // 2
-PAD = CLASSES * SLOTS
 FEATURES = 4
-ROWS, SLOT_ROWS = 1 << 14, 1 << 15
+ROW_BITS, SLOT_BITS = 16, 17
+ROWS, SLOT_ROWS = 1 << ROW_BITS, 1 << SLOT_BITS
 ROUNDS = 4
 PART, SCORE_PART = 1 << 18, 1 << 14
-BLOCK = 4096
+BLOCK = 8192
+#: Bytes of text that one task sums a gradient of, about.
+TASK_BYTES = 64 << 20
 END = b""
 
 
@@ -66,8 +68,8 @@ class _Ids(dict):
         return value
 
 
-class _Cells(dict):
-    """The cell of each word, remembered within bounds. tops: hash -> cell."""
+class _Words(dict):
+    """Of each word 32 bits of its hash, never 0, and from bit 0 on its cell; remembered within bounds. tops: hash -> cell."""
 
     def __init__(self, tops: dict[int, int], limit: int = 400_000):
         super().__init__()
@@ -76,8 +78,9 @@ class _Cells(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
-        own = self.tops.get(word_hash(word))
-        value = self[word] = TOPS + shared_cell(word) if own is None else own
+        h = word_hash(word)
+        own = self.tops.get(h)
+        value = self[word] = ((h >> 32) or 1) << 8 | (TOPS + shared_cell(word) if own is None else own)
         return value
 
 
@@ -110,21 +113,22 @@ def _mix(x: np.ndarray, bits: int) -> np.ndarray:
     return ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
 
 
-def feature_rows(cells: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The rows of the FEATURES features of each token's history; starts: where documents start."""
-    n = len(cells)
+def feature_rows(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The rows of the FEATURES features of each token's history. words: as _Words gives them; starts: where documents start."""
+    n = len(words)
     place = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+    words = words.astype(np.uint64)
 
-    def before(k: int) -> np.ndarray:
-        out = np.full(n, PAD, np.int64)
-        out[k:] = cells[:-k] if n > k else out[k:]
-        out[place < k] = PAD
+    def before(k: int, what: np.ndarray) -> np.ndarray:
+        out = np.zeros(n, np.uint64)
+        out[k:] = what[:-k] if n > k else out[k:]
+        out[place < k] = 0
         return out
 
-    a, b, c = before(1), before(2), before(3)
-    m = PAD + 1
-    keys = (a, m + b, 2 * m + a * m + b, 2 * m + m * m + a * m + c)
-    return np.stack([_mix(k, 14) for k in keys])
+    hashes, cells = words >> np.uint64(8), (words & np.uint64(255)) + np.uint64(1)
+    a, b = before(1, cells), before(2, cells)
+    keys = (before(1, hashes), before(2, hashes) | np.uint64(1 << 40), a | np.uint64(1 << 41), a << np.uint64(10) | b | np.uint64(1 << 42))
+    return np.stack([_mix(k ^ k >> np.uint64(29), ROW_BITS) for k in keys])
 
 
 def _logits(rows: np.ndarray, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -151,7 +155,7 @@ def _log_soft(rows: np.ndarray, table: np.ndarray, bias: np.ndarray, target: np.
 
 
 def slot_rows(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    return _mix(rows.astype(np.int64) * CLASSES + classes + (1 << 40), 15)
+    return _mix(rows.astype(np.int64) * CLASSES + classes + (1 << 40), SLOT_BITS)
 
 
 def log_cells(model: MaxEnt, cells: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -186,15 +190,27 @@ class _Gradient:
                         self.hoped[table][j] += np.bincount(x, weights=columns[j], minlength=size)
 
     def blobs(self) -> Iterator[tuple[int, bytes, bytes]]:
-        """(block, observed, expected) of the blocks of rows that have any."""
+        """(block, observed, expected), as _short arrays, of the blocks of rows that have any."""
         block = 0
         for seen, hoped in zip(self.seen, (np.ascontiguousarray(x.T) for x in self.hoped), strict=True):
             for at in range(0, len(seen), BLOCK):
                 if hoped[at : at + BLOCK].any():
-                    yield block, seen[at : at + BLOCK].astype(np.float32).tobytes(), hoped[at : at + BLOCK].astype(np.float32).tobytes()
+                    yield block, _short(seen[at : at + BLOCK]), _short(hoped[at : at + BLOCK])
                 block += 1
 
 
+def _short(x: np.ndarray) -> bytes:
+    """The upper half of each float, rounded: sums to within 1 in 512."""
+    return ((x.astype(np.float32).view(np.uint32) + np.uint32(0x8000)) >> np.uint32(16)).astype(np.uint16).tobytes()
+
+
+def _long(b: bytes) -> np.ndarray:
+    """_short's, or whole floats, by their number."""
+    if len(b) == BLOCK * SLOTS * 2:
+        return (np.frombuffer(b, np.uint16).astype(np.uint32) << np.uint32(16)).view(np.float32).astype(np.float64)
+    return np.frombuffer(b, np.float32).astype(np.float64)
+
+
 class _Texts:
     """The tokens of a group's documents in the order of (id, text)."""
 
@@ -223,15 +239,15 @@ class _Texts:
         return [(int(bucket[a]), int(a), int(b)) for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
 
 
-def _dealt(docs: DataFrame, id_col: str, text_col: str, train: Column) -> tuple[DataFrame, int]:
-    """(id, text, train, grp) and the number of groups."""
+def _dealt(docs: DataFrame, id_col: str, text_col: str, train: Column) -> tuple[DataFrame, int, int]:
+    """(id, text, train, grp), the number of groups and about the bytes of all texts."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     total = size_bytes(docs) * 2
     if total > 1 << 58:  # no estimate
         total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunk = min(CHUNK_BYTES[1], int(CHUNK_BYTES[0] * max(1, (total / 2**30) ** (1 / 3))))
     groups = max(1, math.ceil(total / chunk))
-    return src.withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")), groups
+    return src.withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")), groups, total
 
 
 def count_words(dealt: DataFrame, groups: int) -> tuple[DataFrame, Vocabulary]:
@@ -259,7 +275,7 @@ def count_words(dealt: DataFrame, groups: int) -> tuple[DataFrame, Vocabulary]:
         cells = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("cells").to_pylist()])[first].astype(np.int64)
         mass = np.bincount(cells, weights=sums, minlength=TOPS).astype(np.int64)
         words = np.bincount(cells[sums > 0], minlength=TOPS)
-        best = np.lexsort((known, -sums))[:TOPS]
+        best = np.lexsort((known.view(np.int64), -sums, known != word_hash(END)))[:TOPS]  # as below
         tops = [{"h": int(known[i].astype(np.int64)), "n": int(sums[i]), "cell": int(cells[i])} for i in best if sums[i]]
         back = np.split(sums[where].astype(np.uint64), np.cumsum([len(x) for x in parts])[:-1])
         rows, bucket = len(back), key[0].as_py()
@@ -306,9 +322,11 @@ def step(model: MaxEnt, seen: list[np.ndarray], hoped: list[np.ndarray], rate: f
     return MaxEnt(new[0], new[1], model.bias, model.slot_bias)
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, rate: float = 0.35, ridge: float = 20.0) -> MaxEnt:
-    """docs: (id, text, train). Round k takes a step along the gradient of the training documents that a hash of the id deals to it."""
+def train(docs: DataFrame, vocabulary: Vocabulary, size: int, rounds: int = ROUNDS, rate: float = 0.5, ridge: float = 10.0) -> MaxEnt:
+    """docs: (id, text, train), of about size bytes. Round k takes a step along the gradient of the training documents that a hash of the id deals to it."""
     model, sc = start_model(vocabulary), docs.sparkSession.sparkContext
+    tasks = max(sc.defaultParallelism, -(-size // TASK_BYTES))
+    blocks, lots = (ROWS + SLOT_ROWS) // BLOCK, math.isqrt(tasks) + 1
     sizes = ((ROWS, CLASSES), (SLOT_ROWS, SLOTS))
     for k in range(rounds):
         shared = sc.broadcast((model, vocabulary.tops))  # of fixed size
@@ -317,14 +335,14 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, rate: f
             import pyarrow as pa
 
             now, tops = shared.value
-            known, total = _Cells(tops), _Gradient()
+            known, total = _Words(tops), _Gradient()
             waiting: list[np.ndarray] = []
 
             def flush() -> None:
                 if waiting:
-                    cells = np.concatenate(waiting)
+                    words = np.concatenate(waiting)
                     starts = np.cumsum([0, *(len(x) for x in waiting[:-1])])
-                    total.add(now, cells, feature_rows(cells, starts))
+                    total.add(now, words & 255, feature_rows(words, starts))
                     waiting.clear()
 
             held = 0
@@ -345,16 +363,22 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, rate: f
 
             sums: dict[int, list[np.ndarray]] = {}
             for batch in batches:
-                for block, *both in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    both = [np.frombuffer(x, np.float32).astype(np.float64) for x in both]
-                    sums[block] = [x + y for x, y in zip(sums[block], both, strict=True)] if block in sums else both
+                for block, *both in zip(*(batch.column(c).to_pylist() for c in ("block", "seen", "hoped")), strict=True):
+                    both = [_long(x) for x in both]
+                    if block in sums:
+                        for x, y in zip(sums[block], both, strict=True):
+                            x += y
+                    else:
+                        sums[block] = both
             for block, (s, h) in sums.items():
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([s.astype(np.float32).tobytes()], pa.binary()), pa.array([h.astype(np.float32).tobytes()], pa.binary())], names=["block", "seen", "hoped"])
 
         kind = "block int, seen binary, hoped binary"
         own = docs.where(F.col("train") & (F.pmod(F.xxhash64("id", F.lit(11)), F.lit(rounds)) == k)).select("text")
         seen, hoped = ([np.zeros(n) for n in sizes] for _ in range(2))
-        for r in own.mapInArrow(run, kind).repartition((ROWS + SLOT_ROWS) // BLOCK, "block").mapInArrow(add, kind).collect():  # the tables' fixed size
+        parts = own.coalesce(tasks).mapInArrow(run, kind).withColumn("lot", F.spark_partition_id() % lots)
+        sums = parts.repartition(max(blocks, tasks), "block", "lot").mapInArrow(add, kind).repartition(blocks, "block").mapInArrow(add, kind)
+        for r in sums.collect():  # the tables' fixed size
             table, at = (0, r["block"] * BLOCK) if r["block"] < ROWS // BLOCK else (1, (r["block"] - ROWS // BLOCK) * BLOCK)
             seen[table][at : at + BLOCK] = np.frombuffer(r["seen"], np.float32).reshape(-1, sizes[table][1])
             hoped[table][at : at + BLOCK] = np.frombuffer(r["hoped"], np.float32).reshape(-1, sizes[table][1])
@@ -372,9 +396,9 @@ def score_texts(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_
     are kept and counted each; without training rows all tokens are unknown; an empty table gives no
     rows. Words are told apart by 64-bit hashes. Extra columns are ignored.
     """
-    dealt, groups = _dealt(docs, id_col, text_col, train_on)
+    dealt, groups, total = _dealt(docs, id_col, text_col, train_on)
     counts, vocabulary = count_words(dealt, groups)
-    model = train(dealt, vocabulary, rounds)
+    model = train(dealt, vocabulary, total, rounds)
     buckets = max(1, groups // 8)
     shared = docs.sparkSession.sparkContext.broadcast((model, vocabulary))  # of fixed size
 
@@ -387,14 +411,15 @@ def score_texts(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_
         c = np.empty(len(t.words), np.int64)
         for bucket, i, j in t.slices(buckets):
             c[t.order[i:j]] = _unplanes(by_bucket[bucket], np.uint64).astype(np.int64)
-        known = _Cells(total.tops, 1 << 62)
-        cell = np.array([known[w] for w in t.words], np.int64)
+        known = _Words(total.tops, 1 << 62)
+        word = np.array([known[w] for w in t.words], np.int64)
+        cell = word & 255
         n, starts = len(t.sizes), np.concatenate([[0], np.cumsum(t.sizes)[:-1]]).astype(np.int64) if len(t.sizes) else np.zeros(0, np.int64)
         owner = np.repeat(np.arange(n), t.sizes)
         base = np.log10((c + 1) / (total.tokens + total.distinct + 1))
         inside = np.log((c + 1) / (total.mass[cell] + total.words[cell] + 1))
         cells = cell[t.flat]
-        lines = inside[t.flat] + log_cells(now, cells, feature_rows(cells, starts))
+        lines = inside[t.flat] + log_cells(now, cells, feature_rows(word[t.flat], starts))
         columns = [
             table.column("id").take(pa.array(t.rows, pa.int64())), table.column("train").take(pa.array(t.rows, pa.int64())), pa.array(t.sizes, pa.int64()),
             pa.array(np.bincount(owner, weights=(c > 0)[t.flat], minlength=n).astype(np.int64)), pa.array(np.full(n, total.tokens, np.int64)),

@@ -14,6 +14,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 from brindle.llm import components, decontam, license_rules, licenses, lm, mixing, quality, simhash, substring, toxicity, warc, webp
@@ -348,10 +349,74 @@ def test_lm_counts_and_normalisation(spark):
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(ws), sum(c[w] > 0 for w in ws), n)
         assert math.isclose(got[i].base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
         assert got[i].score < 0
+    twice = lm.score_texts(frame(spark, [(1, "a b"), (1, "a b"), (2, None), (2, "")]), F.col("doc_id") < 9).collect()
+    assert sorted((r.id, r.n_tokens, r.train_tokens) for r in twice) == [(1, 3, 8), (1, 3, 8), (2, 1, 8), (2, 1, 8)]
+    assert lm.score_texts(frame(spark, rows).limit(0), F.lit(True)).count() == 0
+    assert all(r.n_known == 0 for r in lm.score_texts(frame(spark, rows[:5]), F.lit(False)).collect())
+
+
+def chain(seed, n):
+    """Texts in which a word all but decides the next, over more words than have cells of their own."""
+    rng, out = random.Random(seed), []
+    for k in range(n):
+        w = [rng.randrange(400)]
+        for _ in range(120):
+            w.append((w[-1] * 7 + 3) % 400 if rng.random() < 0.9 else rng.randrange(400))
+        out.append((k, " ".join(f"q{x}{'aeiou'[x % 5]}" for x in w)))
+    return out
+
+
+def test_lm_learns_from_words_and_equals_a_sequential_model(spark):
+    rows = chain(1, 500)
+    got = {r.id: r for r in lm.score_texts(frame(spark, rows), crc_bucket("doc_id", 7) != 2).collect()}
+    held = [r for r in got.values() if not r.train]
+    tokens = sum(r.n_tokens for r in held)
+    assert sum(r.score - r.base_score for r in held) / tokens > 0.2
+
+    # the same model, step by step in one process, by plain loops over tokens
+    learn = {i: lm.tokens_of(t.encode()) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2}
+    count = collections.Counter(w for ws in learn.values() for w in ws)
+    order = sorted(count, key=lambda w: (w != lm.END, -count[w], lm.word_hash(w) - 2**64 if lm.word_hash(w) >= 2**63 else lm.word_hash(w)))
+    tops = {lm.word_hash(w): (i % (lm.CLASSES // 2)) * lm.SLOTS + i // (lm.CLASSES // 2) for i, w in enumerate(order[: lm.TOPS])}
+    words = lm._Words(tops)
+    mass, distinct = np.zeros(256, np.int64), np.zeros(256, np.int64)
+    for w, c in count.items():
+        mass[words[w] & 255] += c
+        distinct[words[w] & 255] += 1
+    model = lm.start_model(lm.Vocabulary(sum(count.values()), len(count), tops, mass, distinct))
+    rounds = {r.doc_id: r.k for r in spark.createDataFrame([(i,) for i in learn], "doc_id long").select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(lm.ROUNDS)).alias("k")).collect()}
+    sure = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    for k in range(lm.ROUNDS):
+        seen = [np.zeros(model.w.shape), np.zeros(model.v.shape)]
+        hoped = [np.zeros(model.w.shape), np.zeros(model.v.shape)]
+        for i, ws in learn.items():
+            if rounds[i] == k:
+                x = np.array([words[w] for w in ws])
+                rows_of = lm.feature_rows(x, np.array([0]))
+                for t, cell in enumerate(x & 255):
+                    c, own = cell // lm.SLOTS, rows_of[:, t]
+                    own2 = lm.slot_rows(rows_of[:, t : t + 1], np.array([c]))[:, 0]
+                    for table, at, weights, bias, target in ((0, own, model.w, model.bias, c), (1, own2, model.v, model.slot_bias[c], cell % lm.SLOTS)):
+                        p = sure(weights[at].sum(0) + bias)
+                        for r in at:
+                            seen[table][r, target] += 1
+                            hoped[table][r] += p
+        model = lm.step(model, seen, hoped, 0.5, 10.0)
+    for i, t in rows[:60]:
+        x = np.array([words[w] for w in lm.tokens_of(t.encode())])
+        at, score = lm.feature_rows(x, np.array([0])), 0.0
+        for j, (w, cell) in enumerate(zip(lm.tokens_of(t.encode()), x & 255, strict=True)):
+            c = cell // lm.SLOTS
+            score += math.log(sure(model.w[at[:, j]].sum(0) + model.bias)[c]) + math.log(sure(model.v[lm.slot_rows(at[:, j : j + 1], np.array([c]))[:, 0]].sum(0) + model.slot_bias[c])[cell % lm.SLOTS])
+            score += math.log((count[w] + 1) / (mass[cell] + distinct[cell] + 1))
+        assert math.isclose(got[i].score, score / math.log(10), rel_tol=0.005), (i, got[i].score, score / math.log(10), got[i].base_score)
+
+
+def test_lm_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     model = lm.MaxEnt(rng.normal(0, 1, (lm.ROWS, lm.CLASSES)).astype(np.float32), rng.normal(0, 1, (lm.SLOT_ROWS, lm.SLOTS)).astype(np.float32), np.zeros(lm.CLASSES, np.float32), np.zeros((lm.CLASSES, lm.SLOTS), np.float32))
     cells = np.arange(lm.CLASSES * lm.SLOTS)
-    rows_ = np.repeat(lm.feature_rows(np.array([3, 7, 250, 9]), np.array([0]))[:, -1:], len(cells), 1)
+    rows_ = np.repeat(lm.feature_rows(np.array([3, 7, 250, 9]) << 8, np.array([0]))[:, -1:], len(cells), 1)
     assert abs(np.exp(lm.log_cells(model, cells, rows_)).sum() - 1) < 1e-4
 
 
