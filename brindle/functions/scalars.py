@@ -91,3 +91,17 @@ def publish_ms(s: Column, origin_ms: int = 1465876799998) -> Column:
 def parse_ids(s: Column) -> Column:
     """A space list of integers as array<bigint>; null and empty texts give an empty array."""
     return F.transform(F.filter(F.split(F.coalesce(s, F.lit("")), " "), lambda x: x != ""), lambda x: x.cast("long"))
+
+
+def relu(x: Column) -> Column:
+    return F.greatest(x, F.lit(0.0))
+
+
+def linspace(first: Column, last: Column, points: int) -> Column:
+    """An array of points values from first to last at equal steps."""
+    return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: first + (last - first) * i / F.lit(points - 1))
+
+
+def prediction_name(made: Column, model: Column, score: Column) -> Column:
+    """yyyyMMdd-HHmm-model-score, the score with five places."""
+    return F.concat(F.date_format(made, "yyyyMMdd-HHmm"), F.lit("-"), model, F.lit("-"), F.format_string("%.5f", score))

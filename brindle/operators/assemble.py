@@ -79,13 +79,13 @@ def features(rows: DataFrame, profile: str) -> Column:
     return F.filter(F.concat(F.array(*out), *(F.coalesce(x, none) for x in lists)), lambda x: x.isNotNull())
 
 
-def with_counts(rows: DataFrame, base: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds {column}__tr and {column}__te: how many train and test rows of base have each column's value (null: none).
+def with_counts(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Adds {column}__tr and {column}__te for each column that counts, as features.count_pivots makes them, has as a feature: the train and test rows with the row's value (null: none).
 
-    base is the star join alone, so that each count reads only the tables its column needs.
+    counts should be stored: its size then decides between broadcast and sort-merge joins.
     """
-    for c in columns:
-        n = base.groupBy(c).agg(F.count_if(~F.col("is_test")).alias(f"{c}__tr"), F.count_if("is_test").alias(f"{c}__te"))
+    for c in sorted(r["feature"] for r in counts.select("feature").distinct().collect()):  # one row a column
+        n = counts.where(F.col("feature") == c).select(F.col("id").cast(rows.schema[c].dataType).alias(c), F.col("train_count").alias(f"{c}__tr"), F.col("test_count").alias(f"{c}__te"))
         rows = rows.join(n, c, "left")
     return rows
 

@@ -25,10 +25,23 @@ def count_pivots(rows: DataFrame, pivots: dict[str, str] | None = None) -> DataF
     return long.groupBy("feature", "id").agg(F.count_if(~F.col("is_test")).alias("train_count"), F.count_if("is_test").alias("test_count"))
 
 
+def strict_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of table (unique by key); a key that table lacks raises an error."""
+    found = table.withColumn("__found", F.lit(True))
+    missing = F.raise_error(F.concat(F.lit(f"no row for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean")
+    return rows.join(found, key, "left").where(F.when(F.col("__found"), F.lit(True)).otherwise(missing)).drop("__found")
+
+
 def encode_first_seen(rows: DataFrame, column: str, ordinal: str) -> DataFrame:
-    """(column, code): codes from 1 in the order of each value's first appearance. The dictionary is small beside the rows, which are only aggregated."""
-    first = rows.groupBy(column).agg(F.min(ordinal).alias("__first"))
-    return first.select(column, F.row_number().over(Window.orderBy("__first")).cast("long").alias("code"))
+    """(column, code): codes from 1 in the order of each value's first appearance. ordinal: an integer column.
+
+    Values are numbered within ranges of the ordinal; only a count for each range is put in order as a whole.
+    """
+    first = rows.groupBy(column).agg(F.min(ordinal).alias("__first")).withColumn("__b", F.floor(F.col("__first") / (1 << 14)))
+    sums = first.groupBy("__b").agg(F.count("*").alias("__n"))
+    starts = sums.select("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    numbered = first.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy("__first", column))).join(starts, "__b")
+    return numbered.select(column, (F.col("__r") + F.col("__start")).cast("long").alias("code"))
 
 
 def leak_viewed(rows: DataFrame, views: DataFrame) -> DataFrame:

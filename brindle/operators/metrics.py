@@ -52,3 +52,25 @@ def submission(rows: DataFrame, ties: list[str], top: int = 12) -> DataFrame:
 def logloss(rows: DataFrame, p: Column, eps: float = 1e-7) -> DataFrame:
     q = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), p))
     return rows.where("label >= 0").agg(F.round(F.avg(-F.when(F.col("label") > 0, F.log(q)).otherwise(F.log(1 - q))), 6).alias("logloss"), F.count("*").alias("rows"))
+
+
+def ad_mean_of_other_folds(rows: DataFrame, smooth: float = 10.0) -> DataFrame:
+    """(ad_id, fold, pred): ad_mean over the rows of the other folds. rows: ad_id, fold and a known label."""
+    own = rows.groupBy("ad_id", "fold").agg(F.sum("label").alias("s"), F.count("*").alias("n"))
+    every = Window.partitionBy("ad_id")
+    clicks, views = F.sum("s").over(every) - F.col("s"), F.sum("n").over(every) - F.col("n")
+    return own.select("ad_id", "fold", (clicks / (views + F.lit(smooth))).alias("pred"))
+
+
+def fold_scores(rows: DataFrame, predictions: DataFrame, eps: float = 1e-7) -> DataFrame:
+    """(fold, rows, logloss) of rows (ad_id, fold, label) under predictions (ad_id, fold, pred)."""
+    p = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.coalesce("pred", F.lit(0.0))))
+    return rows.join(predictions, ["ad_id", "fold"], "left").groupBy("fold").agg(F.count("*").alias("rows"), F.avg(-F.when(F.col("label") > 0, F.log(p)).otherwise(F.log(1 - p))).alias("logloss"))
+
+
+def bag_mean(bags: list[DataFrame], key: list[str]) -> DataFrame:
+    """(key, pred, pred_of_score): means over bags of predictions (key, pred) with probabilities between 0 and 1: of the probabilities, and the probability of the mean score."""
+    every = bags[0].select(*key, "pred")
+    for b in bags[1:]:
+        every = every.unionByName(b.select(*key, "pred"))
+    return every.groupBy(*key).agg(F.avg("pred").alias("pred"), (1 / (1 + F.exp(-F.avg(F.log(F.col("pred") / (1 - F.col("pred"))))))).alias("pred_of_score"))

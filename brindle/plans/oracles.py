@@ -211,14 +211,16 @@ def _export(profile: str) -> str:
     index = [f"CASE WHEN {on} THEN {i} ELSE 0 END" for _, on, i, _ in terms]
     norm = [f"CASE WHEN {on} THEN ({v}) * ({v}) ELSE 0 END" for _, on, _, v in terms]
     fields = [f"CASE WHEN {on} THEN {f} ELSE 0 END" for f, on, _, _ in terms]
+    cross = [f"CASE WHEN {on} THEN {f} * ({i}) ELSE 0 END" for f, on, i, _ in terms]
     noted = {7: "ev_categories", 36: "ad_categories", **({8: "ev_topics", 37: "ad_topics"} if profile == "f2" else {})}
     for f, c in {**HAS_LISTS[profile], **noted}.items():
         size = f"coalesce(len({c}), 0)"
         n.append(size)
         fields.append(f"{f} * {size}")
         index.append(f"coalesce(list_sum(list_transform({c}, lambda x: {hashed(f, 'x.id' if f in noted else 'x', off)})), 0)")
+        cross.append(f"{f} * {index[-1]}")
         norm.append(f"coalesce(list_sum(list_transform({c}, lambda x: x.conf * x.conf)), 0)" if f in noted else size)
-    return _asm(f"SELECT {ROW}, ({' + '.join(n)})::BIGINT AS n_features, round(({' + '.join(norm)})::DOUBLE, 6) AS norm, ({' + '.join(index)})::BIGINT AS index_sum, ({' + '.join(fields)})::BIGINT AS field_sum FROM cnt")
+    return _asm(f"SELECT {ROW}, ({' + '.join(n)})::BIGINT AS n_features, round(({' + '.join(norm)})::DOUBLE, 6) AS norm, ({' + '.join(index)})::BIGINT AS index_sum, ({' + '.join(fields)})::BIGINT AS field_sum, ({' + '.join(cross)})::BIGINT AS cross_sum FROM cnt")
 
 
 NOTED = " ".join(f"LEFT JOIN n_{k} {s}{k[0]} ON {s}{k[0]}.document_id = r.{s}_document_id" for k in ("categories", "topics", "entities") for s in ("ev", "ad"))
@@ -287,6 +289,27 @@ PAST, FUTURE = "UNBOUNDED PRECEDING AND 1 PRECEDING", "1 FOLLOWING AND UNBOUNDED
 CLICKED = "CASE WHEN label > 0 THEN ad_document_id END"
 BY_USERS = "mine AS (SELECT * FROM views WHERE uid IN (SELECT uid FROM displays))"
 
+FOLDS = f"""labelled AS (SELECT ad_id, label, {mix('display_id')} % 3 AS fold FROM clicks WHERE label >= 0),
+other AS (SELECT a.ad_id, a.fold, coalesce(sum(b.label), 0) / (count(b.ad_id) + 10.0::DOUBLE) pred FROM (SELECT DISTINCT ad_id, fold FROM labelled) a LEFT JOIN labelled b ON a.ad_id = b.ad_id AND a.fold <> b.fold GROUP BY ALL),
+foldscore AS (SELECT fold, count(*) AS rows, avg(-CASE WHEN label > 0 THEN ln(p) ELSE ln(1 - p) END) AS ll FROM (SELECT l.fold, l.label, greatest(1e-7::DOUBLE, least(1 - 1e-7::DOUBLE, pred)) p FROM labelled l JOIN other USING (ad_id, fold)) GROUP BY fold)"""
+MORE = {
+    "csv_round_trip": q("SELECT ad_id, ad_document_id AS document_id, campaign_id, NULL::BIGINT AS advertiser_id FROM ads"),
+    "lines_round_trip": f"SELECT line, count(*) AS n FROM ({_ffm()}) GROUP BY line",
+    "sparse_range": f"SELECT * FROM (SELECT {ROW}, n_features, (sum(n_features) OVER (ORDER BY {ROW}) - n_features)::BIGINT AS first_feature FROM ({_export('p1')})) WHERE first_feature BETWEEN 10000 AND 59999",
+    "predictions_round_trip": q(f"SELECT {ROW}, round(coalesce(pred, 0), 6) AS pred FROM clicks LEFT JOIN mean USING (ad_id)", MEAN),
+    "first_ad_of_display": q("SELECT display_id, min(ad_id) AS ad_id FROM clicks GROUP BY display_id"),
+    "ads_with_default": q("SELECT i AS ad_id, coalesce(d, 0) AS display_id FROM range((SELECT max(ad_id) + 50 FROM ads)) t(i) LEFT JOIN (SELECT ad_id, max(display_id) d FROM clicks GROUP BY ad_id) ON ad_id = i"),
+    "sorted_annotations": q("SELECT document_id, string_agg(id::VARCHAR || ':' || printf('%.6f', conf), ' ' ORDER BY id, conf) AS topics FROM topics GROUP BY document_id"),
+    "joined_strictly": q(f"SELECT {ROW}, ad_document_id, campaign_id FROM clicks JOIN ads USING (ad_id)"),
+    "fold_scores": q("SELECT fold, rows, round(ll, 6) AS logloss FROM foldscore", FOLDS),
+    "fold_summary": q("SELECT round(avg(ll), 6) AS mean, round(stddev_pop(ll), 6) AS std, count(*) AS folds FROM foldscore", FOLDS),
+    "bag_mean": q("SELECT ad_id, round(avg(p), 6) AS pred, round(1 / (1 + exp(-avg(ln(p / (1 - p))))), 6) AS pred_of_score FROM (SELECT ad_id, greatest(1e-7::DOUBLE, least(1 - 1e-7::DOUBLE, sum(label) / (count(*) + s))) p FROM clicks, (VALUES (5.0::DOUBLE), (10.0::DOUBLE), (20.0::DOUBLE)) t(s) WHERE label >= 0 GROUP BY ad_id, s) GROUP BY ad_id"),
+    "unit_functions": q("SELECT ad_id, (ad_id % 50 = 0)::INT AS nan, CASE WHEN ad_id % 50 = 0 THEN 0 ELSE sign(x) END::DOUBLE AS sgn, CASE WHEN ad_id % 50 = 0 OR x < 0 THEN 0 ELSE x END::DOUBLE AS relu, CASE WHEN ad_id % 50 = 0 THEN 0 ELSE round(1 / (1 + exp(-x)), 6) END::DOUBLE AS sigmoid FROM (SELECT ad_id, (ad_id % 21 - 10)::DOUBLE / 4 x FROM ads)"),
+    "time_grid": q("SELECT i::INT AS point, round(a + (b - a) * i / 199.0::DOUBLE, 3) AS value FROM (SELECT min(ts)::DOUBLE a, max(ts)::DOUBLE b FROM displays), range(200) t(i)"),
+    "prediction_names": q("SELECT fold, '20240102-0304-ad-mean-' || printf('%.5f', ll) AS name FROM foldscore", FOLDS),
+}
+
+
 ORACLE_SQL = {
     "entry_map12": q(f"SELECT round(avg(CASE WHEN r <= 12 THEN 1.0::DOUBLE / r ELSE 0 END), 6) AS map12, count(*) AS displays FROM (SELECT display_id, min(r) r FROM (SELECT *, row_number() OVER (PARTITION BY display_id ORDER BY pred DESC, {TIES}) r FROM scored) WHERE clicked = 1 GROUP BY display_id)", SCORED),
     "map12_pessimistic": _pessimistic(False),
@@ -339,3 +362,4 @@ ORACLE_SQL = {
     "ctr_logit_matrix": _matrix(),
     "streaming_past_views": q("SELECT epoch_ms(time_bucket(INTERVAL '3 hours', ts, TIMESTAMP '1970-01-01')) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL"),
 }
+ORACLE_SQL |= MORE

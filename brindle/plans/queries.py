@@ -9,6 +9,7 @@ from ..functions import scalars as S
 from ..operators import assemble, features, history, metrics, models
 from ..sources import adapters as A
 from ..sources import files
+from ..sources.shared import shared_dir, stored
 from ..streaming import counters
 
 ROW = A.ROW
@@ -41,7 +42,9 @@ def viewed(group: str, what: str):
 
 def viewed_weighted(group: str, kind: str, prefix: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return history.weighted_history(_rows(spark, d), A.annotations(spark, d, kind), GROUPS[group], ROW, prefix)
+        base = _stored(spark, d)
+        sums = history.weighted_history(base, A.annotations(spark, d, kind), GROUPS[group], KEY, prefix)
+        return base.select(*ROW, *KEY).join(sums, KEY).drop(*KEY)
 
     return run
 
@@ -129,7 +132,11 @@ def viewed_docs(group: list[str], cut: bool):
 
 
 def viewed_weight(group: list[str], cut: bool, kind: str, name: str):
-    return lambda spark, d: features.viewed_weight(A.star(spark, d), _views(spark, d, group, cut), A.annotations(spark, d, kind), group, ROW, name)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        base = _stored(spark, d)
+        return base.select(*ROW, *KEY).join(features.viewed_weight(base, _views(spark, d, group, cut), A.annotations(spark, d, kind), group, KEY, name), KEY).drop(*KEY)
+
+    return run
 
 
 def _by_users(spark: SparkSession, d: str) -> DataFrame:
@@ -241,18 +248,32 @@ def _noted(rows: DataFrame, spark: SparkSession, d: str, kinds: list[str]) -> Da
     return rows
 
 
+KEY = ["row_id"]
+
+
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    """The star join, written once, with a number for each row by which its features come together."""
+    return stored(_rows(spark, d).withColumn("row_id", F.monotonically_increasing_id()))
+
+
 def _assembled(spark: SparkSession, d: str, profile: str) -> DataFrame:
-    """What a profile's features read: each history joins by the row's key, each list and count by its own."""
-    base = A.star(spark, d)
-    rows = features.leak_viewed(features.rivals(base, [*TIES, "ship"]), A.page_views(spark, d))
-    rows = rows.withColumn("rival_ids", F.filter(S.parse_ids(F.col("rivals")), lambda x: x != F.col("ad_id")))
-    rows = features.viewed_docs(rows, _views(spark, d, ["uid"], True), A.documents(spark, d), ["uid"])
+    """What a profile's features read, all from one stored star join: each history joins by the row's number, each list and count by its own key.
+
+    Rows are dealt by uid once; that serves the windows of all histories by uid and a further key.
+    """
+    base = _stored(spark, d)
+    p, known = assemble.PROFILES[profile], _lists(spark, d)
+    counts = stored(features.count_pivots(base, {c: c for c, *_ in {**assemble.EVENT_IDS, **assemble.AD_IDS}.values()}))
+    rows = base.repartition("uid")
     for prefix, column in {**KEYS["ads"], **KEYS["ad_srcs"], "cmp": "campaign_id"}.items():
         rows = history.past_future(rows, ["uid", column], prefix)
+    rows = features.leak_viewed(rows, A.page_views(spark, d))
+    rows = features.viewed_docs(rows, _views(spark, d, ["uid"], True), A.documents(spark, d), ["uid"])
     for kind, prefix, name in (("categories", "cat", "category_view_weight"), ("topics", "top", "topic_view_weight")):
-        rows = rows.join(features.viewed_weight(base, _views(spark, d, ["uid"], True), A.annotations(spark, d, kind), ["uid"], ROW, name), ROW)
-        rows = rows.join(history.weighted_history(base, A.annotations(spark, d, kind), ["uid"], ROW, prefix), ROW)
-    p, known = assemble.PROFILES[profile], _lists(spark, d)
+        rows = rows.join(features.viewed_weight(base, _views(spark, d, ["uid"], True), A.annotations(spark, d, kind), ["uid"], KEY, name), KEY)
+        rows = rows.join(history.weighted_history(base, A.annotations(spark, d, kind), ["uid"], KEY, prefix), KEY)
+    shown = features.rivals(base.select(*ROW, *KEY), [*TIES, "ship"]).select(*KEY, "rival_count", "rivals")
+    rows = rows.join(shown, KEY).withColumn("rival_ids", F.filter(S.parse_ids(F.col("rivals")), lambda x: x != F.col("ad_id")))
     wanted: dict = {}
     for name in p["lists"].values():
         if name in known:
@@ -262,14 +283,14 @@ def _assembled(spark: SparkSession, d: str, profile: str) -> DataFrame:
         lists = table(spark, d).select(*keys, *(S.parse_ids(F.col(c)).alias(n) for n, c in columns.items()))
         rows = rows.join(lists, list(keys), "left")
     rows = _noted(rows, spark, d, ["categories", *(["topics"] if "topics" in p["parts"] else [])])
-    return assemble.with_counts(rows, base, [c for c, *_ in {**assemble.EVENT_IDS, **assemble.AD_IDS}.values()])
+    return assemble.with_counts(rows, counts)
 
 
 def export_binary(profile: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         out = assemble.dataset(_assembled(spark, d, profile), profile)
         total = lambda c: F.aggregate("features", F.lit(0).cast("long"), lambda s, f: s + f[c])
-        return out.select(*ROW, "n_features", F.round("norm", 6).alias("norm"), total("index").alias("index_sum"), total("field").alias("field_sum"))
+        return out.select(*ROW, "n_features", F.round("norm", 6).alias("norm"), total("index").alias("index_sum"), total("field").alias("field_sum"), F.aggregate("features", F.lit(0).cast("long"), lambda s, f: s + f["field"] * f["index"]).alias("cross_sum"))
 
     return run
 
@@ -285,11 +306,12 @@ def export_ffm(spark: SparkSession, d: str) -> DataFrame:
 
 
 def export_vw(spark: SparkSession, d: str) -> DataFrame:
-    base = A.star(spark, d)
-    rows = features.leak_viewed(base, A.page_views(spark, d))
+    base = _stored(spark, d)
+    rows = base.repartition("uid")
     for what in KEYS.values():
         for prefix, column in what.items():
             rows = history.past_future(rows, ["uid", column], prefix)
+    rows = features.leak_viewed(rows, A.page_views(spark, d))
     for kind, prefix in (("categories", "cat"), ("topics", "top"), ("entities", "ent")):
         both = features.similarity(base.select("ev_document_id", "ad_document_id"), A.annotations(spark, d, kind), "ev_document_id", "ad_document_id", prefix)
         rows = rows.join(both, ["ev_document_id", "ad_document_id"], "left")
@@ -298,12 +320,13 @@ def export_vw(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ctr_logit_matrix(spark: SparkSession, d: str) -> DataFrame:
-    rows = features.leak_viewed(features.rivals(_rows(spark, d), [*TIES, "ship"]), A.page_views(spark, d))
+    base = _stored(spark, d)
+    rows = features.leak_viewed(features.rivals(base, [*TIES, "ship"]), A.page_views(spark, d))
     for g in GROUPS:
         for prefix, column in (("ad_doc", "ad_document_id"), ("src", "ad_source_id")):
             rows = history.past_future(rows, [*GROUPS[g], column], f"{g}_{prefix}")
     for g, kind, prefix in (("uid", "topics", "top"), ("uid", "categories", "cat"), ("g2", "categories", "cat")):
-        rows = rows.join(history.weighted_history(_rows(spark, d), A.annotations(spark, d, kind), GROUPS[g], ROW, f"{g}_{prefix}"), ROW)
+        rows = rows.join(history.weighted_history(base, A.annotations(spark, d, kind), GROUPS[g], KEY, f"{g}_{prefix}"), KEY)
     return assemble.ctr_matrix(rows).select(*ROW, *(f"c{i}" for i in range(19)))
 
 
@@ -337,6 +360,95 @@ def stacked(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].select(*ROW, "pred").unionByName(parts[1].select(*ROW, "pred"))
 
 
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Ads written as gzip CSV and read back."""
+    path = shared_dir(spark)
+    files.write_csv(A.ads(spark, d).selectExpr("ad_id", "ad_document_id AS document_id", "campaign_id", "CAST(NULL AS BIGINT) AS advertiser_id"), path)
+    return files.read_csv(spark, path, "promoted_content")
+
+
+def lines_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the field-aware text format written as text and read back; how often each occurs."""
+    path = shared_dir(spark)
+    files.write_lines(export_ffm(spark, d), "line", path)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+def sparse_range(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the sparse dataset of profile p1 whose features begin within a range of offsets, read from its files."""
+    path = shared_dir(spark)
+    files.write_sparse(assemble.dataset(_assembled(spark, d, "p1"), "p1").select(*ROW, "features", "n_features"), path, ROW)
+    return files.read_sparse(spark, path, 10_000, 60_000).select(*ROW, "n_features", F.col("offset").alias("first_feature"))
+
+
+def predictions_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_dir(spark)
+    files.write_predictions(metrics.with_ad_mean(A.clicks(spark, d)), path, ROW)
+    return files.read_predictions(spark, path).select(*ROW, F.round("pred", 6).alias("pred"))
+
+
+def first_ad_of_display(spark: SparkSession, d: str) -> DataFrame:
+    """A keyed load in which the first row of a key wins."""
+    order = F.struct("ad_id", "supp_id", "line_no", "ship")
+    return files.unique_by(A.clicks(spark, d).select("display_id", "ad_id", order.alias("place")), "display_id", "place").select("display_id", "ad_id")
+
+
+def ads_with_default(spark: SparkSession, d: str) -> DataFrame:
+    """A dense load by id: the last row of a key wins, missing ids get defaults."""
+    last = files.unique_by(A.clicks(spark, d).select("ad_id", "display_id", F.struct("display_id", "supp_id", "line_no", "ship").alias("place")), "ad_id", "place", last=True)
+    ids = spark.range(A.ads(spark, d).agg(F.max("ad_id")).first()[0] + 50).withColumnRenamed("id", "ad_id")
+    return files.lookup(ids, last.select("ad_id", "display_id"), "ad_id", {"display_id": 0})
+
+
+def sorted_annotations(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's topics as one list in the order of their ids."""
+    lists = files.sorted_lists(A.annotations(spark, d, "topics"), "document_id", ["id", "conf"])
+    return lists.select("document_id", F.array_join(F.transform("items", lambda x: F.concat(x["id"].cast("string"), F.lit(":"), F.format_string("%.6f", x["conf"]))), " ").alias("topics"))
+
+
+def joined_strictly(spark: SparkSession, d: str) -> DataFrame:
+    """Clicks with their ads; a click without an ad would fail the query."""
+    return features.strict_join(A.clicks(spark, d), A.ads(spark, d), "ad_id").select(*ROW, "ad_document_id", "campaign_id")
+
+
+def _fold_scores(spark: SparkSession, d: str) -> DataFrame:
+    """(fold, rows, logloss): of each fold by display, the log loss of ad means counted on the other folds."""
+    rows = A.clicks(spark, d).where("label >= 0").withColumn("fold", F.pmod(S.mix32(F.col("display_id")), F.lit(3)))
+    return metrics.fold_scores(rows, metrics.ad_mean_of_other_folds(rows))
+
+
+def fold_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _fold_scores(spark, d).select("fold", "rows", F.round("logloss", 6).alias("logloss"))
+
+
+def fold_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and population standard deviation of the folds' scores."""
+    return _fold_scores(spark, d).agg(F.round(F.avg("logloss"), 6).alias("mean"), F.round(F.stddev_pop("logloss"), 6).alias("std"), F.count("*").alias("folds"))
+
+
+def bag_mean(spark: SparkSession, d: str) -> DataFrame:
+    """Each ad's mean probability over predictors of three smoothings, and the probability of their mean score."""
+    bags = [metrics.ad_mean(A.clicks(spark, d), smooth).select("ad_id", S.clip(F.col("pred")).alias("pred")) for smooth in (5.0, 10.0, 20.0)]
+    return metrics.bag_mean(bags, ["ad_id"]).select("ad_id", F.round("pred", 6).alias("pred"), F.round("pred_of_score", 6).alias("pred_of_score"))
+
+
+def unit_functions(spark: SparkSession, d: str) -> DataFrame:
+    x = (F.col("ad_id") % 21 - 10).cast("double") / 4
+    rows = A.ads(spark, d).withColumn("x", F.when(F.col("ad_id") % 50 == 0, F.lit(float("nan"))).otherwise(x))
+    return rows.select("ad_id", F.isnan("x").cast("int").alias("nan"), *(F.when(F.isnan("x"), F.lit(0.0)).otherwise(F.round(f(F.col("x")), 6)).alias(n) for n, f in (("sgn", F.signum), ("relu", S.relu), ("sigmoid", S.sigmoid))))
+
+
+def time_grid(spark: SparkSession, d: str) -> DataFrame:
+    """200 points from the first to the last display time, at equal steps."""
+    ends = A.displays(spark, d).agg(F.min("ts").cast("double").alias("a"), F.max("ts").cast("double").alias("b"))
+    return ends.select(F.posexplode(S.linspace(F.col("a"), F.col("b"), 200)).alias("point", "value")).select("point", F.round("value", 3).alias("value"))
+
+
+def prediction_names(spark: SparkSession, d: str) -> DataFrame:
+    """The name of each fold's predictions: time, model and score with five places."""
+    return _fold_scores(spark, d).select("fold", S.prediction_name(F.lit("2024-01-02 03:04:05").cast("timestamp"), F.lit("ad-mean"), F.col("logloss")).alias("name"))
+
+
 def streaming_past_views(spark: SparkSession, d: str) -> DataFrame:
     return counters.windowed_views(spark, d)
 
@@ -353,5 +465,7 @@ QUERIES = {
     "rivals": rivals, "similarity_categories": similarity("categories", "cat"), "similarity_topics": similarity("topics", "top"), "similarity_entities": similarity("entities", "ent"),
     "feature_hash": feature_hash, "rare_bucket": rare_bucket, "time_diffs": time_diffs, "geo_calendar": geo_calendar, "encode_first_seen": encode_first_seen, "publish_times": publish_times,
     "fold_assign": fold_assign, "logloss": logloss, "blend": blend, **{f"export_{p}": export_binary(p) for p in assemble.PROFILES}, "dataset_offsets": dataset_offsets, "export_ffm": export_ffm, "export_vw": export_vw, "ctr_logit_matrix": ctr_logit_matrix,
-    **{f"model_{k}": model(k) for k in ("ftrl", "ffm", "ffm_nn", "nn")}, **{f"model_{k}": ml_model(k) for k in ("lr", "gbt", "mlp")}, "model_stack": stacked, "streaming_past_views": streaming_past_views,
+    **{f"model_{k}": model(k) for k in ("ftrl", "ffm", "ffm_nn", "nn")}, **{f"model_{k}": ml_model(k) for k in ("lr", "gbt", "mlp")}, "model_stack": stacked,
+    **{f.__name__: f for f in (csv_round_trip, lines_round_trip, sparse_range, predictions_round_trip, first_ad_of_display, ads_with_default, sorted_annotations, joined_strictly, fold_scores, fold_summary, bag_mean, unit_functions, time_grid, prediction_names)},
+    "streaming_past_views": streaming_past_views,
 }
