@@ -292,7 +292,11 @@ BY_USERS = "mine AS (SELECT * FROM views WHERE uid IN (SELECT uid FROM displays)
 FOLDS = f"""labelled AS (SELECT ad_id, label, {mix('display_id')} % 3 AS fold FROM clicks WHERE label >= 0),
 other AS (SELECT a.ad_id, a.fold, coalesce(sum(b.label), 0) / (count(b.ad_id) + 10.0::DOUBLE) pred FROM (SELECT DISTINCT ad_id, fold FROM labelled) a LEFT JOIN labelled b ON a.ad_id = b.ad_id AND a.fold <> b.fold GROUP BY ALL),
 foldscore AS (SELECT fold, count(*) AS rows, avg(-CASE WHEN label > 0 THEN ln(p) ELSE ln(1 - p) END) AS ll FROM (SELECT l.fold, l.label, greatest(1e-7::DOUBLE, least(1 - 1e-7::DOUBLE, pred)) p FROM labelled l JOIN other USING (ad_id, fold)) GROUP BY fold)"""
+BRANDS = """brands AS (SELECT p_brand, mid, count(*) n, count(*) FILTER (p_size < 25) n1 FROM (SELECT p_brand, p_size, floor(avg(p_retailprice) OVER (PARTITION BY p_brand)) mid FROM part) GROUP BY ALL HAVING n1 > 0)"""
 MORE = {
+    "tree_importances": f"""WITH {BRANDS} SELECT NULL::DOUBLE AS value, 'size' AS feature, count(*)::DOUBLE AS fscore, sum(n)::DOUBLE AS gain FROM brands
+      UNION ALL SELECT NULL, 'price', round(sum(n1 / n::DOUBLE), 6), round(sum(n1 / n::DOUBLE * n1), 6) FROM brands UNION ALL SELECT 10, 'price', count(*)::DOUBLE, sum(n1)::DOUBLE FROM brands""",
+    "tree_splits": f"WITH {BRANDS} SELECT mid::DOUBLE AS value, count(*) AS n FROM brands GROUP BY mid",
     "csv_round_trip": q("SELECT ad_id, ad_document_id AS document_id, campaign_id, NULL::BIGINT AS advertiser_id FROM ads"),
     "lines_round_trip": f"SELECT line, count(*) AS n FROM ({_ffm()}) GROUP BY line",
     "sparse_range": f"SELECT * FROM (SELECT {ROW}, n_features, (sum(n_features) OVER (ORDER BY {ROW}) - n_features)::BIGINT AS first_feature FROM ({_export('p1')})) WHERE first_feature BETWEEN 10000 AND 59999",

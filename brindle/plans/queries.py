@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import assemble, features, history, metrics, models
+from ..operators import assemble, features, history, metrics, models, trees
 from ..sources import adapters as A
 from ..sources import files
 from ..sources.shared import shared_dir, stored
@@ -449,6 +449,30 @@ def prediction_names(spark: SparkSession, d: str) -> DataFrame:
     return _fold_scores(spark, d).select("fold", S.prediction_name(F.lit("2024-01-02 03:04:05").cast("timestamp"), F.lit("ad-mean"), F.col("logloss")).alias("name"))
 
 
+def _tree_dump(spark: SparkSession, d: str) -> DataFrame:
+    """Trees read from a dump that is written with one tree for each brand: split by size, small parts by price."""
+    small, cheap = F.col("p_size") < 25, F.col("p_retailprice") < F.col("mid")
+    parts = A.table(spark, d, "part")
+    parts = parts.join(parts.groupBy("p_brand").agg(F.floor(F.avg("p_retailprice")).alias("mid")), "p_brand")
+    brands = parts.groupBy("p_brand", "mid").agg(F.count("*").alias("n"), F.count_if(small).alias("n1"), F.count_if(small & cheap).alias("n3")).where("n1 > 0")
+    lines = ["booster[%s]:", "0:[size<25] yes=1,no=2,missing=1,gain=%d,cover=%d", "1:[price<%d] yes=3,no=4,missing=3,gain=%d,cover=%d", "2:leaf=0.1,cover=%d", "3:leaf=0.2,cover=%d", "4:leaf=0.3,cover=%d"]
+    number = F.regexp_extract("p_brand", "([0-9]+)", 1)
+    path = shared_dir(spark)
+    brands.select(F.format_string("\n".join(lines), number, "n", "n", "mid", "n1", "n1", F.col("n") - F.col("n1"), "n3", F.col("n1") - F.col("n3")).alias("value")).write.text(path)
+    return trees.read_dump(spark, path)
+
+
+def tree_importances(spark: SparkSession, d: str) -> DataFrame:
+    """Expected use and gain by feature, and with size held at 10 and 40."""
+    dump = _tree_dump(spark, d)
+    both = trees.importances(dump).unionByName(trees.importances(dump, "size", [10.0, 40.0]))
+    return both.select("value", "feature", F.round("fscore", 6).alias("fscore"), F.round("gain", 6).alias("gain"))
+
+
+def tree_splits(spark: SparkSession, d: str) -> DataFrame:
+    return trees.split_values(_tree_dump(spark, d), "price")
+
+
 def streaming_past_views(spark: SparkSession, d: str) -> DataFrame:
     return counters.windowed_views(spark, d)
 
@@ -466,6 +490,6 @@ QUERIES = {
     "feature_hash": feature_hash, "rare_bucket": rare_bucket, "time_diffs": time_diffs, "geo_calendar": geo_calendar, "encode_first_seen": encode_first_seen, "publish_times": publish_times,
     "fold_assign": fold_assign, "logloss": logloss, "blend": blend, **{f"export_{p}": export_binary(p) for p in assemble.PROFILES}, "dataset_offsets": dataset_offsets, "export_ffm": export_ffm, "export_vw": export_vw, "ctr_logit_matrix": ctr_logit_matrix,
     **{f"model_{k}": model(k) for k in ("ftrl", "ffm", "ffm_nn", "nn")}, **{f"model_{k}": ml_model(k) for k in ("lr", "gbt", "mlp")}, "model_stack": stacked,
-    **{f.__name__: f for f in (csv_round_trip, lines_round_trip, sparse_range, predictions_round_trip, first_ad_of_display, ads_with_default, sorted_annotations, joined_strictly, fold_scores, fold_summary, bag_mean, unit_functions, time_grid, prediction_names)},
+    **{f.__name__: f for f in (csv_round_trip, lines_round_trip, sparse_range, predictions_round_trip, first_ad_of_display, ads_with_default, sorted_annotations, joined_strictly, fold_scores, fold_summary, bag_mean, unit_functions, time_grid, prediction_names, tree_importances, tree_splits)},
     "streaming_past_views": streaming_past_views,
 }
