@@ -1,8 +1,10 @@
 """Models over sparse features: FTRL-proximal regression, field-aware factorization machine, its network variant and an embedding network; baselines from pyspark.ml.
 
-Training is by averaged parameters: each task runs mini-batch steps over its rows from the same start,
-and the averages start the next epoch. Parameters have a fixed size, whatever the data. Tasks are
-numbered by a fixed number of partitions, so results don't depend on the cluster.
+Training is by averaged parameters: each task runs steps over its rows from the same start, and the
+averages start the next epoch, for which rows are dealt and ordered anew by a seeded hash. Parameters
+have a fixed size, whatever the data; the number of tasks follows the number of rows, so results don't
+depend on the cluster. Layers and factors are as wide as usual for these models; the slots into which
+features are hashed are fewer (SLOT_BITS), so that a task's parameters stay at some 20 MB.
 """
 
 from __future__ import annotations
@@ -14,7 +16,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .metrics import logloss
+
 FIELDS = 40
+#: Hashed slots, as bits, and factors of each kind unless given.
+SLOT_BITS = {"ftrl": 20, "ffm": 12, "ffm_nn": 12, "nn": 14}
+FACTORS = {"ftrl": 0, "ffm": 14, "ffm_nn": 16, "nn": 96}
+HIDDEN = {"ffm_nn": (24,), "nn": (64, 48)}
+#: Rows of a task in an epoch, about.
+PART_ROWS = 20_000
+#: Of FTRL-proximal steps.
+ALPHA, BETA, L1, L2 = 1.0, 2.0, 2e-4, 5e-4
 
 
 @dataclass
@@ -24,6 +36,8 @@ class Params:
     bits: int = 12
     k: int = 4
     restricted: bool = False
+    #: Of each epoch: the mean log loss of training rows as they were learned, and that of the validation rows after it (or None).
+    losses: tuple = ()
 
 
 #: Restricted pairs hold a feature of the page or common fields and one of the common or ad fields.
@@ -32,14 +46,16 @@ LAST_LOW, FIRST_HIGH = 29, 10
 
 def _start(kind: str, bits: int, k: int, seed: int = 2017) -> Params:
     rng, n = np.random.default_rng(seed), 1 << bits
+    layer = lambda *shape: rng.normal(0, np.sqrt(2 / shape[0]), shape)
     if kind == "ftrl":
         a = {"z": np.zeros(n), "n": np.zeros(n)}
     elif kind == "nn":
-        a = {"e": rng.normal(0, 0.1, (n, 8)), "w1": rng.normal(0, 0.3, (8, 16)), "w2": rng.normal(0, 0.3, 16), "b": np.zeros(1)}
+        one, two = HIDDEN["nn"]
+        a = {"e": rng.normal(0, 0.1, (n, k)), "w1": layer(k, one), "w2": layer(one, two), "w3": layer(two), "b": np.zeros(1)}
     else:
         a = {"w": np.zeros(n), "v": rng.uniform(0, 1 / np.sqrt(k), (n, FIELDS, k)), "b": np.zeros(1)}
         if kind == "ffm_nn":
-            a |= {"w1": rng.normal(0, 0.3, (k, 8)), "w2": rng.normal(0, 0.3, 8)}
+            a |= {"w1": layer(k, *HIDDEN["ffm_nn"]), "w2": layer(*HIDDEN["ffm_nn"])}
     return Params(kind, a, bits, k)
 
 
@@ -56,9 +72,9 @@ def _sigmoid(t: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(t, -30, 30))))
 
 
-def _weights(p: Params, i: np.ndarray, alpha=0.1, beta=2.0, l1=2e-4, l2=5e-4) -> np.ndarray:
+def _weights(p: Params, i: np.ndarray) -> np.ndarray:
     z, n = p.arrays["z"][i], p.arrays["n"][i]
-    return np.where(np.abs(z) < l1, 0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
+    return np.where(np.abs(z) < L1, 0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
 def _forward(p: Params, x, drop_log: int = 0, rng=None) -> tuple[float, dict]:
@@ -70,7 +86,8 @@ def _forward(p: Params, x, drop_log: int = 0, rng=None) -> tuple[float, dict]:
     if p.kind == "nn":
         h0 = np.maximum((a["e"][i] * v[:, None]).sum(0) / max(1, len(i)), 0)
         h1 = np.maximum(h0 @ a["w1"], 0)
-        return float(h1 @ a["w2"] + a["b"][0]), {"h0": h0, "h1": h1}
+        h2 = np.maximum(h1 @ a["w2"], 0)
+        return float(h2 @ a["w3"] + a["b"][0]), {"h0": h0, "h1": h1, "h2": h2}
     s, t = np.triu_indices(len(i), 1)
     if p.restricted:
         on = (np.minimum(field[s], field[t]) <= LAST_LOW) & (np.maximum(field[s], field[t]) >= FIRST_HIGH)
@@ -91,17 +108,17 @@ def _forward(p: Params, x, drop_log: int = 0, rng=None) -> tuple[float, dict]:
     return linear + float(h1 @ a["w2"]), {"s": s, "t": t, "left": left, "right": right, "c": c, "h0": h0, "h1": h1}
 
 
-def _update(p: Params, x, y: float, eta: float, l2: float, sums: dict, drop_log: int = 0, rng=None) -> None:
-    """One step of adaptive gradient descent (FTRL-proximal for ftrl)."""
+def _update(p: Params, x, y: float, eta: float, l2: float, sums: dict, drop_log: int = 0, rng=None) -> float:
+    """One step of adaptive gradient descent (FTRL-proximal for ftrl); the row's log loss before it."""
     field, i, v = x
     a = p.arrays
     t, m = _forward(p, x, drop_log, rng)
-    g = _sigmoid(t) - y
+    g, loss = _sigmoid(t) - y, float(np.logaddexp(0, -t if y > 0 else t))
     if p.kind == "ftrl":
         grad, w, n = g * v, _weights(p, i), a["n"][i]
-        np.add.at(a["z"], i, grad - (np.sqrt(n + grad**2) - np.sqrt(n)) / 0.1 * w)
+        np.add.at(a["z"], i, grad - (np.sqrt(n + grad**2) - np.sqrt(n)) / ALPHA * w)
         np.add.at(a["n"], i, grad**2)
-        return
+        return loss
 
     def move(name: str, at, grad) -> None:
         grad = grad + l2 * a[name][at]
@@ -109,13 +126,15 @@ def _update(p: Params, x, y: float, eta: float, l2: float, sums: dict, drop_log:
         a[name][at] -= eta * grad / np.sqrt(sums[name][at])
 
     if p.kind == "nn":
-        d1 = g * a["w2"] * (m["h1"] > 0)
+        d2 = g * a["w3"] * (m["h2"] > 0)
+        d1 = (a["w2"] @ d2) * (m["h1"] > 0)
         d0 = (a["w1"] @ d1) * (m["h0"] > 0)
-        move("w2", slice(None), g * m["h1"])
+        move("w3", slice(None), g * m["h2"])
+        move("w2", slice(None), np.outer(m["h1"], d2))
         move("w1", slice(None), np.outer(m["h0"], d1))
         move("e", i, d0[None, :] * v[:, None] / max(1, len(i)))
         move("b", slice(None), np.array([g]))
-        return
+        return loss
     move("w", i, g * v / max(1, len(i)))
     move("b", slice(None), np.array([g]))
     each = np.full(p.k, g)
@@ -126,15 +145,22 @@ def _update(p: Params, x, y: float, eta: float, l2: float, sums: dict, drop_log:
         move("w1", slice(None), np.outer(m["h0"], d1))
     move("v", (i[m["s"]], field[m["t"]]), each * m["right"] * m["c"][:, None])
     move("v", (i[m["t"]], field[m["s"]]), each * m["left"] * m["c"][:, None])
+    return loss
+
 
+def fit(rows: DataFrame, kind: str, epochs: int = 1, eta: float | None = None, l2: float = 2e-5, bits: int | None = None, k: int | None = None, parts: int | None = None, seed: int = 2017, drop_log: int = 1, restricted: bool = False, val: DataFrame | None = None) -> Params:
+    """kind: ftrl, ffm, ffm_nn or nn. rows: label (negative: not trained on) and features. drop_log and restricted are about the pairs of ffm and ffm_nn.
 
-def fit(rows: DataFrame, kind: str, epochs: int = 1, eta: float = 0.2, l2: float = 2e-5, bits: int = 12, k: int = 4, parts: int = 8, seed: int = 2017, drop_log: int = 1, restricted: bool = False) -> Params:
-    """kind: ftrl, ffm, ffm_nn or nn. rows: label (negative: not trained on) and features. drop_log and restricted are about the pairs of ffm and ffm_nn."""
-    params, sc = _start(kind, bits, k, seed), rows.sparkSession.sparkContext
-    params.restricted = restricted
-    data = rows.where("label >= 0").select("label", "features", F.xxhash64("features", "label").alias("h")).repartition(parts, "h").sortWithinPartitions("h")
+    Losses of each epoch are in the result's losses; val: rows on which each epoch's model is tried.
+    """
+    params, sc = _start(kind, bits or SLOT_BITS[kind], k or FACTORS[kind], seed), rows.sparkSession.sparkContext
+    eta = eta or {"ffm": 0.2, "ffm_nn": 0.05, "nn": 0.02}.get(kind, 0.0)
+    params.restricted, losses = restricted, []
+    known = rows.where("label >= 0").select("label", "features")
+    parts = parts or max(1, -(-known.count() // PART_ROWS))
     for epoch in range(epochs):
         shared = sc.broadcast(params)
+        data = known.withColumn("h", F.xxhash64("features", "label", F.lit(seed), F.lit(epoch))).repartition(parts, "h").sortWithinPartitions("h")
 
         def run(batches: Iterator, shared=shared, epoch=epoch) -> Iterator:
             import pyarrow as pa
@@ -142,13 +168,14 @@ def fit(rows: DataFrame, kind: str, epochs: int = 1, eta: float = 0.2, l2: float
 
             p = Params(shared.value.kind, {n: x.copy() for n, x in shared.value.arrays.items()}, shared.value.bits, shared.value.k, shared.value.restricted)
             rng = np.random.default_rng([seed, epoch, TaskContext.get().partitionId()])
-            sums, seen = {n: np.ones_like(x) for n, x in p.arrays.items()}, 0
+            sums, seen, loss = {n: np.ones_like(x) for n, x in p.arrays.items()}, 0, 0.0
             for batch in batches:
                 for y, x in zip(batch.column(0).to_pylist(), _sparse(batch.column(1).to_pylist(), p.bits), strict=True):
-                    _update(p, x, y, eta, l2, sums, drop_log, rng)
+                    loss += _update(p, x, y, eta, l2, sums, drop_log, rng)
                     seen += 1
-            for name, x in p.arrays.items():
-                if seen:
+            if seen:
+                p.arrays["loss"] = np.array([loss / seen])
+                for name, x in p.arrays.items():
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([seen], pa.int64()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], names=["name", "n", "x"])
 
         total: dict[str, list] = {}
@@ -157,7 +184,12 @@ def fit(rows: DataFrame, kind: str, epochs: int = 1, eta: float = 0.2, l2: float
             old = total.get(r["name"])
             total[r["name"]] = [x if old is None else old[0] + x, r["n"] + (0 if old is None else old[1])]
         if total:
-            params = Params(kind, {n: (total[n][0] / total[n][1]).reshape(a.shape) for n, a in params.arrays.items()}, bits, k, restricted)
+            mean = {n: x / count for n, (x, count) in total.items()}
+            params = Params(kind, {n: mean[n].reshape(a.shape) for n, a in params.arrays.items()}, params.bits, params.k, restricted)
+            tried = None if val is None else logloss(predict(params, val), F.col("pred")).first()["logloss"]
+            losses.append((float(mean["loss"][0]), tried))
+        shared.destroy()
+    params.losses = tuple(losses)
     return params
 
 

@@ -1,5 +1,6 @@
 """Operators on small literal tables."""
 
+import math
 import sys
 from pathlib import Path
 
@@ -72,6 +73,34 @@ def test_models_with_bags_and_restricted_pairs(spark):
     assert all(abs((a + b) / 2 - c) < 1e-9 for a, b, c in zip(one, other, both, strict=True)) and scored[1] > scored[0]
 
 
+def test_model_losses_fall_and_ftrl_equals_plain_steps(spark):
+    rows = [(i, i % 2, [{"field": 0, "index": i % 2, "value": 1.0}, {"field": 1, "index": i % 7, "value": 0.5}]) for i in range(300)] + [(999, -1, [{"field": 0, "index": 1, "value": 1.0}])]
+    df = spark.createDataFrame(rows, "i long, label long, features array<struct<field: int, index: long, value: double>>")
+    for kind in ("ftrl", "ffm", "ffm_nn", "nn"):
+        p = models.fit(df, kind, epochs=3, bits=8, k=4, parts=1, val=df)
+        assert len(p.losses) == 3 and p.losses[-1][0] < p.losses[0][0] and p.losses[-1][1] < 0.7, kind
+    order = df.where("label >= 0").select("label", "features", F.xxhash64("features", "label", F.lit(2017), F.lit(0)).alias("h")).orderBy("h").collect()
+    z, n, slot = {}, {}, lambda f: ((f["index"] * 0x9E3779B1 + f["field"] * 0x85EBCA6B) >> 7) % 256
+    weight = lambda j: 0.0 if abs(z.get(j, 0)) < 2e-4 else ((1 if z[j] > 0 else -1) * 2e-4 - z[j]) / ((2.0 + n[j] ** 0.5) / 1.0 + 5e-4)
+    for r in order:
+        t = sum(weight(slot(f)) * f["value"] for f in r.features)
+        g = 1 / (1 + math.exp(-t)) - r.label
+        for j, v, w in [(slot(f), f["value"], weight(slot(f))) for f in r.features]:
+            old = n.get(j, 0.0)
+            n[j] = old + (g * v) ** 2
+            z[j] = z.get(j, 0.0) + g * v - (n[j] ** 0.5 - old**0.5) * w
+    p = models.fit(df, "ftrl", bits=8, parts=1)
+    assert all(abs(p.arrays["z"][j] - z[j]) < 1e-3 and abs(p.arrays["n"][j] - n[j]) < 1e-3 for j in z)
+
+
+def test_strict_join_names_a_missing_key(spark):
+    table = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    assert {(r.k, r.v) for r in features.strict_join(spark.createDataFrame([(1,), (2,), (1,)], "k long"), table, "k").collect()} == {(1, "a"), (2, "b")}
+    for missing in (3, None):
+        with pytest.raises(Exception, match="no row for k"):
+            features.strict_join(spark.createDataFrame([(1,), (missing,)], "k long"), table, "k").collect()
+
+
 DUMP = """booster[0]:
 0:[time<5.5] yes=1,no=2,missing=1,gain=10,cover=100
 1:[ad<2] yes=3,no=4,missing=3,gain=4,cover=40
