@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes, with_key
+from .common import text_bytes
 
 STATS = ("log_words", "word_length", "upper", "digits", "marks", "symbols", "bars", "exclaims", "white", "high", "distinct", "repeats", "top_word", "long_words", "line_words", "same_lines", "sentence")
 #: No more labelled rows than this are taken for fitting, those with the least hash of their id.
@@ -166,13 +166,23 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 
 def score_quality(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """(id, the statistics, score double, predicted int) for each row of docs; null texts score as empty ones. Extra columns are ignored."""
+    """(id, the statistics, score double, predicted int) for each row of docs. Null texts score as empty ones, whose statistics are all zero; repeated rows are kept; an empty table gives no rows. Extra columns are ignored."""
     scored = with_statistics(docs, id_col, text_col).withColumn("score", model.score())
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_quality(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """docs without those that score below threshold. A rejected id goes with all its rows; rows with a null id are judged one by one."""
-    keyed = with_key(docs, id_col, "__key")
-    gone = score_quality(keyed, model, "__key", text_col, threshold).where("predicted = 0").select(F.col("id").alias("__key")).distinct()
-    return keyed.join(gone, "__key", "left_anti").drop("__key")
+    """docs, all columns, without the rows that score below threshold; each row is judged by its own text, whatever its id. Null texts score as empty ones; an empty table gives no rows."""
+    at, columns = docs.columns.index(text_col), [f"c{i}" for i in range(len(docs.columns))]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        classes = _classes()
+        for batch in batches:
+            m = np.array([statistics(t, classes) for t in text_bytes(batch.column(at))], np.float64).reshape(-1, len(STATS))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(m[:, i])) for i in range(len(STATS)))], names=[*columns, *STATS])
+
+    fields = [*(f"{n} {f.dataType.simpleString()}" for n, f in zip(columns, docs.schema.fields, strict=True)), *(f"{s} double" for s in STATS)]
+    scored = docs.toDF(*columns).mapInArrow(run, ", ".join(fields))
+    return scored.where(model.score() >= threshold).select(*(F.col(n).alias(c) for n, c in zip(columns, docs.columns, strict=True)))
