@@ -20,7 +20,7 @@ from itertools import compress
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, text_bytes
+from .common import ALNUM, keep, text_bytes
 
 #: Bytes of item text in a block of the index.
 BLOCK_BYTES = 8 << 20
@@ -111,7 +111,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     span = "array<array<int>>"
     state = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(None).cast(span).alias("spans"), F.lit(None).cast("array<string>").alias("items"))
     schema = state.schema
-    for block in _blocks(items, block_bytes):
+    for k, block in enumerate(_blocks(items, block_bytes)):
+        state = keep(state) if k else state  # a pass's index is gone before the next one's is made
         shared = docs.sparkSession.sparkContext.broadcast(_index(block, window, docs, text_col))
 
         def run(batches: Iterator, shared=shared) -> Iterator:
@@ -134,9 +135,10 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, all columns, whose text has no window of an item (as find_contamination judges)."""
+    """The rows of docs, all columns, whose text has no window of an item (as find_contamination judges). Null texts stay, repeated rows are judged alike; an empty table gives no rows."""
     column = docs.columns.index(text_col)
-    for block in _blocks(items, block_bytes):
+    for k, block in enumerate(_blocks(items, block_bytes)):
+        docs = keep(docs) if k else docs
         shared = docs.sparkSession.sparkContext.broadcast(_index(block, window, docs, text_col))
 
         def run(batches: Iterator, shared=shared) -> Iterator:
