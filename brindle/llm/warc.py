@@ -158,7 +158,7 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     src = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload")).withColumn("digest", F.sha2("payload", 256))
     ids = src.select("id", "url", "digest", F.octet_length("payload").alias("n")).where(f"n >= {LEAST_BYTES}")
     first = ids.where("id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("id", "url")).alias("first"), F.max("id").alias("last")).where("first.id < last").drop("last")
-    again = ids.select("id", "digest").join(first, "digest").where("id <> first.id").select("id", "digest", "first").distinct()
+    again = ids.select("id", "digest").distinct().join(first, "digest").where("id <> first.id").select("id", "digest", "first")
     rows = src.join(again, ["id", "digest"], "left").select("id", "url", "payload", "digest", F.col("first.id").alias("first"), F.col("first.url").alias("first_url"))
 
     def write(batches: Iterator) -> Iterator:
