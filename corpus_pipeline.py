@@ -1,7 +1,10 @@
 """From raw documents to a training mix: five stages, each written and read again by run().
 
-Not expressible in SQL as a whole (a fitted classifier and fingerprint links), so ORACLE_SQL is None
-and tests hold each stage against a brute-force version.
+Not expressible in SQL as a whole (a fitted classifier and fingerprint links), so ORACLE_SQL is None;
+tests/llm holds each stage, on documents with nulls, empty, long and repeated rows and clashing column
+names, against a plain version. Stages judge rows by their own texts: null and empty texts are scored and
+linked like others, rows of one id stay apart (near duplicates keep or drop rows of one id together),
+rows without an id count after all others. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -9,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm import decontam, mixing, quality, simhash, substring
-from brindle.llm.common import crc_bucket, keep
+from brindle.llm.common import crc_bucket, discard, keep, shared_dir
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble rejects (score below 0.3) go; fitted on the labelled rows, less a held-out fifth."""
+    """Rows that the rule ensemble rejects (score below 0.3) go; fitted on the labelled rows, less a held-out fifth."""
     labels, raw = spark.read.parquet(f"{sf_dir}/labels.parquet"), spark.read.parquet(f"{sf_dir}/documents.parquet")
     return quality.keep_quality(docs, quality.fit_quality(raw, labels, use=crc_bucket("doc_id", 5) != 0))
 
@@ -49,8 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; what a stage wrote is deleted once the next one's is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir))
+        folder = shared_dir(spark)
+        docs = keep(stage(spark, docs, sf_dir), folder)
+        if last:
+            discard(spark, last)
+        last = folder
     return docs
