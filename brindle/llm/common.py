@@ -35,23 +35,28 @@ def keep(df: DataFrame, scratch: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Keys of rows without an id start above the greatest id; partitions take 2^33 of them each.
+#: Keys of rows without an id of their own start above the greatest id; partitions take 2^33 of them each.
 KEYS = 1 << 62
 
 
 def with_key(docs: DataFrame, id_col: str, key: str) -> DataFrame:
-    """docs with a long column key: the id, or for each row without one a number of its own above all ids.
+    """docs with a long column key of its own for each row: the id, or a number above all ids for rows without one and for all but one of the rows of an id.
 
-    Rows without an id are written once, so that their numbers stay. Ids of 2^62 and more fail beside such rows.
+    Such rows are written once, so that their numbers stay. Ids of 2^62 and more fail beside them.
     """
     known = docs.withColumn(key, F.col(id_col).cast("long"))
     last, bare = known.agg(F.max(key), F.count(F.when(F.col(key).isNull(), 1))).first()
-    if not bare:
+    again = keep(known.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key))
+    if not bare and again.isEmpty():
         return known
     if (last or 0) >= KEYS:
-        raise ValueError(f"no numbers are left above id {last} for rows without an id")
-    numbered = keep(known.where(F.col(key).isNull()).withColumn(key, F.monotonically_increasing_id() + F.lit(max(0, (-1 if last is None else last) + 1)).cast("long")))
-    return known.where(F.col(key).isNotNull()).unionByName(numbered)
+        raise ValueError(f"no numbers are left above id {last} for rows without an id of their own")
+    number, first = f"{key}_number", f"{key}_first"
+    apart = known.where(F.col(key).isNull()).unionByName(known.join(again, key, "left_semi").select(known.columns))
+    apart = keep(apart.withColumn(number, F.monotonically_increasing_id() + F.lit(max(0, (-1 if last is None else last) + 1)).cast("long")))
+    firsts = apart.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(number).alias(first))
+    apart = apart.join(firsts, key, "left").withColumn(key, F.when(F.col(number) == F.col(first), F.col(key)).otherwise(F.col(number)))
+    return known.where(F.col(key).isNotNull()).join(again, key, "left_anti").select(known.columns).unionByName(apart.select(known.columns))
 
 
 def discard(spark: SparkSession, folder: str) -> None:

@@ -286,9 +286,11 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle_words:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, max_bits: int = 16, lanes: int = 8, min_jaccard: float = 0.8) -> DataFrame:
-    """docs without the near duplicates of a row with a smaller id; repeated rows of one id stay together.
+    """docs without the near duplicates of a row with a smaller id; of each group one row stays.
 
-    Rows with a null id count one by one, after all others: of a group without any id one row stays.
+    Rows are judged one by one by their texts: of repeated rows one stays, and several texts of one id
+    stay apart. Rows without an id, and all but one of the rows of an id, count after all others. Null and
+    wordless texts are one group. An empty table gives no rows.
     """
     keyed = with_key(docs, id_col, "__key")
     found = near_duplicates(keyed, "__key", text_col, shingle_words, max_bits, lanes, min_jaccard)

@@ -464,14 +464,134 @@ def test_webp_texts(spark):
     assert webp.read_media(webp.store_texts(frame(spark, rows).limit(0))).count() == 0
 
 
-def test_pipeline_stages(spark):
+def hostile(spark, d):
+    """The smallest documents with nulls, empty, long and repeated rows, texts of one id, and columns named as stages might name theirs."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    rows = [tuple(r) for r in docs.collect()]
+    one = next(r for r in rows if 100 < len((r[1] or "").split()) < 400)
+    long = " ".join(f"long{k % 700}x{k}" for k in range(6000))
+    more = [(None, one[1], "en", "web-1", 5), (None, None, None, None, None), (None, "", "en", None, 0), one, (one[0], long + " end", "en", "web-9", 1), (None, long, "en", "web-9", 1), (9_000_001, None, "en", "web-1", None), (9_000_002, "", "en", "web-1", 0), (9_000_002, "", "en", "web-1", 0)]
+    out = spark.createDataFrame([(*r, k, "x", "y", 0.5, 1) for k, r in enumerate([*rows, *more])], docs.schema.simpleString()[7:-1].replace(":", " ") + ", id long, kept_text string, row string, score double, c0 int")
+    return out
+
+
+def similar(a, b):
+    x, y = ({" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in (spaced(ascii_lower(t)) for t in (a, b)))
+    return len(x & y) >= 0.8 * len(x | y)
+
+
+def test_pipeline_stages_equal_plain_versions(spark):
     import corpus_pipeline
 
     d = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    columns, counts = docs.columns, [docs.count()]
-    for name, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, d)
-        assert docs.columns[: len(columns)] == columns, name
-        counts.append(docs.count())
-    assert counts == sorted(counts, reverse=True) and counts[-1] > 100
+    docs = hostile(spark, d)
+    columns, stages = docs.columns, dict(corpus_pipeline.STAGES)
+    step = lambda name: spark.createDataFrame(stages[name](spark, docs, d).select(columns).collect(), docs.schema)
+    text = {r.id: (r.doc_id, r.text) for r in docs.collect()}  # id numbers rows here
+
+    kept = step("quality classifier")
+    model = quality.fit_quality(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"), use=crc_bucket("doc_id", 5) != 0)
+
+    def good(t):
+        x = quality.statistics((t or "").encode(), quality._classes())
+        z = model.bias + sum(w for rule, w in model.rules if all((x[k] > c) == above for k, above, c in rule))
+        return 1 / (1 + math.exp(-z)) >= 0.3
+
+    assert sorted(r.id for r in kept.collect()) == sorted(i for i, (_, t) in text.items() if good(t))
+    assert len(model.rules) > 0 and any(not good(t) for _, t in text.values())
+
+    docs = kept
+    rows = [(r.id, r.doc_id, r.text) for r in docs.collect()]
+    kept = step("simhash near-dedup")
+    left = {r.id for r in kept.collect()}
+    links = {i: i for i, _, _ in rows}
+
+    def root(n):
+        while links[n] != n:
+            n = links[n]
+        return n
+
+    for x, (i, _, t) in enumerate(rows):
+        for j, _, u in rows[:x]:
+            if similar(t, u):
+                links[root(i)] = root(j)
+    times = collections.Counter(k for _, k, _ in rows)
+    for group in {root(i) for i in links}:
+        own = [i for i in links if root(i) == group]
+        stay = [i for i in own if i in left]
+        assert len(stay) == 1
+        named = [text[i][0] for i in own if text[i][0] is not None]
+        assert not named or times[min(named)] > 1 or text[stay[0]][0] == min(named)
+
+    docs = kept
+    rows = [(r.id, r.doc_id, r.text) for r in docs.collect()]
+    kept = step("substring dedup")
+    seen, want = set(), collections.Counter()
+    for _, k, t in sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, (r[2] or "").encode())):
+        w = spaced(t)
+        gone = [False] * len(w)
+        for x in range(len(w) - 19):
+            part = tuple(w[x : x + 20])
+            if part in seen:
+                gone[x : x + 20] = [True] * 20
+            seen.add(part)
+        if not any(gone):
+            want[k, t] += 1
+        elif not all(gone):
+            want[k, " ".join(x for x, g in zip(w, gone, strict=True) if not g)] += 1
+    assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == want
+    assert all(r.n_chars == len(r.text) for r in kept.collect() if r.n_chars is not None and r.text != text[r.id][1])
+
+    docs = kept
+    items = [alnum(r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    windows = {" ".join(v[x : x + 10]) for v in items for x in range(max(1, len(v) - 9)) if v}
+    clean = lambda t: not any(f" {x} " in f" {' '.join(alnum(t))} " for x in windows)
+    rows = [(r.id, r.text) for r in docs.collect()]
+    kept = step("benchmark decontamination")
+    assert sorted(r.id for r in kept.collect()) == sorted(i for i, t in rows if clean(t))
+
+    docs = kept
+    mixed = stages["mixing to target weights"](spark, docs, d)
+    assert sorted(r.mix_position for r in mixed.collect()) == list(range(docs.count())) and mixed.columns[: len(columns)] == columns
+    docs = docs.limit(0)
+    assert all(stage(spark, docs, d).count() == 0 for stage in stages.values())
+
+
+def test_operators_on_empty_tables_and_repeated_rows(spark):
+    rows = [(1, "alpha beta gamma"), (1, "alpha beta gamma"), (None, None), (2, ""), (3, "x" * 50_000 + " y" * 50_000)]
+    docs, none = frame(spark, rows), frame(spark, rows).limit(0)
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(4)], "doc_id long, quality int, toxic int")
+    toxic, rules = toxicity.fit_toxicity(docs, labels), quality.fit_quality(docs, labels)
+    items = spark.createDataFrame([(1, "beta gamma"), (1, "beta gamma"), (2, None)], "item_id long, text string")
+    for run in (lambda t: toxicity.score_toxicity(t, toxic), lambda t: quality.score_quality(t, rules), lambda t: decontam.find_contamination(t, items), lambda t: substring.dedup_substrings(t), lambda t: webp.read_media(webp.store_texts(t), pixels=False)):
+        got = run(docs).collect()
+        assert run(none).count() == 0 and len(got) == len(rows)
+        same = [tuple(map(str, r)) for r in got if r.id == 1]
+        assert same[0] == same[1] or "n_removed" in got[0].__fields__
+    assert toxicity.fit_toxicity(none, labels.limit(0)).cuts is not None
+    folder = shared_dir(spark)
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.read_archive(spark, folder, *warc.write_archive(pages, folder)).count() == 0
+
+
+def test_ordinal_grades_follow_a_plain_likelihood():
+    rng = np.random.default_rng(3)
+    parts = [np.unique(rng.integers(0, 50, 12)).astype(np.int32) for _ in range(600)]
+    grade = np.array([min(3, int(np.isin([1, 2, 3], x).sum())) for x in parts])
+    m = toxicity.fit_ordinal(parts, grade, 4, penalty=1e-4, steps=400)
+
+    def loss(w, cuts):
+        total = 0.0
+        for x, g in zip(parts, grade, strict=True):
+            above = [1.0, *(1 / (1 + math.exp(c - sum(w[f] for f in x))) for c in cuts), 0.0]
+            total -= math.log(max(1e-12, above[g] - above[g + 1]))
+        return total / len(parts)
+
+    w = m.weights.astype(float)
+    best = loss(w, m.cuts)
+    assert best < 0.6 * loss(np.zeros_like(w), m.cuts) and min(w[1], w[2], w[3]) > 5 * np.abs(np.delete(w[:50], [1, 2, 3])).mean()
+    for f in (1, 2, 3):
+        for e in (-0.5, 0.5):
+            other = w.copy()
+            other[f] += e
+            assert loss(other, m.cuts) > best - 0.03
