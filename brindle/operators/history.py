@@ -31,11 +31,23 @@ def weighted_history(rows: DataFrame, annotations: DataFrame, group: list[str],
 
 
 def seen_sets(rows: DataFrame, group: list[str], doc: str = "ad_document_id", order: str = "display_id", label: str = "label") -> DataFrame:
-    """Adds {past,future}_{views,clicks}_docs: sorted space lists of the distinct documents in earlier and later displays of the group."""
-    past = Window.partitionBy(*group).orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
-    future = Window.partitionBy(*group).orderBy(F.desc(order)).rangeBetween(Window.unboundedPreceding, -1)
-    listed = lambda c: F.array_join(F.array_sort(c), " ")
-    return rows.withColumns({f"{when}_{name}_docs": listed(F.collect_set(x).over(frame)) for when, frame in (("past", past), ("future", future)) for name, x in (("views", F.col(doc)), ("clicks", F.when(F.col(label) > 0, F.col(doc))))})
+    """Adds {past,future}_{views,clicks}_docs: sorted space lists of the distinct documents in earlier and later displays of the group.
+
+    A document is in a display's past if the group first had it before, and in its future if it last had
+    it after: so a group's documents are reduced to first and last displays, and each display's lists are
+    made once. Null keys are a key of their own.
+    """
+    clicked = F.when(F.col(label) > 0, F.col(order))
+    each = rows.where(F.col(doc).isNotNull()).groupBy(*group, doc).agg(F.min(order).alias("f"), F.max(order).alias("l"), F.min(clicked).alias("cf"), F.max(clicked).alias("cl"))
+    named = [F.col(g).alias(f"__{g}") for g in group]
+    lists = each.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(doc).alias("doc"), "f", "l", "cf", "cl"))).alias("__seen")).select(*named, "__seen")
+    same = lambda a, b: [F.col(f"{a}.{g}").eqNullSafe(F.col(f"{b}.__{g}")) for g in group]
+    shown = rows.select(*group, order).distinct().alias("s").join(lists.alias("t"), same("s", "t"), "left")
+    some = lambda on: F.coalesce(F.array_join(F.transform(F.filter("__seen", on), lambda x: x["doc"]), " "), F.lit(""))
+    now = F.col(order)
+    made = {"past_views_docs": some(lambda x: x["f"] < now), "past_clicks_docs": some(lambda x: x["cf"] < now), "future_views_docs": some(lambda x: x["l"] > now), "future_clicks_docs": some(lambda x: x["cl"] > now)}
+    shown = shown.select(*(F.col(f"s.{g}").alias(f"__{g}") for g in group), F.col(order).alias("__order"), *(c.alias(n) for n, c in made.items()))
+    return rows.alias("r").join(shown.alias("s"), [*same("r", "s"), F.col(f"r.{order}") == F.col("s.__order")], "left").drop(*(f"__{g}" for g in group), "__order")
 
 
 def later_document(rows: DataFrame, shown: DataFrame) -> DataFrame:
