@@ -3,14 +3,17 @@
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+from brindle.operators import models
 from brindle.plans.queries import QUERIES
 
 D = "/root/testdata/sf0.001"
 #: Bytes a row at most, with tables of over 16 kB not broadcast.
 MOST = {
+    "model_ffm": 1000,
     "sparse_range": 1000,
     "model_lr": 300,
     "export_p1": 600,
@@ -45,3 +48,17 @@ def test_shuffled_bytes(spark, name):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     rows = spark.read.parquet(f"{D}/lineitem.parquet").count()
     assert sum(n for k, n in _stages(spark).items() if k > last) < MOST[name] * rows
+
+
+def test_scores_of_many_rows_are_those_of_each():
+    rng = np.random.default_rng(5)
+    rows = [(np.sort(rng.integers(0, 40, n)) if n % 2 else rng.integers(0, 40, n), rng.integers(0, 256, n), rng.normal(size=n)) for n in [0, 1, 7, 30, *rng.integers(0, 60, 150)]]
+    at = np.concatenate([[0], np.cumsum([len(x[0]) for x in rows])])
+    flat = [np.concatenate([x[c] for x in rows]) for c in range(3)]
+    for kind in ("ftrl", "ffm", "ffm_nn", "nn"):
+        for restricted in (False, True):
+            p = models._start(kind, 8, 4, 3)
+            p.restricted = restricted
+            p.arrays = {n: x + rng.normal(0, 0.1, x.shape) ** 2 for n, x in p.arrays.items()}
+            want = [models._forward(p, x)[0] for x in rows]
+            assert np.allclose(models._scores(p, at, *flat), want, rtol=1e-4, atol=1e-4), (kind, restricted)
