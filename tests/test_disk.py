@@ -13,6 +13,7 @@ from brindle.plans.queries import QUERIES
 D = "/root/testdata/sf0.001"
 #: Bytes a row at most, with tables of over 16 kB not broadcast.
 MOST = {
+    "model_nn": 1000,
     "model_ftrl": 1000,
     "model_ffm_nn": 1000,
     "model_ffm": 1000,
