@@ -180,12 +180,15 @@ class _Gradient:
         for at in range(0, len(cells), PART):
             c, r = cells[at : at + PART].astype(np.int64), rows[:, at : at + PART]
             k, s = c // SLOTS, c % SLOTS
-            r2 = slot_rows(r, k)
-            for table, own, p, target in ((0, r, _soft(r, model.w, model.bias), k), (1, r2, _soft(r2, model.v, model.slot_bias[k]), s)):
+            for table, own, weights, target in ((0, r, model.w, k), (1, slot_rows(r, k), model.v, s)):
                 size, width = self.seen[table].shape
-                columns = [np.ascontiguousarray(p[:, j], np.float64) for j in range(width)]
+                columns = np.empty((width, len(c)))
+                for b in range(0, len(c), SCORE_PART):  # few enough for the cache
+                    part = slice(b, b + SCORE_PART)
+                    columns[:, part] = _soft(own[:, part], weights, np.take(model.slot_bias, k[part], axis=0) if table else model.bias).T
+                own = own.astype(np.int64)  # once, else each count converts them
+                self.seen[table] += np.bincount((own * width + target).ravel(), minlength=size * width).reshape(size, width)
                 for x in own:
-                    self.seen[table] += np.bincount(x.astype(np.int64) * width + target, minlength=size * width).reshape(size, width)
                     for j in range(width):
                         self.hoped[table][j] += np.bincount(x, weights=columns[j], minlength=size)
 

@@ -65,3 +65,22 @@ def test_scores_of_many_rows_are_those_of_each():
             p.arrays = {n: x + rng.normal(0, 0.1, x.shape) ** 2 for n, x in p.arrays.items()}
             want = [models._forward(p, x)[0] for x in rows]
             assert np.allclose(models._scores(p, at, *flat), want, rtol=1e-4, atol=1e-4), (kind, restricted)
+
+
+def test_gradient_is_summed_in_parts():
+    """Softmaxes are made for few tokens at once; sums are those of all at once."""
+    from brindle.llm import lm
+
+    rng, n, made, soft = np.random.default_rng(3), 40_000, [], lm._soft
+    words = rng.integers(1, 300, n).astype(np.uint64) << np.uint64(8) | rng.integers(0, 256, n).astype(np.uint64)
+    cells, rows = (words & np.uint64(255)).astype(np.int64), lm.feature_rows(words, np.arange(0, n, 500))
+    model, total = lm.start_model(lm.Vocabulary(n, 300, {}, np.ones(256, np.int64), np.ones(256, np.int64))), lm._Gradient()
+    lm._soft = lambda *a: made.append(a[0].shape[1]) or soft(*a)
+    try:
+        total.add(model, cells, rows)
+    finally:
+        lm._soft = soft
+    assert max(made) <= lm.SCORE_PART
+    p, k = soft(rows, model.w, model.bias), cells // lm.SLOTS
+    assert total.seen[0].sum() == rows.size and np.allclose(total.hoped[0].sum(1), lm.FEATURES * p.sum(0, dtype=np.float64), rtol=1e-5)
+    assert total.seen[0][:, 3].sum() == lm.FEATURES * (k == 3).sum()
