@@ -279,7 +279,7 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle_words:
     part = keep(connected_components(stars, scratch=scratch), scratch)
     known = named.join(part, "node", "left").withColumn("c", F.coalesce("component", "node"))
     pairs = _index(known, n, lanes, [*more, "c"], _across(max_bits, min_jaccard, not sketch), "u long, v long")
-    links = verified(keep(pairs, scratch).distinct()).union(part.select(F.col("node").alias("u"), F.col("component").alias("v")))
+    links = verified(pairs.distinct()).union(part.select(F.col("node").alias("u"), F.col("component").alias("v")))
     whole = connected_components(links, scratch=scratch)
     reach = classes.join(whole, "node", "left").select(*names, F.coalesce("component", "node").alias("component"))
     return keep(rows.join(reach, names).select("id", *names, "component"))

@@ -122,6 +122,20 @@ def brute_repeats(rows, n=20):
     return out
 
 
+def test_candidate_pairs_are_reduced_before_they_are_written(spark, monkeypatch):
+    """Each bucket's task would write a file of its own, of pairs that other buckets find too."""
+    made, kept = [], simhash.keep
+
+    def keep(df, scratch=None):
+        made.append(df._jdf.queryExecution().optimizedPlan().nodeName())
+        return kept(df, scratch)
+
+    monkeypatch.setattr(simhash, "keep", keep)
+    rows = [(i, " ".join(f"w{j}" for j in range(i // 2 * 50, i // 2 * 50 + 60 + i % 2))) for i in range(20)]
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()) == list(range(0, 20, 2))
+    assert made and "FlatMapGroupsInArrow" not in made
+
+
 def test_substring_dedup(spark):
     rows = corpus()
     assert {r.id: (r.n_words, r.n_removed, r.kept_text) for r in substring.dedup_substrings(frame(spark, rows)).collect()} == brute_repeats(rows)
