@@ -1,6 +1,7 @@
 """What queries shuffle, in bytes for each row of clicks: their disk grows with it."""
 
 import sys
+import time
 from pathlib import Path
 
 import numpy as np
@@ -94,3 +95,26 @@ def test_gradient_is_summed_in_parts():
     p, k = soft(rows, model.w, model.bias), cells // lm.SLOTS
     assert total.seen[0].sum() == rows.size and np.allclose(total.hoped[0].sum(1), lm.FEATURES * p.sum(0, dtype=np.float64), rtol=1e-5)
     assert total.seen[0][:, 3].sum() == lm.FEATURES * (k == 3).sum()
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    from brindle.sources.shared import stored
+
+    files = lambda: sum(str(f.getName()).startswith("shuffle_") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    before = files()
+    df = stored(spark.range(10_000).repartition(7, "id"))
+    end = time.time() + 30
+    while (left := files()) > before and time.time() < end:
+        time.sleep(0.2)
+    assert left <= before
+    assert df.count() == 10_000
+
+
+#: Bytes a row at most of queries that read rows by display before they are dealt by ad or group.
+LEAN = {"model_gbt": 101, "model_lr": 74, "model_mlp": 74}
+
+
+@pytest.mark.parametrize("name", sorted(LEAN))
+def test_rows_are_dealt_once_by_each_key(spark, name, monkeypatch):
+    monkeypatch.setitem(MOST, name, LEAN[name])
+    test_shuffled_bytes(spark, name)
