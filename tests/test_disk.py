@@ -111,7 +111,7 @@ def test_stored_leaves_no_shuffle_files(spark):
 
 
 #: Bytes a row at most of queries that read rows by display before they are dealt by ad or group.
-LEAN = {"model_gbt": 101, "model_lr": 74, "model_mlp": 74}
+LEAN = {"model_gbt": 101, "model_lr": 74, "model_mlp": 74, "model_stack": 39}
 
 
 @pytest.mark.parametrize("name", sorted(LEAN))
