@@ -1,14 +1,16 @@
 """What queries shuffle, in bytes for each row of clicks: their disk grows with it."""
 
+import random
 import sys
 import time
 from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
-from brindle.operators import models
+from brindle.operators import history, models
 from brindle.plans.queries import QUERIES
 
 D = "/root/testdata/sf0.001"
@@ -111,10 +113,34 @@ def test_stored_leaves_no_shuffle_files(spark):
 
 
 #: Bytes a row at most of queries that read rows by display before they are dealt by ad or group.
-LEAN = {"model_gbt": 101, "model_lr": 74, "model_mlp": 74, "model_stack": 39}
+LEAN = {"model_gbt": 101, "model_lr": 74, "model_mlp": 74, "model_stack": 39, "ctr_logit_matrix": 140}
 
 
 @pytest.mark.parametrize("name", sorted(LEAN))
 def test_rows_are_dealt_once_by_each_key(spark, name, monkeypatch):
     monkeypatch.setitem(MOST, name, LEAN[name])
     test_shuffled_bytes(spark, name)
+
+
+def test_discarded_tables_leave_the_disk(spark):
+    from brindle.sources.shared import discard, stored
+
+    df = stored(spark.range(100))
+    folder = Path(df.inputFiles()[0].removeprefix("file:")).parent
+    assert folder.is_dir()
+    discard(df)
+    assert not folder.exists()
+
+
+def test_weighted_history_in_place_is_that_of_joined_rows(spark):
+    """Rows without annotations, null groups and ties of displays included."""
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(i, rng.choice([1, 2, None]), rng.randrange(40), rng.choice([-1, 0, 1]), rng.randrange(6), i * 7 if i % 3 else None) for i in range(400)], "row_id long, uid long, display_id long, label long, ad_document_id long, more long")
+    notes = spark.createDataFrame([(doc, (doc * 3 + k) % 5, 0.9 / (k + 1)) for doc in range(5) for k in range(3)], "document_id long, id long, conf double")
+    noted = notes.groupBy("document_id").agg(F.collect_list(F.struct("id", "conf")).alias("annotations"))
+    sums = history.weighted_history(rows, notes, ["uid"], ["row_id"], "w")
+    want = {r.row_id: r for r in rows.join(sums, "row_id").collect()}
+    got = history.with_weighted_history(rows, noted, ["uid"], ["row_id"], "w").collect()
+    assert len(got) == len(want) == 400
+    for r in got:
+        assert r.asDict() == want[r.row_id].asDict()
