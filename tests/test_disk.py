@@ -144,3 +144,18 @@ def test_weighted_history_in_place_is_that_of_joined_rows(spark):
     assert len(got) == len(want) == 400
     for r in got:
         assert r.asDict() == want[r.row_id].asDict()
+
+
+def test_tasks_of_a_fit_run_side_by_side(spark, monkeypatch):
+    """One job for each wave of tasks instead of one for each task; waves change no result."""
+    df = spark.range(400).selectExpr("CAST(id % 2 AS BIGINT) AS label", "array(named_struct('field', CAST(id % 3 AS INT), 'index', id % 7, 'value', 1.0D)) AS features")
+    tracker, sc, made = spark.sparkContext.statusTracker(), spark.sparkContext, []
+    for wave in (1 << 27, 1):
+        monkeypatch.setattr(models, "WAVE_BYTES", wave, raising=False)
+        sc.setJobGroup(f"fit {wave}", "")
+        p = models.fit(df, "ffm", bits=4, k=2, parts=12)
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        made.append((len(tracker.getJobIdsForGroup(f"fit {wave}")), p))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert made[0][0] <= 6 < 12 <= made[1][0]
+    assert all((x == made[1][1].arrays[n]).all() for n, x in made[0][1].arrays.items())
